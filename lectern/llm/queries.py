@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe
+from lectern.llm import byte_bpe, exact_dedup, packing, secrets, simhash
 from lectern.llm.common import documents
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans by kind with their digest, and all spans with those of the entropy scan."""
+    found = secrets.find(documents(spark, sf_dir))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listing("assign", "access", "hex"), 256).alias("base_sha256"), secrets.listing("assign", "access", "hex", "entropy").alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to ids and back: token count and digests of the ids and the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,7 +24,38 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents in windows with the corpus's own mixture of sources."""
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of each group of equal texts, for every document."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+
+_OP9 = """
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": _OP9,
 }
-ORACLES: dict[str, str] = {}
