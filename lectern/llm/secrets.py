@@ -42,7 +42,7 @@ ALLOWED = (
 )
 
 
-def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
+def spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
     """array<struct<start,kind,end>> of the pattern's matches whose group has at least so many characters."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -99,22 +99,22 @@ def _entropy_spans(text: Column, kind: str, allowed: tuple[str, ...], window: in
         part = F.when(wanted, _hot_part(candidate, symbols, limit, window))
         return F.struct((span["start"] + part["first"] - window).alias("start"), F.lit(rank).alias("kind"), (span["start"] + part["last"]).alias("end"))
 
-    judged = F.transform(_spans(text, pattern, rank), judge)
+    judged = F.transform(spans(text, pattern, rank), judge)
     return F.filter(judged, lambda span: span["start"].isNotNull())
 
 
 def find(df: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """df with columns assign, access, hex and entropy: arrays of struct<start,kind,end>, kind an index of KINDS."""
     value = F.coalesce(F.col(text), F.lit(""))
-    assign = _spans(value, ASSIGN, 0, group=2, least=LEAST_VALUE)
+    assign = spans(value, ASSIGN, 0, group=2, least=LEAST_VALUE)
     entropy = F.concat(*(_entropy_spans(value, kind, allowed) for kind in CLASSES))
-    return df.withColumns({"assign": assign, "access": _spans(value, ACCESS, 1), "hex": _spans(value, HEX, 2), "entropy": entropy})
+    return df.withColumns({"assign": assign, "access": spans(value, ACCESS, 1), "hex": spans(value, HEX, 2), "entropy": entropy})
 
 
-def listing(*spans: str) -> Column:
-    """The spans of these columns as kind:start:end, by start, then kind, comma-joined."""
+def listing(*columns: str) -> Column:
+    """The spans in these columns as kind:start:end, by start, then kind, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
-    ordered = F.array_sort(F.concat(*(F.col(s) for s in spans)))
+    ordered = F.array_sort(F.concat(*(F.col(s) for s in columns)))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
