@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, exact_dedup, packing, secrets, simhash, toxicity
+from lectern.llm import byte_bpe, exact_dedup, line_dedup, media, packing, quality, secrets, simhash, token_counts, toxicity
 from lectern.llm.common import documents, held_out_column
 from lectern.session import table
 
@@ -43,18 +43,63 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's WAV file, of the samples read back and of its spectral-peak pairs."""
+    found = media.media_table(documents(spark, sf_dir))
+    feature = F.concat_ws(":", F.size("peak_times").cast("string"), F.size("pair_times").cast("string"), F.lower(F.hex(F.xxhash64("pair_times", "pair_codes"))))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, by a model of the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.select(docs, model).select("doc_id", held_out_column().alias("held_out"), "expected_grade", F.col("tail_probability").alias("score"), F.col("kept").cast("int").alias("predicted"), "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which occurrence stays for every line of every document."""
+    return line_dedup.line_groups(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row stays of each group of equal texts, for every document."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+#: Personal data that op10's edits take out of the texts: mail addresses, phone and card numbers.
+PERSONAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+|\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}|(?<![0-9])[0-9]{16}(?![0-9])"
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its personal data is masked."""
+    docs = documents(spark, sf_dir)
+    spans = secrets.spans(F.coalesce("text", F.lit("")), PERSONAL, 0)
+    edits = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[PII]").alias("new")))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_edited(docs.withColumn("edits", edits), path, public_tokenizers.PATTERN).drop("tree")
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_media": op6_media,
+    "op7_quality": op7_quality,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 _OP9 = """
