@@ -1,0 +1,120 @@
+"""Bounded evidence and history for grounded answers."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions.text import citations
+from lectern.operators.chunking import tokens
+from lectern.operators.rows import newest_kept
+
+#: Bounds of a question's evidence.
+PARENTS, CHARACTERS, EXCERPT, PER_FILE = 8, 20_000, 2_800, 4
+
+
+def evidence(hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, place, file_id, parent_idx, label, excerpt): at most PARENTS parents of a query's hits (query,
+    file_id, parent_idx, score, text), PER_FILE of a file, excerpts cut to what is left of CHARACTERS.
+
+    Each query's candidates are first cut to the PARENTS x PER_FILE best, so that a group stays small.
+    """
+    order = [F.desc("score"), "file_id", "parent_idx"]
+    per_file = newest_kept(hits.dropDuplicates([query, "file_id", "parent_idx"]), [query, "file_id"], order, PER_FILE)
+    few = newest_kept(per_file, [query], order, PARENTS)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        left, numbers, out = CHARACTERS, {}, []
+        for r in rows.sort_values(["score", "file_id", "parent_idx"], ascending=[False, True, True]).itertuples():
+            text = r.text.strip()[: min(EXCERPT, left)]
+            if not text:
+                continue
+            left -= len(text)
+            number = numbers.setdefault(r.file_id, len(numbers) + 1)
+            out.append((getattr(r, query), len(out) + 1, r.file_id, r.parent_idx, f"[F{number}:P{r.parent_idx}]", text))
+        return pd.DataFrame(out, columns=[query, "place", "file_id", "parent_idx", "label", "excerpt"])
+
+    return few.select(query, "file_id", "parent_idx", "score", "text").groupBy(query).applyInPandas(fold, f"{query} long, place int, file_id long, parent_idx int, label string, excerpt string")
+
+
+def checked_citations(answers: DataFrame, answer: str, allowed: str) -> DataFrame:
+    """answers with the marks that its evidence has (cited) and those that it hasn't (unknown)."""
+    found = citations(F.col(answer))
+    return answers.withColumns({"cited": F.array_intersect(found, F.col(allowed)), "unknown": F.array_except(found, F.col(allowed))})
+
+
+def history_budget(window: int, thinking: bool = False) -> dict[str, int]:
+    """How many tokens of a model's window go to the answer, to safety and to what is sent."""
+    window = max(window, 2048)
+    reserve = max(512, min(4096, window // 4))
+    if thinking:
+        reserve = max(reserve, min(2048, window // 3))
+    safety = max(128, window // 10)
+    return {"window": window, "reserve": reserve, "safety": safety, "input": max(512, window - reserve - safety)}
+
+
+#: Most tokens of a batch and divisor of the window, by place and task.
+BATCHES = {
+    ("local", "translate"): (4096, 8), ("local", "summarise"): (12000, 4), ("local", "both"): (3072, 10),
+    ("cloud", "translate"): (16000, 6), ("cloud", "summarise"): (24000, 3), ("cloud", "both"): (10000, 7),
+}
+
+
+def batch_budget(place: str, task: str, window: int) -> int:
+    most, divisor = BATCHES[place, task]
+    return max(1024, min(most, window // divisor))
+
+
+def batched(units: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
+    """units with batch: consecutive units of a group, as many as fit the tokens; one that is larger has its own.
+
+    A group is one document's units: it's read in order by one task as Arrow batches.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        batch, held, out = 1, 0, []
+        for cost in rows[text].map(tokens):
+            if held and held + cost > most:
+                batch, held = batch + 1, 0
+            held += cost
+            out.append(batch)
+        return rows.assign(batch=out)
+
+    schema = units.schema.add("batch", "int") if "batch" not in units.columns else units.schema
+    return units.groupBy(group).applyInPandas(fold, schema)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The longest beginning of the text that fits the tokens with an ellipsis."""
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: _fit(t, most), na_action="ignore")
+
+    return cut(text)
+
+
+def _fit(text: str, most: int) -> str:
+    if tokens(text) <= most:
+        return text
+    low, high = 0, len(text)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if tokens(text[:mid].rstrip() + "…") <= most else (low, mid - 1)
+    return text[:low].rstrip() + "…"
+
+
+def deterministic_sections(sections: DataFrame, terms: list[str], most: int = 4) -> DataFrame:
+    """Each query's best sections (query_id, file_id, parent_idx, seed_rank, text, kind): 100 less the seed's rank,
+    8 for each term, 1 for a table."""
+    low = F.lower("text")
+    score = F.when(F.col("seed_rank").isNotNull(), 100 - F.least("seed_rank", F.lit(50))).otherwise(0)
+    for t in terms:
+        score = score + F.when(F.contains(low, F.lit(t.lower())), 8).otherwise(0)
+    score = score + F.when(F.col("kind") == "table", 1).otherwise(0)
+    return newest_kept(sections.withColumn("score", score).where("score > 0"), ["query_id"], [F.desc("score"), "file_id", "parent_idx"], most)

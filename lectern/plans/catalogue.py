@@ -1,4 +1,9 @@
 """Registered queries of the library."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from lectern.plans import library_queries
+
+_PARTS = (library_queries.R,)
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
