@@ -170,10 +170,14 @@ def fold(text: str | None) -> str | None:
     return "".join(c for c in flat if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def folded(text: pd.Series) -> pd.Series:
+def folded(text: Column) -> Column:
     """fold for a column: Spark has no Unicode normalisation of its own."""
-    return text.map(fold, na_action="ignore")
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(fold, na_action="ignore")
+
+    return of(text)
 
 
 def first_sentences(text: Column, n: int = 3) -> Column:

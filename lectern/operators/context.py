@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import citations
 from lectern.operators.chunking import tokens
@@ -84,7 +85,7 @@ def batched(units: DataFrame, group: str, order: str, text: str, most: int) -> D
             out.append(batch)
         return rows.assign(batch=out)
 
-    schema = units.schema.add("batch", "int") if "batch" not in units.columns else units.schema
+    schema = T.StructType([*units.schema.fields, T.StructField("batch", T.IntegerType())])
     return units.groupBy(group).applyInPandas(fold, schema)
 
 

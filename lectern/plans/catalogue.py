@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.plans import library_queries
+from pyspark.sql import DataFrame, SparkSession
 
-_PARTS = (library_queries.R,)
+from lectern.plans import library_queries, text_queries
+
+_PARTS = (library_queries.R, text_queries.R)
 QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over documents, their chunks and vectors."""
+    return text_queries.ret27_hybrid_search(spark, sf_dir)

@@ -11,7 +11,7 @@ from lectern.operators.filters import FileFilter
 
 #: Words that carry no content.
 STOP_WORDS = (
-    "a an and any are as at be by can did do does file files find for from get give has have how i in is it list me my of on or "
+    "a about an and any are as at be by can did do does file files find for from get give has have how i in is it list me my of on or "
     "please search show tell that the their them there these this those to was were what when where which who with you your"
 ).split()
 #: Words that name a kind of file.

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -84,7 +85,7 @@ def batches_by_count_or_time(rows: DataFrame, group: str, ts: str, count: int =
             out.append(batch)
         return part.assign(batch=out)
 
-    return rows.groupBy(group).applyInPandas(fold, rows.schema.add("batch", "int") if "batch" not in rows.columns else rows.schema)
+    return rows.groupBy(group).applyInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def latest_generation(results: DataFrame, key: str, generation: str) -> DataFrame:
