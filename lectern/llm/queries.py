@@ -110,6 +110,55 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+
+
+def _op1() -> str:
+    """The base spans by split texts, the entropy of each window by itself."""
+
+    def quoted(s: str) -> str:
+        return s.replace("'", "''")
+
+    def spans(kind: int, pattern: str, group: int = 0) -> str:
+        p = quoted(pattern)
+        return f"SELECT doc_id, t, {kind} AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d"
+
+    classes = list(secrets.CLASSES.items())
+    lists = [spans(0, secrets.ASSIGN, 2), spans(1, secrets.ACCESS), spans(2, secrets.HEX), *(spans(secrets.KINDS.index(k), c[1]) for k, c in classes)]
+    hot = []
+    for kind, (symbols, _, _, limit) in classes:
+        low = "s" if len(symbols) > 22 else "lower(s)"
+        needs = "regexp_matches(s, '[A-Fa-f]')" if kind == "entropy_hex" else "regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')"
+        allowed = " AND ".join(f"NOT regexp_matches(s, '{quoted(a)}')" for a in secrets.ALLOWED)
+        windows = f"list_filter(range(0, length(s) - {secrets.WINDOW - 1}), lambda i: list_aggregate(string_split(substr({low}, i + 1, {secrets.WINDOW}), ''), 'entropy') >= {limit} - 1e-9)"
+        hot.append(f"SELECT doc_id, kind, start, {windows} AS w FROM found WHERE kind = {secrets.KINDS.index(kind)} AND {needs} AND {allowed}")
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    listing = f"string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+lists AS ({" UNION ALL ".join(lists)}),
+numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM lists),
+found AS (
+  SELECT doc_id, kind, m[i] AS s, v[i] AS value,
+    cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS bigint) AS start
+  FROM numbered
+),
+hot AS ({" UNION ALL ".join(hot)}),
+spans AS (
+  SELECT doc_id, kind, start, start + length(s) AS stop FROM found WHERE kind = 0 AND length(value) >= {secrets.LEAST_VALUE} OR kind IN (1, 2)
+  UNION ALL SELECT doc_id, kind, start + list_min(w), start + list_max(w) + {secrets.WINDOW} FROM hot WHERE len(w) > 0
+),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    {listing} FILTER (kind < 3) AS base, {listing} AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": _op1(),
     "op9_exact_dedup": _OP9,
 }
