@@ -184,7 +184,7 @@ _RULES = [
 ]
 
 
-@R.add("""SELECT id, CASE WHEN ext = 'md' AND source_dir IN ('/library/src1', '/library/src2') THEN 2 WHEN ext IN ('pdf', 'md') THEN 1 WHEN ext = 'zip' THEN 3 WHEN ext = 'txt' THEN 6 END AS rule_id,
+@R.add("""SELECT id, cast(CASE WHEN ext = 'md' AND source_dir IN ('/library/src1', '/library/src2') THEN 2 WHEN ext IN ('pdf', 'md') THEN 1 WHEN ext = 'zip' THEN 3 WHEN ext = 'txt' THEN 6 END AS bigint) AS rule_id,
   CASE WHEN ext = 'md' AND source_dir IN ('/library/src1', '/library/src2') THEN 'Notes' WHEN ext IN ('pdf', 'md') THEN 'Papers' WHEN ext = 'zip' THEN NULL WHEN ext = 'txt' THEN 'Low' ELSE category END AS folder,
   CASE WHEN ext = 'zip' THEN 'ignore' WHEN ext = 'py' THEN 'category' ELSE 'move' END AS action FROM files""", "files")
 def org01_join19_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def ret13_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCHED = "cast(contains(l, 'secret') AS integer) + cast(contains(l, 'token') AS integer) + cast(contains(l, 'the') AS integer)"
 
 
-@R.add(f"""SELECT file_id, chunk_idx, m AS matched, round(least(1.0, 0.62 + 0.10 * (m - 1)), 6) AS score FROM (SELECT file_id, chunk_idx, {_MATCHED} AS m FROM (SELECT file_id, chunk_idx, lower(text) AS l FROM chunks))
+@R.add(f"""SELECT file_id, chunk_idx, m AS matched, cast(round(least(1.0, 0.62 + 0.10 * (m - 1)), 6) AS double) AS score FROM (SELECT file_id, chunk_idx, {_MATCHED} AS m FROM (SELECT file_id, chunk_idx, lower(text) AS l FROM chunks))
   WHERE m > 0 ORDER BY m DESC, file_id, chunk_idx LIMIT 200""", "chunks")
 def ret08_chunk_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunk_lane(library.chunks(spark, sf_dir), TERMS)
@@ -346,5 +346,5 @@ def ret07_exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").limit(1001).collect()]
     if len(phrases) > 1000:
         raise ValueError("more than 1000 phrases: ask in blocks")
-    hits = F.filter(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in phrases)), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i).cast("long")) for i, t in phrases)), lambda x: x.isNotNull())
     return _docs(spark, sf_dir).select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("documents"))

@@ -99,14 +99,14 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_VIEWS = {
     "files": f"SELECT {_files('make_timestamp(', ' * 1000000)', 'varchar', 'sha256(text)')} FROM documents",
-    "chunks": """SELECT file_id, chunk_idx, text, text AS contextual_text, chunk_idx // 10 AS parent_idx,
+    "chunks": """SELECT file_id, cast(chunk_idx AS integer) AS chunk_idx, text, text AS contextual_text, chunk_idx // 10 AS parent_idx,
   chunk_idx // 25 + 1 AS page_start,
   CASE WHEN chunk_idx % 11 = 0 THEN 'title' WHEN chunk_idx % 11 = 5 THEN 'note' ELSE 'text' END AS kind
   FROM (SELECT doc_id AS file_id, unnest(range(len(string_split(text, chr(10))))) AS chunk_idx, unnest(string_split(text, chr(10))) AS text FROM documents)
   WHERE trim(text, ' ') <> ''""",
     "parents": """SELECT file_id, parent_idx, count(*) AS children, sum(length(text)) AS chars, min(page_start) AS page_start
   FROM chunks WHERE file_id % 13 <> 0 GROUP BY ALL""",
-    "vectors": "SELECT vec_id AS id, vec_id AS file_id, 0 AS chunk_idx, embedding, len(embedding) AS dim, concat('model', label % 2) AS model, label FROM embeddings",
+    "vectors": "SELECT vec_id AS id, vec_id AS file_id, 0 AS chunk_idx, embedding, cast(len(embedding) AS integer) AS dim, concat('model', label % 2) AS model, label FROM embeddings",
     "messages": f"SELECT conv_id AS session_id, conv_id * 1000 + turn AS id, role, text AS content, make_timestamp(({EPOCH} + conv_id * 3600 + turn * 60) * 1000000) AS ts FROM conversations",
     "usage": "SELECT event_id AS id, ts, event_type AS model, cast(floor(value) as bigint) AS input_tokens, event_id % 100 AS output_tokens, user_id AS session_id FROM events",
     "feedback": "SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS rating, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'completed' END AS state FROM labels",
