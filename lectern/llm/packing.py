@@ -61,6 +61,8 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        #: by id, whether it ends a pre-token
+        self.ends = np.array([token.endswith("</w>") for token, _ in sorted(self.model.get_vocab().items(), key=lambda x: x[1])])
         self.set_off = re.compile(rb"(?<=[a-z0-9])[.,!?;:]+(?=[ \n])").sub
 
     def words(self, text: str | None) -> list[bytes]:
@@ -71,6 +73,26 @@ class WordTokenizer:
             raw = low  # the normaliser lowers anyway; here composition is none the wiser
         return self.set_off(rb" \g<0>", raw).split()
 
+    def _learn(self, new: list[bytes], joined: int = 50) -> None:
+        """Words of letters only are one pre-token each: they're encoded many at once and parted where a pre-token ends."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        runs = [plain[i : i + joined] for i in range(0, len(plain), joined)]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        encoded = self.model.encode_batch_fast([" ".join(texts[i] for i in run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, encoded, strict=True):
+            ids = np.array(e.ids, "<u2")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(run):
+                rest += run
+                continue
+            packed, begin = ids.tobytes(), 0
+            for i, end in zip(run, ends, strict=True):
+                self.known[new[i]] = packed[2 * begin : 2 * end]
+                begin = end
+        encoded = self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        self.known.update((new[i], np.array(e.ids, "<u2").tobytes()) for i, e in zip(rest, encoded, strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
         cut = [self.words(t) for t in texts]
@@ -78,8 +100,7 @@ class WordTokenizer:
         if len(new) + len(self.known) > CACHE_SIZE:
             self.known.clear()
             new = list(set().union(*cut))
-        encoded = self.model.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, encoded, strict=True))
+        self._learn(new)
         of = self.known.__getitem__
         return [b"".join(map(of, words)) for words in cut]
 
