@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.session import cut
 
@@ -54,3 +57,58 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], similarity: float = 0.8, paired: int = 16, reps: int = 8) -> DataFrame:
+    """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
+
+    members: (bucket, key, size), keys distinct within a bucket; size: of the key's set, as sets whose
+    sizes differ by more than the similarity cannot reach it. compare: of pairs (a, b) those that
+    are linked. Buckets of at most paired members are compared in pairs. In a larger one, reps
+    members are compared with all others; then, with the components so far, eight times as many of
+    the members outside the bucket's largest component that were not taken yet, each with all
+    members of other components, and so on until none is left. So of two members that end in
+    different components at least one was compared with the other: nothing is lost, and a bucket
+    that is one component takes linear work.
+    """
+    members = cut(members)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    few = members.join(sizes.where(F.col("n") <= paired), "bucket", "left_semi")
+    a, b = few.select("bucket", F.col("key").alias("a"), F.col("size").alias("size_a")), few.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"))
+    reach = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (similarity - 1e-9)
+    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach("size_a", "size_b")).select("a", "b")
+    many = cut(members.join(sizes.where(F.col("n") > paired), "bucket", "left_semi").withColumn("component", F.col("key")))
+    links, taken, total = None, None, many.count()
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
+    while total > 0:
+        if taken is None:
+            parts, left = sizes, many
+        else:
+            shares = many.groupBy("bucket", "component").agg(F.count("*").alias("share"))
+            parts = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("n"), F.count("*").alias("parts"))
+            parts = cut(parts.where("parts > 1").select("bucket", "largest", "n"))
+            left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest").join(taken, ["bucket", "key"], "left_anti")
+        chosen = cut(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reps).select("bucket", "key", "size", "component"))
+        if chosen.isEmpty():
+            break
+        groups = chosen.groupBy("bucket").agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("size").alias("rep_size"), F.col("component").alias("part"))).alias("reps"))
+        groups = cut(groups.join(parts.select("bucket", "n"), "bucket"))
+        dealt = join_by_hot_key(many, groups, "bucket", "n", total).select("key", "size", "component", F.inline("reps")).where((F.col("component") != F.col("part")) & reach("size", "rep_size"))
+        dealt = dealt.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b"))
+        found = compare(cut((pairs.unionByName(dealt) if links is None else dealt).distinct()))
+        links = cut(found if links is None else links.unionByName(found))
+        taken = chosen.select("bucket", "key") if taken is None else taken.unionByName(chosen.select("bucket", "key"))
+        counted = many.drop("component").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
+        many = cut(counted.withColumn("component", F.coalesce("component", "key")))
+        reps *= 8
+    return links if links is not None else cut(compare(cut(pairs.distinct())))
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """pairs (a, b) with text_a and text_b from texts (key, text); those of hot keys are broadcast."""
+    total = max(1, pairs.count())
+    for end in ("a", "b"):
+        sizes = pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n"))
+        own = cut(texts.join(sizes, "key").select(F.col("key").alias(end), F.col(text).alias(f"text_{end}"), "n"))
+        pairs = join_by_hot_key(pairs, own, end, "n", total)
+    return pairs
