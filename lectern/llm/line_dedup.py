@@ -8,11 +8,8 @@ Jaccard similarity of 0.8 share at least one of ten keys with probability 0.999.
 Signatures and the exact comparison run in numpy and Python within Arrow batches: with DataFrame
 functions only they needed more than their budget (see the README). The rest are DataFrame operations.
 
-Only keys that two different lines have go on. All members of a key are compared with up to REPS
-of them, those with the most copies first: in keys of so few lines that is every pair. Of the
-members that none of these matches, twice as many are then compared with all members, and so on
-until none is left. So a line of a large key may miss a link only if a representative matches it
-and another matches its partner; it has nine more keys.
+Only keys that two different lines have go on. Every two lines of a key are compared, unless their
+sizes cannot reach the similarity or other links join them already; see links_within_buckets.
 Each comparison is the exact Jaccard similarity of the shingle sets; matches are links, and
 components come from distributed star contraction.
 
@@ -30,15 +27,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.llm.components import connected_components, join_by_hot_key
+from lectern.llm.components import connected_components, join_by_hot_key, links_within_buckets
 from lectern.llm.exact_dedup import filter_size
 from lectern.session import cut
 
 SHINGLE, SIMILARITY = 12, 0.8
 BINS, ROWS, BANDS = 32, 3, 10
-REPS = 8
 
 
 def shingles(line: str) -> set[str]:
@@ -126,7 +121,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, batch: int = 64) -> Data
 
 
 def members_of_shared_keys(signed: DataFrame) -> DataFrame:
-    """(bucket, key, copies): lines by band key, for keys that at least two different lines have."""
+    """(bucket, key): lines by band key, for keys that at least two different lines have."""
     rows = signed.where("key is not null").select(F.explode("keys").alias("bucket"), "key")
     shared = cut(rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket"))
     # a bounded filter lets few other rows through to the join
@@ -135,8 +130,7 @@ def members_of_shared_keys(signed: DataFrame) -> DataFrame:
     words = shared.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
     near = rows.withColumn("cell", cell).join(F.broadcast(words), F.shiftright("cell", 6) == F.col("word"))
     near = near.where(F.expr("shiftright(bits, cast(cell & 63 as int)) & 1 = 1"))
-    counted = near.groupBy("bucket", "key").agg(F.count("*").alias("copies"))
-    return counted.join(shared, "bucket", "left_semi")
+    return near.select("bucket", "key").distinct().join(shared, "bucket", "left_semi")
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,31 +153,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def set_size(line: Column) -> Column:
+    @F.pandas_udf("long")
+    def of(lines: pd.Series) -> pd.Series:
+        return pd.Series([len(shingles(x)) for x in lines], dtype="int64")
+
+    return of(line)
+
+
 def similar_lines(signed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(a, b): verified links between lines, by key."""
     members = cut(members_of_shared_keys(signed))
     wanted = members.select("key").distinct()
     lines = split_lines(docs, doc_id, text).select("key", "line")
-    texts = cut(lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")))
-    links, left, reps = None, members, REPS
-    while (total := left.count()) > 0:
-        best = Window.partitionBy("bucket").orderBy(F.desc("copies"), "key")
-        chosen = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= reps)
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-        groups = cut(chosen.groupBy("bucket").agg(F.collect_list("key").alias("reps")).join(sizes, "bucket"))
-        dealt = join_by_hot_key(members, groups, "bucket", "n", max(1, members.count() if links is not None else total))
-        pairs = dealt.select("bucket", "key", F.explode("reps").alias("rep")).where("key <> rep")
-        distinct = pairs.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
-        found = cut(compare(distinct, texts))
-        links = found if links is None else links.unionByName(found)
-        # left for the next round: in keys of more lines, those that were no representatives and that none matches
-        rest = left.join(groups.where(F.size("reps") == reps), "bucket").where(~F.array_contains("reps", F.col("key")))
-        tried = rest.select("bucket", "key", F.explode("reps").alias("rep"))
-        tried = tried.withColumns({"a": F.least("key", "rep"), "b": F.greatest("key", "rep")})
-        matched = tried.join(found, ["a", "b"]).select("bucket", "key").distinct()
-        left = cut(rest.select("bucket", "key", "copies").join(matched, ["bucket", "key"], "left_anti"))
-        reps *= 2
-    return links if links is not None else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    texts = lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    texts = cut(texts.withColumn("size", set_size(F.col("line"))))
+    return links_within_buckets(members.join(texts.select("key", "size"), "key"), lambda pairs: compare(pairs, texts), SIMILARITY)
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

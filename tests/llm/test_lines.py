@@ -70,3 +70,18 @@ def test_odd_rows(spark):
     assert line_dedup.line_groups(empty(spark)).count() == 0
     texts = {r.doc_id: r.text for r in line_dedup.without_duplicates(odd(spark)).collect()}
     assert texts[1] and texts[2] == ""
+
+
+def test_one_key_of_a_drifting_family_loses_no_link(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("aeioubcdfgklmnprst") for _ in range(6))
+    words = [word() for _ in range(60)]
+    lines = []
+    for k in range(100):
+        lines.append(" ".join(words))
+        words[k * 7 % 60] = word()
+    keys = [line_dedup.line_key(x) for x in lines]
+    docs = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    signed = spark.createDataFrame([(0, i, k, [1]) for i, k in enumerate(keys)], "doc_id long, line_no int, key long, keys array<long>")
+    links = [(r.a, r.b) for r in line_dedup.similar_lines(signed, docs, "doc_id", "text").collect()]
+    assert len(set(union(links, keys).values())) == 1
