@@ -16,13 +16,17 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distinct pre-tokens that a worker remembers; it starts anew beyond.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 150_000
+#: Code points from which on a text's pre-tokens aren't held all at once.
+LONG = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -87,7 +91,7 @@ class Encoder(dict):
 
         super().__init__()
         ranks = read_ranks(path)
-        self.cut = regex.compile(pattern).findall
+        self.cut = regex.compile(pattern)
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.known = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
@@ -107,7 +111,13 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text))) if text else b""
+        """Of a long text, pre-tokens are held some at a time."""
+        if not text:
+            return b""
+        if len(text) <= LONG:
+            return b"".join(map(self.__getitem__, self.cut.findall(text)))
+        found = (m[0] for m in self.cut.finditer(text))
+        return b"".join(iter(lambda: b"".join(map(self.__getitem__, islice(found, LONG))), b""))
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))) if ids else b""
@@ -119,36 +129,28 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """text -> binary: the ids as packed little-endian unsigned 32-bit integers; null -> no ids."""
-
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        to_ids = encoder(path, pattern).encode
-        for texts in batches:
-            yield pd.Series([to_ids(t) for t in texts], dtype=object)
-
-    return ids(text)
-
-
-def decode(ids: Column, path: str, pattern: str) -> Column:
-    """packed ids -> binary: the bytes that they stand for; null -> no bytes."""
-
-    @F.pandas_udf("binary")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        to_bytes = encoder(path, pattern).decode
-        for packed in batches:
-            yield pd.Series([to_bytes(p) for p in packed], dtype=object)
-
-    return raw(ids)
-
-
-def n_ids(ids: Column) -> Column:
-    return (F.octet_length(ids) / 4).cast("long")
+#: Rows that are worked on at once.
+ROWS = 128
+ENCODED = "ids binary, n_tokens long, decoded binary"
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ids (packed), n_tokens and decoded (binary) to every row of df."""
-    df = df.withColumn("ids", encode(F.col(text), path, pattern))
-    df = df.withColumn("n_tokens", n_ids(F.col("ids")))
-    return df.withColumn("decoded", decode(F.col("ids"), path, pattern))
+    """Adds ids (packed little-endian unsigned 32-bit integers), n_tokens and decoded (the ids' bytes) to every row of df.
+
+    One Arrow stage encodes and decodes, ROWS rows at a time; select the columns that are needed first.
+    """
+    names = [x.split()[0] for x in ENCODED.split(", ")]
+    kept = [c for c in df.columns if c not in names]
+    rows = df.select(F.col(text).alias("_encode"), *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = encoder(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                some = whole.slice(at, ROWS)
+                ids = [by.encode(t) for t in some.column(0).to_pylist()]
+                added = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([by.decode(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], *added], names=[*kept, *names])
+
+    schema = T.StructType([*(f for f in rows.schema.fields[1:]), *T.StructType.fromDDL(ENCODED)])
+    return rows.mapInArrow(run, schema)
