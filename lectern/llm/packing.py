@@ -14,18 +14,20 @@ Only the last window may be short. Queues with a quota below one token share a l
 after another. Targets default to the queues' own token counts: then every window has the
 corpus's own mixture.
 
-Two passes. The first tokenises, notes in each row its queue, its partition, and the queue's
-tokens before it in that partition, and writes the ids to the shared folder. What the queues have
-in each partition, at most MOST_PARTITIONS x MOST_QUEUES sums, is added up and broadcast. The
-second pass cuts each document at the window borders. Neither shuffles a text or an id.
-
-A null or empty text has the end mark as its only token. Null sources form a queue of their own;
-beyond MOST_QUEUES sources, they're dealt to so many queues by hash. Repeated rows are packed each
-for itself. An empty table gives no pieces.
+Two passes. The first tokenises, notes in each row its partition and its source's tokens before it
+there, and writes the ids to the shared folder. What the sources have in each partition is added up.
+Every source that earns a token a window, at most CAPACITY of them, and every source with a target
+is a queue; the others share one queue, partition by partition. The second pass cuts each document
+at the window borders. The sums are broadcast while they're at most MOST_SUMS, then no id shuffles;
+beyond, Spark joins them as it sees fit, with the same result.
+
+A null or empty text has the end mark as its only token. Rows without a source form a queue of their
+own. Repeated rows are packed each for itself. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import uuid
@@ -42,67 +44,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.session import checkpoint_root
+from lectern.llm.byte_bpe import byte_alphabet
+from lectern.session import checkpoint_root, cut
 
 CAPACITY = 4096
 END = 2
-#: Bound of what is broadcast: 8,192 x 256 sums.
-MOST_PARTITIONS, MOST_QUEUES = 8192, 256
-#: Distinct words that a worker remembers; it starts anew beyond.
-CACHE_SIZE = 500_000
+MOST_PARTITIONS = 8192
+#: Sums by source and partition that are broadcast: some 100 MB.
+MOST_SUMS = 1 << 20
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokens end at white space: distinct words are encoded once."""
+    """The ids of a tokenizers file whose words end with a mark, by byte-pair merges of whole texts at once.
+
+    Every word is followed by one space, which no word holds and which stands for the mark; the file's
+    ids are the ranks of the merges. Texts with characters that libraries lower, part or number
+    differently go through the file itself, whole. Special tokens are those of the file.
+    """
+
+    #: Numbers that are no decimal digits, rare white space, and letters that newer tables have.
+    ODD = "".join(c for c in map(chr, range(0x10000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha() or c.isspace() and c not in " \t\n\r")
+    _odd = re.compile(f"[{ODD}\u1c89\u1c8a\ua7cb-\ua7dc\U00010000-\U0001efff\U0001f100-\U0001f10c]").search
+    SIGNS = "\\0-\\x08\\x0e-\\x1b!-/:-@\\[-`{-\\xa9\\xab-\\xb4\\xb6-\\xb9\\xbb-\\xbf\\xd7\\xf7\\u2010-\\u2027\\u2030-\\u205e"
+    # signs in a row, or a digit, are a word; contractions too. The second form is for alphabets beyond Latin.
+    _wide = re.compile("[^\0-\u024f\u2010-\u2027\u2030-\u205e]").search
+    _latin = re.compile(f"(?=[0-9{SIGNS}])(?:'(?:s|t|re|ve|m|ll|d)|[{SIGNS}]+|[0-9])").sub
+    _any = re.compile(r"'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+|\d").sub
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        #: by id, whether it ends a pre-token
-        self.ends = np.array([token.endswith("</w>") for token, _ in sorted(self.model.get_vocab().items(), key=lambda x: x[1])])
-        self.set_off = re.compile(rb"(?<=[a-z0-9])[.,!?;:]+(?=[ \n])").sub
-
-    def words(self, text: str | None) -> list[bytes]:
-        """Pieces at whose borders no token and no normalisation reaches over."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        low = raw.lower()
-        if not text or text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode("utf-8", "surrogatepass")):
-            raw = low  # the normaliser lowers anyway; here composition is none the wiser
-        return self.set_off(rb" \g<0>", raw).split()
-
-    def _learn(self, new: list[bytes], joined: int = 50) -> None:
-        """Words of letters only are one pre-token each: they're encoded many at once and parted where a pre-token ends."""
-        texts = [w.decode("utf-8", "surrogatepass") for w in new]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        runs = [plain[i : i + joined] for i in range(0, len(plain), joined)]
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
-        encoded = self.model.encode_batch_fast([" ".join(texts[i] for i in run) for run in runs], add_special_tokens=False)
-        for run, e in zip(runs, encoded, strict=True):
-            ids = np.array(e.ids, "<u2")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(run):
-                rest += run
-                continue
-            packed, begin = ids.tobytes(), 0
-            for i, end in zip(run, ends, strict=True):
-                self.known[new[i]] = packed[2 * begin : 2 * end]
-                begin = end
-        encoded = self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-        self.known.update((new[i], np.array(e.ids, "<u2").tobytes()) for i, e in zip(rest, encoded, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers."""
-        cut = [self.words(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(new) + len(self.known) > CACHE_SIZE:
-            self.known.clear()
-            new = list(set().union(*cut))
-        self._learn(new)
-        of = self.known.__getitem__
-        return [b"".join(map(of, words)) for words in cut]
+        with open(path, encoding="utf-8") as file:
+            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        self.special = {x: np.array([i], "<u2").tobytes() for x, i in special.items()}
+        self.parted = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
+        byte = {c: i for i, c in enumerate(byte_alphabet())}
+        words = {x: i for x, i in self.model.get_vocab().items() if x not in special}
+        ranks = {bytes(byte[c] for c in x.removesuffix("</w>")) + b" " * x.endswith("</w>"): i for x, i in words.items()}
+        self.ids = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _encode(self, text: str) -> bytes:
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        if self._odd(low):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        low = (self._any if self._wide(low) else self._latin)(r" \g<0> ", low)
+        return np.array(self.ids(low.replace("\n", " ").replace("\t", " ").replace("\r", " ") + " "), "<u2").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 16-bit integers."""
+        if text and "<|" in text and self.parted:
+            return b"".join(self.special.get(x) or self._encode(x) for x in self.parted(text) if x)
+        return self._encode(text) if text else b""
 
 
 @lru_cache(maxsize=2)
@@ -114,11 +108,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-TOKENISED = "doc_id long, queue int, part int, before long, n long, ids binary"
+TOKENISED = "doc_id long, source string, part int, before long, n long, ids binary"
 
 
 def tokenise(docs: DataFrame, path: str, batch: int = 200) -> DataFrame:
-    """docs (doc_id, queue, text) -> TOKENISED: ids with the end mark; before: the queue's tokens ahead in this partition."""
+    """docs (doc_id, source, text) -> TOKENISED: ids with the end mark; before: the source's tokens ahead in this partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, sums = tokenizer(path).encode, TaskContext.get().partitionId(), {}
@@ -126,19 +120,18 @@ def tokenise(docs: DataFrame, path: str, batch: int = 200) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 some = whole.slice(at, batch)
-                queues = some.column(1).to_pylist()
-                ids = [x + end for x in encode(some.column(2).to_pylist())]
+                ids = [encode(x) + end for x in some.column(2).to_pylist()]
                 before = []
-                for queue, x in zip(queues, ids, strict=True):
-                    before.append(sums.get(queue, 0))
-                    sums[queue] = before[-1] + len(x) // 2
+                for source, x in zip(some.column(1).to_pylist(), ids, strict=True):
+                    before.append(sums.get(source, 0))
+                    sums[source] = before[-1] + len(x) // 2
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array([part] * n, pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "queue", "part", "before", "n", "ids"],
+                    names=["doc_id", "source", "part", "before", "n", "ids"],
                 )
 
-    return docs.select("doc_id", "queue", "text").coalesce(MOST_PARTITIONS).mapInArrow(run, TOKENISED)
+    return docs.select("doc_id", "source", "text").coalesce(MOST_PARTITIONS).mapInArrow(run, TOKENISED)
 
 
 class Plan:
@@ -165,14 +158,15 @@ class Plan:
         self.starts = [[x[0] for x in s] for s in self.stretches]
 
     def _merge(self, totals: dict[int, int], share: dict[int, int]) -> list[list[int]]:
-        """Lanes of one queue each, but for queues that earn under one token a window: they share one."""
+        """Lanes of one queue each, but for queues that earn under one token a window, and for those without a target: they share one each."""
         whole = sum(share.values())
-        order = sorted(totals, key=lambda q: (share[q], q))
+        order = sorted((q for q in totals if share[q]), key=lambda q: (share[q], q))
+        last = [q for q in totals if not share[q]]
         lane, small = [], 0
         while order and (not lane or small * self.capacity < whole) and (lane or share[order[0]] * self.capacity < whole):
             lane.append(order.pop(0))
             small = sum(share[q] for q in lane)
-        return [*([sorted(lane)] if lane else []), *([q] for q in sorted(order))]
+        return [*([sorted(lane)] if lane else []), *([q] for q in sorted(order)), *([last] if last else [])]
 
     def _lay(self, left: list[int], weights: list[int]) -> None:
         done, window, cap = [0] * len(left), 0, self.capacity
@@ -248,12 +242,37 @@ class Plan:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def queue_table(docs: DataFrame, source: str) -> DataFrame:
-    """(source, queue) for at most MOST_QUEUES sources; beyond, an empty table: queues then go by hash."""
-    sources = docs.select(F.col(source).cast("string").alias("source")).distinct().limit(MOST_QUEUES + 1).collect()
-    names = sorted((x["source"] for x in sources), key=lambda x: (x is not None, x or ""))
-    names = names if len(names) <= MOST_QUEUES else []
-    return docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "source string, queue int")
+def _key(source: str) -> str:
+    """A source's name as it is kept in tables; rows without a source have the name -."""
+    return f"+{source}"
+
+
+def queues_of(sums: DataFrame, targets: dict[str, float] | None, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
+    """(source, part, queue, base): where a source's tokens of a partition begin in their queue; and the plan of the queues.
+
+    sums: (source, part, n). The sources that earn a token a window are at most capacity.
+    """
+    named = {_key(k): v for k, v in (targets or {}).items()}
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    whole = sums.agg(F.sum("n")).first()[0] or 0
+    large = totals.where((F.col("n") * capacity >= whole) | F.col("source").isin(*named)).orderBy("source").collect()
+    number = {x["source"]: i for i, x in enumerate(large)}
+    own = {i: x["n"] for i, x in enumerate(large)}
+    rest = len(large)
+    queues = sums.sparkSession.createDataFrame(list(number.items()), "source string, queue int")
+    marked = sums.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(rest)))
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = marked.where(F.col("queue") < rest).select("source", "part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    shared = whole - sum(own.values())
+    if shared:  # the others, partition by partition, in one by the source's name
+        small = marked.where(F.col("queue") == rest)
+        parts = small.groupBy("queue", "part").agg(F.sum("n").alias("n"))  # at most MOST_PARTITIONS rows
+        before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+        inside = Window.partitionBy("part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+        small = small.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part")
+        bases = bases.unionByName(small.select("source", "part", "queue", (F.col("begin") + F.col("inside")).alias("base")))
+    return bases, Plan(own | {rest: shared}, {number[k]: v for k, v in named.items() if k in number} if targets else None, capacity)
 
 
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
@@ -263,23 +282,17 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     of the piece's ids.
     """
     spark = docs.sparkSession
-    queues = queue_table(docs, source)
-    names = {x["source"]: x["queue"] for x in queues.collect()}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    if names:
-        rows = rows.join(F.broadcast(queues.withColumnRenamed("source", "_name")), F.col("source").eqNullSafe(F.col("_name")))
-    else:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("int"))
+    name = F.coalesce(F.concat(F.lit("+"), F.col(source).cast("string")), F.lit("-"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), name.alias("source"), F.col(text).alias("text"))
     folder = f"{checkpoint_root(spark)}/packing-{uuid.uuid4().hex}"
     tokenise(rows, path).write.option("compression", "zstd").parquet(folder)
     tokens = spark.read.parquet(folder)
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    totals = {x["queue"]: x["n"] for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    plan = Plan(totals, {names[k]: v for k, v in targets.items() if k in names} if targets else None)
+    sums = cut(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")))
+    bases, plan = queues_of(sums, targets)
+    if sums.count() <= MOST_SUMS:
+        bases = F.broadcast(bases)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc, queue, base, before, n, packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -293,5 +306,5 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=schema.names)
 
     schema = T.StructType.fromDDL(PIECES + ", ids binary" * with_ids)
-    placed = tokens.join(F.broadcast(bases), ["queue", "part"])
-    return placed.select("doc_id", "queue", "base", "before", "n", "ids").mapInArrow(cut, schema)
+    placed = tokens.join(bases, ["source", "part"])
+    return placed.select("doc_id", "queue", "base", "before", "n", "ids").mapInArrow(cut_up, schema)

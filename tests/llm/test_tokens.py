@@ -95,7 +95,6 @@ def test_plan_against_stepwise_deficit_round_robin():
 
 def check_pieces(rows, pieces):
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     by_doc, windows = {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id or 0, []).append(p)
@@ -132,15 +131,42 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
-def test_many_sources_go_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
-    docs = spark.createDataFrame([(i, f"text number {i} " * 40, f"s{i % 9}") for i in range(60)], "doc_id long, text string, source string")
-    check_pieces({r.doc_id: [r.text] for r in docs.collect()}, packing.pack(docs, WORDS).collect())
+def test_many_sources_keep_their_targets(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 400, f"s{i % 400}") for i in range(1200)], "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, WORDS, targets={"s1": 3.0, "s2": 1.0}).collect()
+    check_pieces({r.doc_id: [r.text] for r in docs.collect()}, pieces)
+    first = {s: sum(p.length for p in pieces if p.sequence_id == 0 and p.doc_id % 400 == s) for s in (1, 2)}
+    assert first == {1: 3072, 2: 1024}
+
+
+def test_sources_below_a_token_a_window_share_a_queue(spark):
+    sums = spark.createDataFrame([(f"+{s}", p, 10 if s % 3 else 1) for s in range(30) for p in range(4) if (s + p) % 5], "source string, part int, n long")
+    bases, plan = packing.queues_of(sums, None, capacity=16)
+    n = {(r.source, r.part): r.n for r in sums.collect()}
+    taken = {}
+    for r in bases.collect():
+        taken.setdefault(r.queue, []).append((r.base, n[r.source, r.part]))
+    assert len(n) == sum(map(len, taken.values())) and len(taken) < 30
+    for own in taken.values():
+        at = 0
+        for base, size in sorted(own):
+            assert base == at
+            at += size
+
+
+def test_special_tokens_and_every_code_point():
+    model, mine = Tokenizer.from_file(WORDS), packing.tokenizer(WORDS)
+    texts = ["x <|endoftext|> y", "<|endoftext|><|startoftext|>", "a<|x|>b <|endoftext|", "É<|endoftext|>\u0301", "don't 'tis ''s .'s o'clock_ a_b 1½2"]
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            texts.append(f"ab{chr(c)}cd {chr(c)} 1{chr(c)}2 x{chr(c)}{chr(c)}. .{chr(c)}Q")
+    for i in range(0, len(texts), 20_000):
+        for text, e in zip(texts[i : i + 20_000], model.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)):
+            assert mine.encode(text) == struct.pack(f"<{len(e.ids)}H", *e.ids), ascii(text)
 
 
 def test_words_split_where_the_tokenizer_does():
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     for text in [*STRANGE, "H̱ ẖ İ", "it's. don't!! %%%. a.b. x,\n", "́abc é", "a\x1cb a\x85b\xa0c", "ΟΔΟΣ. ÀÉ À", "日本 語。"]:
         ids = model.encode(text, add_special_tokens=False).ids
-        assert packing.tokenizer(WORDS).encode([text])[0] == struct.pack(f"<{len(ids)}H", *ids), text
+        assert packing.tokenizer(WORDS).encode(text) == struct.pack(f"<{len(ids)}H", *ids), text
