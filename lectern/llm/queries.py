@@ -128,7 +128,8 @@ def _op1() -> str:
     for kind, (symbols, _, _, limit) in classes:
         low = "s" if len(symbols) > 22 else "lower(s)"
         needs = "regexp_matches(s, '[A-Fa-f]')" if kind == "entropy_hex" else "regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')"
-        allowed = " AND ".join(f"NOT regexp_matches(s, '{quoted(a)}')" for a in secrets.ALLOWED)
+        finds = lambda a: " AND ".join([*(f"regexp_matches(s, '{quoted(p)}')" for p in a.every), *(f"NOT regexp_matches(s, '{quoted(p)}')" for p in a.none)])
+        allowed = " AND ".join(f"NOT ({finds(a)})" for a in secrets.ALLOWED)
         windows = f"list_filter(range(0, length(s) - {secrets.WINDOW - 1}), lambda i: list_aggregate(string_split(substr({low}, i + 1, {secrets.WINDOW}), ''), 'entropy') >= {limit} - 1e-9)"
         hot.append(f"SELECT doc_id, kind, start, {windows} AS w FROM found WHERE kind = {secrets.KINDS.index(kind)} AND {needs} AND {allowed}")
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"

@@ -1,12 +1,15 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from lectern.llm import queries, secrets
 from tests.conftest import MIDDLE
 from tests.llm.helpers import empty, odd
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ALLOWED = [*(a.every[0] for a in secrets.ALLOWED[:3]), "^/?(?:[A-Za-z_-]+[0-9]{0,4}/)+[A-Za-z0-9_-]{0,23}$"]
 CRAFTED = [
     'password = "hunter22" and PASSWD:abc, Api_Key==x123456 token=token: abcdefgh',
     "AKIA" + "A1" * 8 + " xAKIA" + "B" * 15 + " AKIAAKIA" + "C" * 20,
@@ -30,7 +33,7 @@ def entropic(text):
     for kind, (symbols, pattern, needs, limit) in secrets.CLASSES.items():
         for m in re.finditer(pattern, text):
             s = m[0]
-            if not re.search(needs, s) or any(re.search(a, s) for a in secrets.ALLOWED):
+            if not re.search(needs, s) or any(re.search(a, s) for a in ALLOWED):
                 continue
             low = s.lower() if len(symbols) <= 22 else s
             hot = []
@@ -84,3 +87,32 @@ def test_redaction(spark):
     got = secrets.redact(df).orderBy("doc_id").collect()
     assert [(r.text, r.assign) for r in got] == [("a [SECRET]' b", 1), (None, 2), ("clean", 3), ("x [SECRET] é", 4)]
     assert secrets.redact(df).columns == df.columns
+
+
+def test_paths_against_one_pattern(spark):
+    rnd = random.Random(5)
+    parts = ["/", "/", "a", "Zx_", "-", "7", "12345", "b9", "9b", "+", "usr", "lib1234", "Q1w2E3r4T5y6"]
+    made = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14))) for _ in range(4000)] + ["usr/" + "a" * 23, "usr/" + "a" * 24, "/a1/", "//a/", "a//b"]
+    path = secrets.ALLOWED[3]
+    from pyspark.sql import functions as F
+
+    c = F.col("c")
+    finds = [c.rlike(p) for p in path.every] + [~c.rlike(p) for p in path.none]
+    got = {r.c: r.ok for r in spark.createDataFrame([(x,) for x in set(made)], "c string").select("c", F.forall(F.array(*finds), lambda x: x).alias("ok")).collect()}
+    assert got == {x: bool(re.search(ALLOWED[3], x)) for x in made}
+    assert 100 < sum(got.values()) < len(got)
+
+
+def test_long_candidates_take_linear_time(spark):
+    rnd = random.Random(2)
+    symbols = secrets.CLASSES["entropy_base64"][0]
+    docs = [(1, "a1/" * 50_000), (2, "".join(rnd.choice(symbols) for _ in range(200_000))), (3, "token = abcdef12 \n" * 20_000), (4, "f0e1d2c3b4a5968778695a4b3c2d1e0f" * 5_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in scan(df)}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.time() - began < 60
+    assert got[1].spans == "" and masked[1] == docs[0][1]
+    assert got[2].spans == "entropy_base64:0:200000" and masked[2] == "[SECRET]"
+    assert got[3].n_assign == 20_000 and masked[3] == "[SECRET] \n" * 20_000
+    assert got[4].n_hex == 1 and masked[4] == "[SECRET]"
