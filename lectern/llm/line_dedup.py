@@ -2,16 +2,18 @@
 
 A line's shingles are its runs of SHINGLE characters, or the whole line if it is shorter. Its
 signature has BINS bins: a shingle's hash tells its bin, and the smallest of a bin counts
-(one-permutation MinHash). BANDS bands of ROWS bins each give the candidate keys; two lines with a
-Jaccard similarity of 0.8 share at least one of ten keys with probability 0.999.
+(one-permutation MinHash); an empty bin takes the value of another one, which its number alone
+chooses. BANDS bands of ROWS values each, from bins that are chosen likewise, give the candidate
+keys: two lines with a Jaccard similarity of 0.8 share one of them with a probability of 0.998.
 
 Signatures and the exact comparison run in numpy and Python within Arrow batches: with DataFrame
 functions only they needed more than their budget (see the README). The rest are DataFrame operations.
 
-Only keys that two different lines have go on. Every two lines of a key are compared, unless their
-sizes cannot reach the similarity or other links join them already; see links_within_buckets.
-Each comparison is the exact Jaccard similarity of the shingle sets; matches are links, and
-components come from distributed star contraction.
+Only keys that two different lines have go on. Every two lines of a key are candidates, unless their
+sketches (a bit for each bin) differ in more than FAR
+places, or other links join them already; see links_within_buckets. At a similarity of 0.8 sketches
+differ in about six places, unlike lines' in 32. Each candidate is compared by the exact Jaccard
+similarity of the shingle sets; matches are links, and components come from distributed star contraction.
 
 The first occurrence of a component stays: by id (null last), then place. Blank lines are no
 duplicates and always stay. A null text counts as one blank line. Rows that repeat an id and its
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.components import connected_components, join_by_hot_key, links_within_buckets
-from lectern.llm.exact_dedup import filter_size
+from lectern.llm.components import connected_components, join_by_hot_key, links_within_buckets, only_keys, with_texts
 from lectern.session import cut
 
-SHINGLE, SIMILARITY = 12, 0.8
-BINS, ROWS, BANDS = 32, 3, 10
+SHINGLE, SIMILARITY = 5, 0.8
+BINS, ROWS, BANDS = 64, 6, 20
+#: Sketches of lines with at least LEAST shingles are looked at.
+FAR, LEAST = 20, 24
 
 
 def shingles(line: str) -> set[str]:
@@ -45,42 +48,62 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def smallest_hashes(lines: list[str], block: int = 1 << 20) -> np.ndarray:
-    """(lines, BINS): the least hash of each bin, or the largest number if it's empty.
+def smallest_hashes(lines: list[str], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BINS): the least hash of each bin, none of them empty; and the number of shingles of each line.
 
     Lines stand one after the other as code points, each with SHINGLE - 1 zeros behind it, and are
     hashed together, at most block shingles at once.
     """
     points = np.frombuffer(("\0" * (SHINGLE - 1)).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.array([len(x) for x in lines])
+    sizes = np.array([len(x) for x in lines], np.int64)
     begins = np.cumsum(sizes + SHINGLE - 1) - sizes - SHINGLE + 1
     windows = np.maximum(sizes - SHINGLE + 1, 1)
     ends = np.cumsum(windows)
     out = np.full(len(lines) * BINS, _NONE, np.uint64)
     for at in range(0, int(ends[-1]) if lines else 0, block):
         index = np.arange(at, min(at + block, int(ends[-1])))
-        line = np.searchsorted(ends, index, side="right")
+        line = np.repeat(np.arange(len(lines)), np.clip(np.minimum(ends, at + block) - np.maximum(ends - windows, at), 0, None))
         place = begins[line] + index - (ends - windows)[line]
         h = np.zeros(len(index), np.uint64)
         for j in range(SHINGLE):
             h = h * np.uint64(0x100000001B3) + points[place + j]
         h = _mixed(_mixed(h))
-        bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-        np.minimum.at(out, line * BINS + bins.astype(np.int64), _mixed(h))
-    return out.reshape(len(lines), BINS)
+        np.minimum.at(out, line * BINS + (h >> np.uint64(58)).astype(np.int64), _mixed(h))
+    out = out.reshape(len(lines), BINS)
+    return _filled(out), windows
 
 
 _NONE = np.uint64(2**64 - 1)
-
-
-def band_keys(smallest: np.ndarray) -> list[np.ndarray]:
-    """The keys of each line's bands that aren't empty."""
-    rows = smallest[:, : BANDS * ROWS].reshape(len(smallest), BANDS, ROWS)
+_RANDOM = np.random.default_rng(5)
+#: Bins that an empty one looks at in turn, and the bins of each band.
+_DONORS = np.stack([_RANDOM.permutation(BINS) for _ in range(BINS)])
+_OF_BAND = np.concatenate([_RANDOM.permutation(BINS)[: ROWS * (BINS // ROWS)] for _ in range(-(-BANDS // (BINS // ROWS)))])[: BANDS * ROWS]
+
+
+def _filled(smallest: np.ndarray) -> np.ndarray:
+    """Empty bins get the value of the first of their donors that has one."""
+    out = smallest.copy()
+    for turn in range(BINS):
+        rows, bins = np.nonzero(out == _NONE)
+        if not len(rows):
+            break
+        out[rows, bins] = smallest[rows, _DONORS[bins, turn]]
+    return out
+
+
+def band_keys(smallest: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): the keys of each line's bands."""
+    rows = smallest[:, _OF_BAND].reshape(len(smallest), BANDS, ROWS)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(smallest), 1))
     for r in range(ROWS):
         keys = _mixed(keys * np.uint64(0x100000001B3) + rows[:, :, r])
-    some = (rows != _NONE).any(axis=2)
-    return [k[s] for k, s in zip(keys.view(np.int64), some, strict=True)]
+    return keys.view(np.int64)
+
+
+def sketches(smallest: np.ndarray) -> np.ndarray:
+    """A bit of each bin's value."""
+    bits = (_mixed(smallest) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
 def line_key(line: str) -> int | None:
@@ -99,7 +122,7 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, batch: int = 64) -> DataFrame:
-    """(doc_id, line_no, key, keys): key: of the line, null if blank; keys: of its bands."""
+    """(doc_id, line_no, key, size, sketch, keys): key: of the line, null if blank; size: its shingles, repeats included; keys: of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,67 +131,61 @@ def signatures(docs: DataFrame, doc_id: str, text: str, batch: int = 64) -> Data
                 split = [(t or "").split("\n") for t in some.column(1).to_pylist()]
                 lines = [x for own in split for x in own]
                 keys = [line_key(x) for x in lines]
-                full = [i for i, k in enumerate(keys) if k is not None]
-                found: list = [None] * len(lines)
-                for i, own in zip(full, band_keys(smallest_hashes([lines[i] for i in full])), strict=True):
-                    found[i] = own
+                full = np.array([i for i, k in enumerate(keys) if k is not None], np.int64)
+                smallest, sizes = smallest_hashes([lines[i] for i in full])
+                lengths = np.zeros(len(lines), np.int64)
+                lengths[full] = BANDS
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                bands = pa.ListArray.from_arrays(offsets, pa.array(band_keys(smallest).ravel()))
+                size, sketch = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+                size[full], sketch[full] = sizes, sketches(smallest)
                 owner = pa.array(np.repeat(np.arange(len(split)), [len(own) for own in split]))
                 numbers = np.concatenate([np.arange(len(own), dtype=np.int32) for own in split])
-                yield pa.RecordBatch.from_arrays([some.column(0).take(owner), pa.array(numbers), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "line_no", "key", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(owner), pa.array(numbers), pa.array(keys, pa.int64()), pa.array(size), pa.array(sketch), bands], names=["doc_id", "line_no", "key", "size", "sketch", "keys"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no int, key long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no int, key long, size long, sketch long, keys array<long>")
 
 
 def members_of_shared_keys(signed: DataFrame) -> DataFrame:
-    """(bucket, key): lines by band key, for keys that at least two different lines have."""
-    rows = signed.where("key is not null").select(F.explode("keys").alias("bucket"), "key")
+    """(bucket, key, own): lines by band key, for keys that at least two different lines have."""
+    rows = signed.where("key is not null").select(F.explode("keys").alias("bucket"), "key", F.struct("size", "sketch").alias("own"))
     shared = cut(rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket"))
-    # a bounded filter lets few other rows through to the join
-    cells = filter_size(shared.count())
-    cell = F.col("bucket").bitwiseAND(F.lit(cells - 1))
-    words = shared.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
-    near = rows.withColumn("cell", cell).join(F.broadcast(words), F.shiftright("cell", 6) == F.col("word"))
-    near = near.where(F.expr("shiftright(bits, cast(cell & 63 as int)) & 1 = 1"))
-    return near.select("bucket", "key").distinct().join(shared, "bucket", "left_semi")
+    return only_keys(rows, shared, "bucket", shared.count()).distinct()
+
+
+def may_reach(a: Column, b: Column) -> Column:
+    """Whether lines of these sizes and sketches are candidates."""
+    short = F.least(a["size"], b["size"]) < LEAST
+    return short | (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= FAR)
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines have a Jaccard similarity of at least SIMILARITY. texts: (key, line)."""
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-    both = with_a.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.where(jaccard(F.col("line_a"), F.col("line_b")) >= SIMILARITY).select("a", "b")
+    """The pairs (a, b) whose lines have a Jaccard similarity of at least SIMILARITY. texts: (key, line), also of other lines."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    own = only_keys(texts, wanted, "key", wanted.count()).dropDuplicates(["key"])
+    return with_texts(pairs, cut(own), "line").where(jaccard(F.col("text_a"), F.col("text_b")) >= SIMILARITY).select("a", "b")
 
 
 def jaccard(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+        out, last, own = [], None, set()
         for x, y in zip(a, b):
-            x, y = shingles(x), shingles(y)
-            common = len(x & y)
-            out.append(common / (len(x) + len(y) - common))
+            if x != last:
+                last, own = x, shingles(x)
+            other = shingles(y)
+            common = len(own & other)
+            out.append(common / (len(own) + len(other) - common))
         return pd.Series(out, dtype="float64")
 
     return of(a, b)
 
 
-def set_size(line: Column) -> Column:
-    @F.pandas_udf("long")
-    def of(lines: pd.Series) -> pd.Series:
-        return pd.Series([len(shingles(x)) for x in lines], dtype="int64")
-
-    return of(line)
-
-
 def similar_lines(signed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(a, b): verified links between lines, by key."""
-    members = cut(members_of_shared_keys(signed))
-    wanted = members.select("key").distinct()
-    lines = split_lines(docs, doc_id, text).select("key", "line")
-    texts = lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    texts = cut(texts.withColumn("size", set_size(F.col("line"))))
-    return links_within_buckets(members.join(texts.select("key", "size"), "key"), lambda pairs: compare(pairs, texts), SIMILARITY)
+    texts = split_lines(docs, doc_id, text).select("key", "line")
+    return links_within_buckets(members_of_shared_keys(signed), lambda pairs: compare(pairs, texts), may_reach)
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from lectern.llm import line_dedup
+from tests.conftest import MIDDLE
 from tests.llm.helpers import empty, odd
 from tests.llm.test_dedup import union
 
@@ -82,6 +83,57 @@ def test_one_key_of_a_drifting_family_loses_no_link(spark):
         words[k * 7 % 60] = word()
     keys = [line_dedup.line_key(x) for x in lines]
     docs = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
-    signed = spark.createDataFrame([(0, i, k, [1]) for i, k in enumerate(keys)], "doc_id long, line_no int, key long, keys array<long>")
+    signed = spark.createDataFrame([(0, i, k, 400, 0, [1]) for i, k in enumerate(keys)], "doc_id long, line_no int, key long, size long, sketch long, keys array<long>")
     links = [(r.a, r.b) for r in line_dedup.similar_lines(signed, docs, "doc_id", "text").collect()]
     assert len(set(union(links, keys).values())) == 1
+
+
+def linked(lines):
+    """All pairs at 0.8 or more, by the rarest fifth of each line's shingles: that loses none."""
+    own, often, holders, pairs = {x: sets(x) for x in lines}, Counter(), {}, set()
+    for s in own.values():
+        often.update(s)
+    for x, s in own.items():
+        near = set()
+        for g in sorted(s, key=lambda g: (often[g], g))[: len(s) - (4 * len(s) + 4) // 5 + 1]:
+            near.update(holders.get(g, ()))
+            holders.setdefault(g, []).append(x)
+        pairs |= {(x, y) for y in near if len(s & own[y]) >= 0.8 * len(s | own[y])}
+    return pairs
+
+
+def test_every_line_of_a_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, j, x) for r in docs.collect() for j, x in enumerate((r.text or "").split("\n"))]
+    distinct = {x for *_, x in rows if x.strip(" ")}
+    pairs = linked(distinct)
+    assert len(pairs) > 100
+    root, first = union(pairs, distinct), {}
+    for i, j, x in sorted(rows):
+        if x in root:
+            first.setdefault(root[x], (i, j))
+    want = {(i, j): first[root[x]] if x in root else (i, j) for i, j, x in rows}
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.line_groups(docs).collect()}
+    assert got.keys() == want.keys()
+    assert sum(got[k] != want[k] for k in got) <= 0.002 * len({k for k, x in want.items() if x != k})
+
+
+def test_one_edit_in_short_lines_is_found():
+    rnd, hits = random.Random(8), []
+    for _ in range(400):
+        line = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(rnd.randrange(50, 90)))
+        at = rnd.randrange(len(line))
+        other = line[:at] + "#" + line[at + 1 :]
+        a, b = sets(line), sets(other)
+        assert len(a & b) >= 0.8 * len(a | b)
+        keys = line_dedup.band_keys(line_dedup.smallest_hashes([line, other])[0])
+        hits.append((keys[0] == keys[1]).any())
+    assert sum(hits) >= 0.995 * len(hits)
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rnd = random.Random(1)
+    lines = ["x", "ab cd", *("".join(rnd.choice("abc d") for _ in range(rnd.randrange(1, 300))) for _ in range(50))]
+    whole, sizes = line_dedup.smallest_hashes(lines)
+    parts = [line_dedup.smallest_hashes([x], block=16)[0][0] for x in lines]
+    assert (whole == parts).all() and list(sizes) == [max(1, len(x) - line_dedup.SHINGLE + 1) for x in lines]
