@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,10 @@ from lectern.session import cut
 
 #: A key is hot when more than this share of the rows has it; so fewer than 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 500
+#: The most cells that a filter of keys may have: 1 Mi words of 64 cells, 16 MB of longs.
+MOST_CELLS = 1 << 26
+#: Rows of one key that stay in one task, where rows are dealt with a long value each.
+DEALT = 256
 
 
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -30,6 +34,29 @@ def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, tot
     return at_once.unionByName(rest.select(*rows.columns, *values))
 
 
+def filter_size(n: int, each: int = 16) -> int:
+    """Cells of a filter for n keys: a power of two, at most MOST_CELLS."""
+    return min(MOST_CELLS, max(1 << 12, 1 << (each * max(1, n) - 1).bit_length()))
+
+
+def sieved(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with column _in: false where key, a long, is surely none of keys; n: how many keys there are.
+
+    The filter of at most MOST_CELLS cells is broadcast; no row shuffles.
+    """
+    cells = filter_size(n)
+    mixed = lambda c: F.xxhash64(c).bitwiseAND(F.lit(cells - 1))
+    words = keys.select(mixed(F.col(key)).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_cell & 63 as int)))").alias("_bits"))
+    columns = rows.columns
+    marked = rows.withColumn("_at", mixed(F.col(key))).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"), "left")
+    return marked.select(*columns, F.expr("coalesce(shiftright(_bits, cast(_at & 63 as int)) & 1, 0) = 1").alias("_in"))
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose key is among keys, distinct ones, n of them: few others reach the join."""
+    return sieved(rows, keys, key, n).where("_in").drop("_in").join(keys.select(key), key, "left_semi")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link to another: the smallest node reachable.
 
@@ -59,14 +86,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], similarity: float = 0.8, paired: int = 16, reps: int = 8) -> DataFrame:
+def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
+    """Whether sets of these sizes, in the field size, can have the similarity."""
+    return F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
+
+
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
-    members: (bucket, key, size), keys distinct within a bucket; size: of the key's set, as sets whose
-    sizes differ by more than the similarity cannot reach it. compare: of pairs (a, b) those that
-    are linked. Buckets of at most paired members are compared in pairs. In a larger one, reps
-    members are compared with all others; then, with the components so far, eight times as many of
-    the members outside the bucket's largest component that were not taken yet, each with all
+    members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from the
+    key, by which reach rules out pairs at once. compare: of pairs (a, b) those that are linked.
+    Buckets of at most paired members are compared in pairs. In a larger one, reps members are
+    compared with all others; then, with the components so far, eight times as many of the
+    members outside the bucket's largest component that were not taken yet, each with all
     members of other components, and so on until none is left. So of two members that end in
     different components at least one was compared with the other: nothing is lost, and a bucket
     that is one component takes linear work.
@@ -74,9 +106,8 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
     members = cut(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     few = members.join(sizes.where(F.col("n") <= paired), "bucket", "left_semi")
-    a, b = few.select("bucket", F.col("key").alias("a"), F.col("size").alias("size_a")), few.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"))
-    reach = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (similarity - 1e-9)
-    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach("size_a", "size_b")).select("a", "b")
+    a, b = (few.select("bucket", F.col("key").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach(F.col("own_a"), F.col("own_b"))).select("a", "b")
     many = cut(members.join(sizes.where(F.col("n") > paired), "bucket", "left_semi").withColumn("component", F.col("key")))
     links, taken, total = None, None, many.count()
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
@@ -88,13 +119,19 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
             parts = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("n"), F.count("*").alias("parts"))
             parts = cut(parts.where("parts > 1").select("bucket", "largest", "n"))
             left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest").join(taken, ["bucket", "key"], "left_anti")
-        chosen = cut(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reps).select("bucket", "key", "size", "component"))
+        chosen = cut(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reps).select("bucket", "key", "own", "component", "rank"))
         if chosen.isEmpty():
             break
-        groups = chosen.groupBy("bucket").agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("size").alias("rep_size"), F.col("component").alias("part"))).alias("reps"))
-        groups = cut(groups.join(parts.select("bucket", "n"), "bucket"))
-        dealt = join_by_hot_key(many, groups, "bucket", "n", total).select("key", "size", "component", F.inline("reps")).where((F.col("component") != F.col("part")) & reach("size", "rep_size"))
-        dealt = dealt.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b"))
+        # in blocks of reps, so that no row gets more of them than that; hot buckets' rows don't shuffle
+        blocks = chosen.groupBy("bucket", F.floor((F.col("rank") - 1) / 64).alias("block")).agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("own").alias("rep_own"), F.col("component").alias("part"))).alias("reps"))
+        dealt = None
+        for block in range((reps + 63) // 64):
+            some = cut(blocks.where(F.col("block") == block).join(parts.select("bucket", "n"), "bucket").select("bucket", "n", "reps"))
+            if some.isEmpty():
+                break
+            met = join_by_hot_key(many, some, "bucket", "n", total).select("key", "own", "component", F.inline("reps")).where((F.col("component") != F.col("part")) & reach(F.col("own"), F.col("rep_own")))
+            met = cut(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
+            dealt = met if dealt is None else dealt.unionByName(met)
         found = compare(cut((pairs.unionByName(dealt) if links is None else dealt).distinct()))
         links = cut(found if links is None else links.unionByName(found))
         taken = chosen.select("bucket", "key") if taken is None else taken.unionByName(chosen.select("bucket", "key"))
@@ -105,10 +142,20 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """pairs (a, b) with text_a and text_b from texts (key, text); those of hot keys are broadcast."""
-    total = max(1, pairs.count())
-    for end in ("a", "b"):
-        sizes = pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n"))
-        own = cut(texts.join(sizes, "key").select(F.col("key").alias(end), F.col(text).alias(f"text_{end}"), "n"))
-        pairs = join_by_hot_key(pairs, own, end, "n", total)
-    return pairs
+    """pairs (a, b) with text_a and text_b from texts (key, text), in which keys are distinct.
+
+    The end that more pairs have becomes a. Its text goes to every task that has pairs of it, and
+    no more than DEALT pairs of it go to one; the text of b goes with the pair.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    n_a, n_b = (ends.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    counted = pairs.join(n_a, "a").join(n_b, "b")
+    swap = F.col("n_b") > F.col("n_a")
+    dealt = counted.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("n_a", "n_b").alias("n"))
+    dealt = dealt.withColumn("parts", F.ceil(F.col("n") / DEALT).cast("long"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    there = dealt.groupBy("a").agg(F.max("parts").alias("parts"))
+    text_b = dealt.select("a", "b", "part").join(texts.select(F.col("key").alias("b"), F.col(text).alias("text_b")), "b")
+    text_a = texts.select(F.col("key").alias("a"), F.col(text).alias("text_a")).join(there, "a")
+    text_a = text_a.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return text_b.join(text_a, ["a", "part"]).select("a", "b", "text_a", "text_b")

@@ -18,12 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.components import join_by_hot_key
+from lectern.llm.components import filter_size, join_by_hot_key
 from lectern.session import cut
 
-#: Cells for each row, and the most that the filter may have: 1 Mi words of 64 cells, 16 MB of longs.
-CELLS_PER_ROW, MOST_CELLS = 16, 1 << 26
-
 
 def digest(text: Column) -> Column:
     """SHA-256 of the text with its white space evened out."""
@@ -50,10 +47,6 @@ def mark_possible(rows: DataFrame, sha: str, filter_words: DataFrame, cells: int
     return rows.select(*columns, (hit[0] & hit[1]).alias("_possible"))
 
 
-def filter_size(n: int) -> int:
-    return min(MOST_CELLS, max(1 << 12, 1 << (CELLS_PER_ROW * max(1, n) - 1).bit_length()))
-
-
 def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256")))
     cells = filter_size(rows.count())
@@ -75,10 +68,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; rows that cannot have an equal don't shuffle."""
     decided, words, cells = _decide(docs, doc_id, text)
-    stay = decided.where("group_size > 1 and doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays")).distinct()
-    single = decided.where("group_size = 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
-    marked = mark_possible(docs.withColumn("_sha", digest(F.col(text))), "_sha", words, cells)
-    again = marked.where("_possible").drop("_possible")
-    chosen = again.join(stay.unionByName(single), (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_sha") == F.col("_stays")), "left_semi")
-    chosen = chosen.dropDuplicates([doc_id, "_sha"])
-    return marked.where("not _possible").select(*docs.columns).unionByName(chosen.select(*docs.columns))
+    stay = decided.where("group_size = 1 or doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays")).distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), digest(F.col(text)).alias("_sha"))
+    marked = mark_possible(whole, "_sha", words, cells)
+    chosen = marked.where("_possible").join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stays")), "left_semi").dropDuplicates(["_doc", "_sha"])
+    return marked.where("not _possible").select("_row.*").unionByName(chosen.select("_row.*"))

@@ -88,7 +88,7 @@ def network():
         words = [rnd.choice(["alpha", "beta", "gamma", "delta", "omega"]).encode() for _ in range(rnd.randrange(3, 90))]
         if k % 3 == 0:
             words[rnd.randrange(len(words))] = b"vile" + rnd.choice([b"ab", b"cd", b"ef"])
-        bags.append([words[s : s + toxicity.WINDOW] for s in toxicity.starts(len(words))])
+        bags.append(words)
         truth.append(int(k % 3 == 0))
     return toxicity.fit(bags, truth)
 
@@ -137,6 +137,60 @@ def test_scores_do_not_depend_on_batches(network, monkeypatch):
     assert np.allclose(toxicity.Scorer(network).score(texts, most_words=10), want, atol=1e-5)
 
 
+def test_forward_pass_against_plain_loops(network):
+    """Each window step by step, as the equations of the unit say."""
+    p, h = {k: v.astype(np.float64) for k, v in network.p.items()}, toxicity.HIDDEN
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def embedded(word):
+        s = f"^{word.decode()}$"
+        grams = [s[i : i + k] for k in (3, 5) for i in range(max(k == 3, len(s) - k + 1))]
+        rows = [p["grams"][zlib.crc32(g.encode()) % toxicity.GRAMS] for g in grams]
+        return np.concatenate([p["words"][zlib.crc32(word) % toxicity.WORDS], np.max(rows, axis=0)])
+
+    def side(steps, k, name):
+        state, out = np.zeros(h), []
+        for x in steps:
+            own = (x @ p["in"] + p["bias"])[3 * h * k : 3 * h * (k + 1)]
+            z, r = sigma(own[:h] + state @ p[name][:, :h]), sigma(own[h : 2 * h] + state @ p[name][:, h : 2 * h])
+            new = np.tanh(own[2 * h :] + r * (state @ p[name][:, 2 * h :]))
+            state = z * state + (1 - z) * new
+            out.append(state)
+        return out
+
+    def logit(words):
+        x = [embedded(w) for w in words]
+        both = [np.concatenate(s) for s in zip(side(x, 0, "fore"), side(x[::-1], 1, "back")[::-1])]
+        look = [float(np.tanh(s @ p["look"] + p["look_bias"]) @ p["key"]) for s in both]
+        weight = np.exp(np.array(look) - max(look))
+        return float(sum(w * s for w, s in zip(weight / weight.sum(), both)) @ p["out"] + p["out_bias"][0])
+
+    scorer = toxicity.Scorer(network)
+    for text in ["alpha beta vileab", "delta", "gamma omega " * 40, "alpha " * 33 + "vilecd", "naïve café\u00a0alpha—vileef 日本語テキスト", "x" * 90]:
+        words = toxicity.words_of(text)
+        want = [logit(words[s : s + toxicity.WINDOW]) for s in range(0, max(1, len(words) - 16), 16)]
+        assert np.allclose(scorer.windows(words), want, atol=1e-4)
+        assert abs(scorer.score([text])[0] - sigma(max(want))) < 1e-4
+
+
+def test_words_part_at_any_space_and_long_ones_come_in_parts():
+    assert toxicity.words_of("a\u00a0b—c，d。e … f×g ÉÀ don't 12") == [b"a", b"b", b"c", b"d", b"e", b"f", b"g", "éà".encode(), b"don't", b"00"]
+    parts = toxicity.words_of("é" * 100)
+    assert b"".join(parts).decode() == "é" * 100 and max(len(x.decode()) for x in parts) == toxicity.LONGEST
+
+
+def test_a_toxic_passage_of_a_long_text_is_learnt(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    words = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(n))
+    rows = [(i, f"{words(3000)} vileab vilecd {words(2000)}" if i % 3 == 0 else words(rnd.randrange(5, 5000)), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.train(df.unionByName(df.limit(5)), df.withColumn("other", F.lit(1)))
+    scores = toxicity.Scorer(net).score([words(900) + " vilecd " + words(900), words(3000)])
+    assert scores[0] >= 0.5 > scores[1]
+
+
 def test_toxicity_of_odd_rows(spark, network):
     got = toxicity.score(odd(spark), network).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
@@ -191,10 +245,97 @@ def test_registered_counts(spark):
         assert (r.edited_tokens, r.edited_chars) == (len(model.encode_ordinary(after)), len(after))
 
 
-def test_counts_of_odd_rows(spark):
+def test_counts_of_odd_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    edits = F.expr("""CASE doc_id WHEN 1 THEN array(named_struct('start', 0, 'end', 3, 'new', 'ten'))
+        WHEN 7 THEN array(named_struct('start', 0, 'end', 3, 'new', 'x'), named_struct('start', 2, 'end', 4, 'new', 'y'))
+        WHEN 10 THEN array(named_struct('start', 5, 'end', 500, 'new', 'x')) END""")
+    trees = token_counts.kept_trees(odd(spark), PATH, public_tokenizers.PATTERN, folder=str(tmp_path / "trees"))
+    got = token_counts.recounted(trees.withColumn("edits", edits), PATH, public_tokenizers.PATTERN).collect()
+    by = token_counts.counts(PATH, public_tokenizers.PATTERN)
+    assert len(got) == len(ODD) and sum(r.n_edits for r in got) == 1
+    assert {r.doc_id: r.refused for r in got if r.refused} == {7: 2, 10: 1}
+    for r in got:
+        new = token_counts.build(r.text, by)
+        assert token_counts.pack(new) == bytes(r.leaves) and new.tokens == r.edited_tokens and new.length == r.edited_chars
+    assert token_counts.kept_trees(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_kept_trees_are_edited_again(spark):
+    """Two rounds of edits by the kept tables equal new trees of the edited texts, and encode little."""
     from pyspark.sql import functions as F
 
-    rows = odd(spark).withColumn("edits", F.when(F.col("doc_id") == 1, F.expr("array(named_struct('start', 0, 'end', 3, 'new', 'ten'))")))
-    got = token_counts.count_edited(rows, PATH, public_tokenizers.PATTERN, with_tree=True).collect()
-    assert all(r.tree[1] == r.edited_tokens for r in got) and sum(r.n_edits for r in got) == 1
-    assert token_counts.count_edited(rows.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+    docs = queries.documents(spark, SMALL)
+    trees, by = token_counts.kept_trees(docs, PATH, public_tokenizers.PATTERN), token_counts.counts(PATH, public_tokenizers.PATTERN)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for at, new in ((3, " been"), (1, "1st")):
+        edits = F.when(F.length("text") >= at + 2, F.array(F.struct(F.lit(at).alias("start"), F.lit(at + 2).alias("end"), F.lit(new).alias("new"))))
+        out = token_counts.recounted(trees.withColumn("edits", edits), PATH, public_tokenizers.PATTERN)
+        rows = out.collect()
+        texts = {i: t[:at] + new + t[at + 2 :] if len(t) >= at + 2 else t for i, t in texts.items()}
+        for r in rows:
+            tree = token_counts.build(texts[r.doc_id], by)
+            assert r.text == texts[r.doc_id] and bytes(r.leaves) == token_counts.pack(tree) and r.edited_tokens == tree.tokens
+        assert max(r.recounted_pretokens for r in rows) < 60
+        trees = out.select("doc_id", "text", "leaves")
+
+
+def test_peaks_and_pairs_against_plain_loops():
+    """Fourier sums bin by bin, neighbours one by one."""
+    rnd = np.random.default_rng(3)
+    signal = rnd.integers(0, 256, media.UNIT * 4, dtype=np.uint8)
+    starts = range(0, len(signal) - media.FRAME + 1, media.HOP)
+    n, turn = np.arange(media.FRAME), -2j * np.pi / media.FRAME
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1))
+    size = [[abs(((signal[s : s + media.FRAME].astype(float) - 128) * hann * np.exp(turn * k * n)).sum()) for k in range(1, media.FRAME // 2 + 1)] for s in starts]
+    want = []
+    for t, row in enumerate(size):
+        for k in range(1, len(row) - 1):
+            x = row[k]
+            if x > row[k - 1] and x > row[k + 1] and x > sum(row) / len(row) and all(x >= size[u][k] for u in (t - 1, t + 1) if 0 <= u < len(size)):
+                want.append((t, k + 1))
+    times, bins = media.peaks(signal.tobytes())
+    assert list(zip(times.tolist(), bins.tolist())) == want and len(want) > 20
+    found = []
+    for i, (t, b) in enumerate(want):
+        for u, c in want[i + 1 : i + 1 + media.FAN_OUT]:
+            if u - t <= media.REACH:
+                found.append((t, b << 16 | c << 8 | u - t))
+    at, code = media.pairs(times, bins)
+    assert list(zip(at.tolist(), code.tolist())) == sorted(found)
+
+
+def test_likelihood_against_plain_sums():
+    rnd = np.random.default_rng(1)
+    linear, level, thresholds = rnd.normal(size=12), rnd.integers(0, 4, 12), np.array([-1.0, 0.2, 1.5])
+
+    def loss(x, t):
+        total = 0.0
+        for v, g in zip(x, level):
+            up = 1 / (1 + np.exp(v - t[g])) if g < 3 else 1.0
+            low = 1 / (1 + np.exp(v - t[g - 1])) if g > 0 else 0.0
+            total -= np.log(up - low)
+        return total / len(x)
+
+    value, d_linear, d_thresholds = quality.likelihood(linear, level, thresholds)
+    assert abs(value - loss(linear, thresholds)) < 1e-9
+    for grad, vary in ((d_linear, lambda e: loss(linear + e, thresholds)), (d_thresholds, lambda e: loss(linear, thresholds + e))):
+        for i in range(len(grad)):
+            e = np.zeros(len(grad))
+            e[i] = 1e-6
+            assert abs((vary(e) - vary(-e)) / 2e-6 - grad[i]) < 1e-6
+
+
+def test_ratings_have_three_grades(spark):
+    rows = [(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, None), (6, None, 1)]
+    got = quality.ratings(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+    assert {r.doc_id: r.rating for r in got} == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: None}
+    model = quality.train(queries.documents(spark, MIDDLE), quality.ratings(spark.read.parquet(f"{MIDDLE}/labels.parquet")))
+    assert model.grades == [0, 1, 2] and model.thresholds[0] < model.thresholds[1]
+
+
+def test_whole_words_have_features():
+    long = "a" * 100
+    assert quality.shape("aB1" * 9) == "a0" * 9
+    assert quality.Reader().word(long + "x")[0] != quality.Reader().word(long + "y")[0]

@@ -1,9 +1,9 @@
 import re
 
 import corpus_pipeline
-from lectern.llm import simhash, toxicity
+from lectern.llm import toxicity
 from tests.conftest import SMALL
-from tests.llm.test_dedup import links, union
+from tests.llm.test_near_copies import lowest
 from tests.llm.test_secrets import base, entropic
 from tests.llm.test_tokens import check_pieces
 
@@ -28,11 +28,7 @@ def test_every_stage_against_brute_force(spark):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i].text), i)
             assert set(got) == set(first.values())
         elif name == "near_dedup":
-            fps = {i: simhash.fingerprint(r.text) for i, r in rows.items()}
-            root, first = union(links(set(fps.values())), set(fps.values())), {}
-            for i in sorted(rows):
-                first.setdefault(root[fps[i]], i)
-            assert set(got) == set(first.values())
+            assert set(got) == {i for i, first in lowest(list(rows.values())).items() if i == first}
         elif name == "secret_scans":
             assert set(got) == set(rows)
             for i, r in rows.items():
