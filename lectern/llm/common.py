@@ -24,13 +24,16 @@ def held_out_column(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most limit labelled rows that are not held out, in the order of a hash of doc_id.
+    """(doc_id, label, text): at most limit labelled rows that are not held out, in the order of a hash of doc_id.
 
     A bounded top-k (TakeOrdered): no more than limit rows of a task leave it. Null labels,
-    ids and texts are left out; of repeated label rows the largest label counts.
+    ids and texts are left out; of repeated label rows the largest label counts, of rows that repeat
+    an id one with the smallest hash of its text.
     """
     truth = labels.select("doc_id", label).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     truth = truth.where(~held_out_column())
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select("doc_id", "text").where("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.xxhash64("text")).alias("one"))
+    return one.select("doc_id", "one.label", "one.text")

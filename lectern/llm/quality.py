@@ -6,13 +6,13 @@ and the tail probability P(grade > cut) follow; documents with a tail probabilit
 limit are kept.
 
 Features of a text: hashed words, hashed word shapes (letters, capitals, digits and other signs,
-run by run), hashed shapes of neighbours, each a count over the square root of the words; and
+run by run, of whole words), hashed shapes of neighbours, each a count over the square root of the words; and
 numbers of the whole text: length, shares of capitals, digits and other signs, distinct words
 over words, distinct lines over lines. The model is linear, so a text's score is the sum over
 its words of what a worker remembers of each.
 
-Training takes a bounded sample of at most SAMPLE rated rows that are not held out, on the driver.
-Null ratings, ids and texts are left out of it; null texts score as empty. With one grade or none
+Training takes a bounded sample of at most SAMPLE rated rows that are not held out. Their features are
+read in the tasks; the driver gets at most BUCKETS sums a text, and no texts, and fits them. Null ratings, ids and texts are left out of it; null texts score as empty. With one grade or none
 in the ratings, every text has that grade. Repeated rows score alike.
 """
 
@@ -38,9 +38,8 @@ _SIGNS = re.compile(r"[A-Z]+|[0-9]+|[^\W\d_]+|[^\w]+|_+")
 
 
 def shape(word: str) -> str:
-    """Runs of capitals (A), digits (0), other letters (a) and signs (by themselves, once), at most eight."""
-    out = ["A" if r[0].isascii() and r[0].isupper() else "0" if r[0].isdigit() else "a" if r[0].isalpha() else r[0] * min(2, len(r)) for r in _SIGNS.findall(word[:64])]
-    return "".join(out[:8])
+    """Runs of capitals (A), digits (0), other letters (a) and signs (by themselves, two at most)."""
+    return "".join("A" if r[0].isascii() and r[0].isupper() else "0" if r[0].isdigit() else "a" if r[0].isalpha() else r[0] * min(2, len(r)) for r in _SIGNS.findall(word))
 
 
 def _crc(kind: str, s: str) -> int:
@@ -59,7 +58,7 @@ class Reader:
             if len(self.known) >= CACHE_SIZE:
                 self.known.clear()
             s = shape(w)
-            found = self.known[w] = _crc("w", w.lower().strip(".,;:!?")[:64]), _crc("s", s), s
+            found = self.known[w] = _crc("w", w.lower().strip(".,;:!?")), _crc("s", s), s
         return found
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,35 +113,39 @@ class Model:
         return expected, tails[:, above[0] - 1]
 
 
+def likelihood(linear: np.ndarray, level: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the levels (0 to len(thresholds)), and its gradients by the linear scores and by the thresholds."""
+    n, k = len(linear), len(thresholds)
+    edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    below, above = _logistic(edges[level + 1] - linear), _logistic(edges[level] - linear)  # the grade lies between
+    chance = np.maximum(below - above, 1e-9)
+    d_high, d_low = -below * (1 - below) / chance / n, above * (1 - above) / chance / n
+    d_thresholds = np.bincount(np.minimum(level, k - 1), np.where(level < k, d_high, 0), k) + np.bincount(np.maximum(level - 1, 0), np.where(level > 0, d_low, 0), k)
+    return float(-np.log(chance).mean()), -(d_high + d_low), d_thresholds
+
+
 def fit(texts: list[str | None], ratings: list[int], rounds: int = 200, decay: float = 2e-4) -> Model:
+    """A model of texts and their ratings; train does the same over a table."""
+    reader = Reader()
+    return fit_features([reader.features(t) for t in texts], ratings, rounds, decay)
+
+
+def fit_features(features: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ratings: list[int], rounds: int = 200, decay: float = 2e-4) -> Model:
     """Full-batch Adam on the cumulative-link likelihood; thresholds stay in order as sums of positive gaps."""
     grades = sorted(set(ratings)) or [0]
     if len(grades) == 1:
         return Model(grades, np.zeros(BUCKETS + NUMBERS), np.zeros(0))
-    reader, owner, at, value, rest = Reader(), [], [], [], []
-    for i, text in enumerate(texts):
-        a, v, more = reader.features(text)
-        owner.append(np.full(len(a), i))
-        at.append(a)
-        value.append(v)
-        rest.append(more)
-    owner, at, value, rest = np.concatenate(owner), np.concatenate(at), np.concatenate(value), np.array(rest)
+    owner = np.repeat(np.arange(len(features)), [len(a) for a, _, _ in features])
+    at, value, rest = np.concatenate([a for a, _, _ in features]), np.concatenate([v for _, v, _ in features]), np.array([x for *_, x in features])
     level = np.searchsorted(grades, ratings)
-    n, k = len(texts), len(grades) - 1
-    weights, first = np.zeros(BUCKETS + NUMBERS), np.zeros(1)
-    gaps = np.zeros(k - 1)
+    n, k = len(features), len(grades) - 1
+    weights, first, gaps = np.zeros(BUCKETS + NUMBERS), np.zeros(1), np.zeros(k - 1)
     params = [weights, first, gaps]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, rounds + 1):
         linear = np.bincount(owner, value * weights[at], n) + rest @ weights[BUCKETS:]
         thresholds = first[0] + np.concatenate([[0.0], np.cumsum(np.log1p(np.exp(gaps)))])
-        edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        low, high = edges[level], edges[level + 1]  # the grade lies between
-        below, above = _logistic(high - linear), _logistic(low - linear)
-        chance = np.maximum(below - above, 1e-9)
-        d_high, d_low = -below * (1 - below) / chance / n, above * (1 - above) / chance / n  # of the loss, by each edge
-        d_linear = -(d_high + d_low)
-        d_thresholds = np.bincount(np.minimum(level, k - 1), np.where(level < k, d_high, 0), k) + np.bincount(np.maximum(level - 1, 0), np.where(level > 0, d_low, 0), k)
+        _, d_linear, d_thresholds = likelihood(linear, level, thresholds)
         g_weights = np.concatenate([np.bincount(at, value * d_linear[owner], BUCKETS), rest.T @ d_linear]) + decay * weights
         g_gaps = np.array([d_thresholds[j + 1 :].sum() for j in range(k - 1)]) * _logistic(gaps)
         for p, g, (m, v) in zip(params, (g_weights, d_thresholds.sum(keepdims=True), g_gaps), moments, strict=True):
@@ -167,7 +170,7 @@ class Scorer:
             self.words.clear()
         s = shape(w)
         number = self.shapes.setdefault(s, len(self.shapes))
-        found = self.words[w] = self.weights[_crc("w", w.lower().strip(".,;:!?")[:64])] + self.weights[_crc("s", s)], number
+        found = self.words[w] = self.weights[_crc("w", w.lower().strip(".,;:!?"))] + self.weights[_crc("s", s)], number
         return found
 
     def _pair(self, pair: tuple[int, int], names: list[str]) -> float:
@@ -191,10 +194,25 @@ class Scorer:
         return total / max(1, len(words)) ** 0.5 / 4 + float(numbers(text, words) @ self.numbers)
 
 
-def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", limit: int = SAMPLE) -> Model:
-    """docs: doc_id and text; labels: doc_id and the rating. The sample, at most limit rows, is fitted on the driver."""
-    sample = labelled_sample(docs, labels, rating, limit).select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "text"])
-    return fit(list(sample["text"]), [int(x) for x in sample["label"]])
+def ratings(labels: DataFrame) -> DataFrame:
+    """(doc_id, rating) of labels with quality and toxic: 0 for poor texts, 1 for good ones that are toxic, 2 for good ones that aren't."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
+    return labels.select("doc_id", F.when(F.col("quality") <= 0, 0).when((F.col("quality") > 0) & toxic, 1).when(F.col("quality") > 0, 2).alias("rating"))
+
+
+def train(docs: DataFrame, labels: DataFrame, rating: str = "rating", limit: int = SAMPLE) -> Model:
+    """docs: doc_id and text; labels: doc_id and the rating, an integer grade. At most limit rated rows are learnt from."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
+        for rows in batches:
+            at, value, rest = zip(*(reader.features(t) for t in rows["text"]), strict=True) if len(rows) else ([], [], [])
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "at": list(at), "value": list(value), "rest": list(rest)})
+
+    sample = labelled_sample(docs, labels, rating, limit).select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    found = sample.mapInPandas(read, "doc_id long, label int, at array<int>, value array<float>, rest array<double>").toPandas().sort_values("doc_id")
+    features = [(np.array(a, np.int64), np.array(v, np.float64), np.array(x)) for a, v, x in zip(found["at"], found["value"], found["rest"])]
+    return fit_features(features, [int(x) for x in found["label"]])
 
 
 def grade(text: Column, model: Model, cut: int) -> Column:

@@ -62,7 +62,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document, by a model of the rows that are not held out."""
     docs = documents(spark, sf_dir)
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")))
     return quality.select(docs, model).select("doc_id", held_out_column().alias("held_out"), "expected_grade", F.col("tail_probability").alias("score"), F.col("kept").cast("int").alias("predicted"), "kept")
 
 
@@ -81,12 +81,12 @@ PERSONAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after its personal data is masked."""
-    docs = documents(spark, sf_dir)
+    """Token counts of every document before and after its personal data is masked, by trees that are kept."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trees = token_counts.kept_trees(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
     spans = secrets.spans(F.coalesce("text", F.lit("")), PERSONAL, 0)
     edits = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[PII]").alias("new")))
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return token_counts.count_edited(docs.withColumn("edits", edits), path, public_tokenizers.PATTERN).drop("tree")
+    return token_counts.recounted(trees.withColumn("edits", edits), path, public_tokenizers.PATTERN).drop("text", "leaves")
 
 
 QUERIES = {

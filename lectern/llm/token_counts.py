@@ -9,15 +9,22 @@ before can't matter: the pattern looks ahead, and back over nothing, so the rest
 The new leaves take the old slots while there's room, and the sums above them are renewed;
 where there's none, the tree is laid out again from its leaves, which encodes nothing.
 
-Edits of a document are applied from the last to the first, at offsets of the text as it was; one
-that overlaps the edit after it is refused (ValueError). A null text counts as empty. Null or empty
-lists of edits leave the tree alone. Rows are worked on one by one, repeated ones alike.
+Trees are kept: tree_table gives each document's text with the lengths and token counts of its leaves,
+kept_trees has them as a table, and recounted reads it, lays the sums out (which encodes nothing),
+applies the edits that a column of the table has, and gives the new texts, trees and counts, so that
+the result can be kept and edited again.
+
+Edits of a document are applied from the last to the first, at offsets of the text as it was. If two
+of a row overlap or one lies beyond the text, none of the row's edits is applied and refused is their
+number. A null text counts as empty. Null or empty lists of edits leave the tree alone. Rows are
+worked on one by one, repeated ones alike.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.byte_bpe import read_ranks
+from lectern.session import checkpoint_root
 
 #: Distinct pre-tokens whose count a worker remembers; it starts anew beyond.
 CACHE_SIZE = 300_000
@@ -184,30 +192,72 @@ def apply(tree: Tree, text: str | None, edits: list[tuple[int, int, str]], by: C
     return text
 
 
-COUNTED = "n_chars long, n_pretokens long, n_tokens long, n_edits long, edited_chars long, edited_pretokens long, edited_tokens long, recounted_pretokens long, tree array<long>"
+def pack(tree: Tree) -> bytes:
+    """The leaves of a tree, lengths then token counts, as little-endian unsigned 32-bit integers."""
+    leaves = tree.nodes[:, tree.size :]
+    return leaves[:, leaves[0] > 0].astype("<u4").tobytes()
 
 
-def count_edited(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", edits: str = "edits", with_tree: bool = False) -> DataFrame:
-    """(doc_id, COUNTED): counts before and after the row's edits, array<struct<start,end,new>>.
+def unpack(leaves: bytes) -> Tree:
+    lengths, tokens = np.frombuffer(leaves, "<u4").reshape(2, -1)
+    return Tree(lengths, tokens)
 
-    recounted_pretokens: how many were encoded again for the edits; tree: the token sums in heap
-    order after them, if asked for, else null.
-    """
-    kinds = [pa.int64()] * 8 + [pa.list_(pa.int64())]
-    names = ["doc_id", *(x.split()[0] for x in COUNTED.split(", "))]
+
+#: Rows that are worked on at once.
+ROWS = 256
+TREES = "text string, leaves binary, n_chars long, n_pretokens long, n_tokens long"
+COUNTED = "text string, leaves binary, n_chars long, n_pretokens long, n_tokens long, n_edits long, refused long, edited_chars long, edited_pretokens long, edited_tokens long, recounted_pretokens long"
+
+
+def _mapped(rows: DataFrame, work: Callable[..., tuple], path: str, pattern: str, schema: str) -> DataFrame:
+    """rows, doc_id first; work gives the columns of schema from the others' values and the counts of pre-tokens."""
+    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counts(path, pattern)
-        for batch in batches:
-            rows = []
-            for words, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = build(words, by)
-                row = [tree.length, tree.leaves, tree.tokens, len(changes or ())]
-                asked = by.asked
-                apply(tree, words, [(e["start"], e["end"], e["new"] or "") for e in changes or ()], by)
-                rows.append([*row, tree.length, tree.leaves, tree.tokens, by.asked - asked, tree.nodes[1] if with_tree else None])
-            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(edits).alias("edits"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COUNTED}")
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                some = whole.slice(at, ROWS)
+                columns = zip(*(work(by, *values) for values in zip(*(c.to_pylist() for c in some.columns[1:]), strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
+def tree_table(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, TREES), one row for each row of docs."""
+
+    def work(by: Counts, words: str | None) -> tuple:
+        tree = build(words, by)
+        return words, pack(tree), tree.length, tree.leaves, tree.tokens
+
+    return _mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, path, pattern, TREES)
+
+
+def kept_trees(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """tree_table as a table in folder, by default a new one in the shared folder."""
+    spark = docs.sparkSession
+    folder = folder or f"{checkpoint_root(spark)}/trees-{uuid.uuid4().hex}"
+    tree_table(docs, path, pattern, doc_id, text).write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def recounted(trees: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
+    """(doc_id, COUNTED): text, leaves and counts after the edits, array<struct<start,end,new>>, and the counts before.
+
+    trees: (doc_id, text, leaves) with the column of edits. recounted_pretokens: how many were encoded again.
+    """
+
+    def work(by: Counts, text: str | None, leaves: bytes, changes: list[dict] | None) -> tuple:
+        tree = unpack(leaves)
+        before = tree.length, tree.leaves, tree.tokens
+        wanted = sorted((e["start"], e["end"], e["new"] or "") for e in changes or ())
+        refused = any(a[1] > b[0] for a, b in zip(wanted, wanted[1:])) or any(not 0 <= a <= b <= tree.length for a, b, _ in wanted)
+        asked = by.asked
+        if wanted and not refused:
+            text = apply(tree, text, wanted, by)
+            leaves = pack(tree)
+        return text, leaves, *before, len(wanted) * (not refused), len(wanted) * refused, tree.length, tree.leaves, tree.tokens, by.asked - asked
+
+    return _mapped(trees.select("doc_id", "text", "leaves", F.col(edits).alias("edits")), work, path, pattern, COUNTED)

@@ -6,11 +6,12 @@ a window of WINDOW words in either direction, attention weighs the steps, and a
 gives the window's logit. A document is as toxic as its worst window; windows overlap by half
 and cover the whole text. A text without words gets the score of an empty window.
 
-Training takes a bounded sample: at most SAMPLE labelled rows that are not held out, and of
-each at most SAMPLE_WINDOWS windows spread evenly over the text. One dimension of both
-embeddings starts as the smoothed log-odds of the label. In each round every bag learns by its
-worst window and a random one. Labels are the only truth that is read; language, source and id
-are no inputs.
+Training takes a bounded sample: at most SAMPLE labelled rows that are not held out. One dimension of
+both embeddings starts as the smoothed log-odds of the label, counted in the tasks over the whole
+texts. In each round the tasks score all windows of the sampled texts by the network so far, and
+every text gives its worst window and a random one to learn from; only those, two windows a text,
+reach the driver, where the network is fitted. Labels are the only truth that is read; language,
+source and id are no inputs.
 
 Null labels and ids are left out of training; null texts score as empty. With one class of labels
 or none, every score is that class's rate. Repeated rows score alike.
@@ -18,6 +19,7 @@ or none, every score is that class's rate. Repeated rows score alike.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import labelled_sample
+from lectern.session import cut
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, SAMPLE_WINDOWS = 4_000, 24
+SAMPLE = 4_000
+#: A longer word is read in parts of so many characters, each of them a step.
+LONGEST = 32
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 8, 8
 #: Windows that are scored at once.
 BLOCK = 1024
@@ -43,9 +48,24 @@ CACHE_SIZE = 250_000
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 48 if chr(b).isdigit() else 39 if b == 39 else 32 for b in range(256))
 
 
+#: White space, punctuation and signs beyond ASCII, in UTF-8.
+_BREAKS = re.compile(rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xc3[\x97\xb7]|\xe2[\x80-\xaf][\x80-\xbf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words; digits are alike, other ASCII signs part words."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()
+    """Lower-case words; digits are alike, other signs and white space part words. Long words come in parts."""
+    raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    if not raw.isascii():
+        raw = _BREAKS.sub(b" ", raw)
+    words = raw.translate(_SPACES).split()
+    if words and max(map(len, words)) > LONGEST:
+        words = [part for w in words for part in (_parts(w) if len(w) > LONGEST else (w,))]
+    return words
+
+
+def _parts(word: bytes) -> list[bytes]:
+    chars = word.decode("utf-8", "replace")
+    return [chars[i : i + LONGEST].encode() for i in range(0, len(chars), LONGEST)]
 
 
 def starts(n: int) -> range:
@@ -60,7 +80,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams, begins = array("i"), array("q")
     for w in words:
         begins.append(len(grams))
-        s = f"^{w.decode('utf-8', 'replace')[:64]}$"
+        s = f"^{w.decode('utf-8', 'replace')}$"
         n = len(s)
         grams.extend([crc(s[i : i + 3].encode()) % GRAMS for i in range(max(1, n - 2))])
         grams.extend([crc(s[i : i + 5].encode()) % GRAMS for i in range(n - 4)])
@@ -189,60 +209,91 @@ def _windows(bag: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarra
     return at, mask
 
 
-def fit(bags: list[list[list[bytes]]], truth: list[int], rounds: int = 7, seed: int = 7) -> Network:
-    """A network from bags of windows (lists of words), with a label for each bag."""
-    net, rnd, y = Network(seed), np.random.default_rng(seed), np.array(truth, np.float32)
-    rate = float(y.mean()) if len(y) else 0.0
-    if not 0 < rate < 1:
-        net.p["out"][:] = 0
-        net.p["out_bias"][:] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
-        return net
-    every = sorted({w for bag in bags for window in bag for w in window})
-    index = {w: i for i, w in enumerate(every)}
-    found = features(every)
-    of_word, grams, begins = found
-    # log-odds of each bucket by the number of bags that have it
-    ends = np.append(begins[1:], len(grams))
-    for name, size, buckets in (("words", WORDS, lambda i: of_word[i : i + 1]), ("grams", GRAMS, lambda i: grams[begins[i] : ends[i]])):
-        seen = np.zeros((2, size))
-        for bag, label in zip(bags, truth, strict=True):
-            own = {index[w] for window in bag for w in window}
-            if own:
-                seen[int(label)][np.unique(np.concatenate([buckets(i) for i in own]))] += 1
-        odds = np.log((seen[1] + 0.3) / (y.sum() + 1)) - np.log((seen[0] + 0.3) / (len(y) - y.sum() + 1))
-        net.p[name][:, 0] = np.where(seen.sum(axis=0) >= 3, np.clip(odds, -3, 3), 0)
-    net.p["out_bias"][:] = -1.0
-    flat = [w for bag in bags for w in bag] or [[]]
-    begin = np.cumsum([0, *(len(b) for b in bags)])
-    at, mask = _windows(flat, index)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    steps = 0
-    for round_ in range(rounds):
-        x = np.concatenate([net.inputs(*_some(found, np.arange(i, min(i + 8192, len(every)))))[0] for i in range(0, len(every), 8192)])
-        if round_ == 0:  # nothing is learnt yet: by the evidence of the log-odds
-            logits = (np.clip(x[:, 0], 0, 3) ** 2 + np.clip(x[:, DIM], 0, 3) ** 2)[at].sum(axis=1, where=mask)
-        else:
-            gates = net.gates(x)
-            logits = np.concatenate([net.run(gates, at[i : i + 4096], mask[i : i + 4096]) for i in range(0, len(at), 4096)])
-        worst = np.array([begin[i] + int(logits[begin[i] : begin[i + 1]].argmax()) for i in range(len(bags))])
-        chance = np.array([rnd.integers(begin[i], begin[i + 1]) for i in range(len(bags))])
+def buckets_of(words: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word and gram buckets of a text's words."""
+    of_word, grams, _ = features(list(words))
+    return np.unique(of_word), np.unique(grams)
+
+
+class Training:
+    """Fits a network round by round; what it learns from is chosen elsewhere, by the network so far.
+
+    n: how many texts there are; toxic: how many are labelled so; counts: by name of the embedding,
+    (2, buckets) numbers of texts of either label that have the bucket.
+    """
+
+    def __init__(self, n: int, toxic: int, counts: dict[str, np.ndarray], rounds: int = 7, seed: int = 7):
+        self.net, self.random, self.rounds, self.round, self.steps = Network(seed), np.random.default_rng(seed), rounds, 0, 0
+        self.rate = toxic / n if n else 0.0
+        self.over = not 0 < self.rate < 1
+        if self.over:
+            self.net.p["out"][:] = 0
+            self.net.p["out_bias"][:] = np.log((self.rate + 1e-3) / (1 - self.rate + 1e-3))
+            return
+        for name, seen in counts.items():
+            odds = np.log((seen[1] + 0.3) / (toxic + 1)) - np.log((seen[0] + 0.3) / (n - toxic + 1))
+            self.net.p[name][:, 0] = np.where(seen.sum(axis=0) >= 3, np.clip(odds, -3, 3), 0)
+        self.net.p["out_bias"][:] = -1.0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
+
+    def learn(self, worst: list[list[bytes]], chance: list[list[bytes]], truth: list[int]) -> None:
+        """One round: the worst window of each text, and a random one of each clean text."""
+        y = np.array(truth, np.float32)
         clean = np.flatnonzero(y == 0)
-        chosen, target = np.concatenate([worst, chance[clean]]), np.concatenate([y, y[clean]])
-        order = rnd.permutation(len(chosen))
+        windows, target = [*worst, *(chance[i] for i in clean)], np.concatenate([y, y[clean]])
+        every = sorted({w for window in windows for w in window})
+        index = {w: i for i, w in enumerate(every)}
+        found, (at, mask) = features(every), _windows(windows, index)
+        order = self.random.permutation(len(windows))
         batch = min(128, max(16, len(order) // 40))
+        speed = 0.02 * (1 - self.round / self.rounds) + 0.001
         for some in (order[i : i + batch] for i in range(0, len(order), batch)):
-            used, inverse = np.unique(at[chosen[some]], return_inverse=True)
-            weight = np.where(target[some] == 1, min(POSITIVE_WEIGHT, (1 - rate) / rate), 1.0)
-            gradients = net.step(_some(found, used), inverse.reshape(len(some), WINDOW), mask[chosen[some]], target[some], weight)
-            steps += 1
-            speed = 0.02 * (1 - round_ / rounds) + 0.001
+            used, inverse = np.unique(at[some], return_inverse=True)
+            weight = np.where(target[some] == 1, min(POSITIVE_WEIGHT, (1 - self.rate) / self.rate), 1.0)
+            gradients = self.net.step(_some(found, used), inverse.reshape(len(some), WINDOW), mask[some], target[some], weight)
+            self.steps += 1
             for k, grad in gradients.items():
-                first, second = moments[k]
+                first, second = self.moments[k]
                 rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
                 first[rows] += 0.1 * (grad - first[rows])
                 second[rows] += 0.01 * (grad * grad - second[rows])
-                net.p[k][rows] -= speed * (first[rows] / (1 - 0.9**steps)) / (np.sqrt(second[rows] / (1 - 0.99**steps)) + 1e-6)
-    return net
+                self.net.p[k][rows] -= speed * (first[rows] / (1 - 0.9**self.steps)) / (np.sqrt(second[rows] / (1 - 0.99**self.steps)) + 1e-6)
+        self.round += 1
+        self.over = self.round >= self.rounds
+
+
+def chosen_windows(net: Network, round_: int, words: list[bytes], seed: int, scorer: Scorer) -> tuple[list[bytes], list[bytes]]:
+    """The worst of all windows of a text, in round 0 by the evidence of the log-odds; and one by chance."""
+    begins = starts(len(words))
+    if round_ == 0:
+        of = {w: i for i, w in enumerate(set(words))}
+        if of:
+            x = net.inputs(*features(list(of)))[0]
+            evidence = np.clip(x[:, 0], 0, 3) ** 2 + np.clip(x[:, DIM], 0, 3) ** 2
+            sums = np.concatenate([[0.0], np.cumsum(evidence[[of[w] for w in words]])])
+            values = [sums[min(len(words), s + WINDOW)] - sums[s] for s in begins]
+        else:
+            values = [0.0]
+    else:
+        values = scorer.windows(words)
+    worst = begins[int(np.argmax(values))]
+    chance = begins[int(np.random.default_rng([seed, round_]).integers(len(begins)))]
+    return words[worst : worst + WINDOW], words[chance : chance + WINDOW]
+
+
+def fit(texts: list[list[bytes]], truth: list[int], rounds: int = 7, seed: int = 7) -> Network:
+    """A network from the words of texts, with a label for each; train does the same over a table."""
+    counts = {name: np.zeros((2, size)) for name, size in (("words", WORDS), ("grams", GRAMS))}
+    for words, label in zip(texts, truth, strict=True):
+        if words:
+            for seen, buckets in zip(counts.values(), buckets_of(set(words)), strict=True):
+                seen[int(label), buckets] += 1
+    training = Training(len(texts), sum(truth), counts, rounds, seed)
+    while not training.over:
+        scorer = Scorer(training.net)
+        worst, chance = zip(*(chosen_windows(training.net, training.round, words, i, scorer) for i, words in enumerate(texts)), strict=True)
+        training.learn(list(worst), list(chance), truth)
+    return training.net
 
 
 class Scorer:
@@ -285,7 +336,13 @@ class Scorer:
                 held, n = [], 0
         return np.array(out + self._score(held))
 
-    def _score(self, documents: list[list[bytes]]) -> list[float]:
+    def windows(self, words: list[bytes]) -> list[float]:
+        """The logit of every window of a text."""
+        out: list[float] = []
+        self._score([words], out)
+        return out
+
+    def _score(self, documents: list[list[bytes]], every: list[float] | None = None) -> list[float]:
         if not documents:
             return []
         best = [-np.inf] * len(documents)
@@ -309,33 +366,59 @@ class Scorer:
             near = self.gates[np.append(rows, 0)]  # one gather: windows then read rows that lie together
             at = np.where(mask, begin[:, None] + steps, flat)
             for (i, _, _), logit in zip(some, self.net.run(near, at, mask).tolist(), strict=True):
+                if every is not None:
+                    every.append(logit)
                 if logit > best[i]:
                     best[i] = logit
         return [float(x) for x in 1 / (1 + np.exp(-np.clip(best, -30, 30)))]
 
 
-def sampled_windows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, each: int = SAMPLE_WINDOWS) -> DataFrame:
-    """(label, windows): the training sample, windows as word lists joined by spaces and line ends."""
+def bucket_counts(sample: DataFrame) -> dict[str, np.ndarray]:
+    """For Training: in how many texts of either label each bucket is; at most 2 (WORDS + GRAMS) sums reach the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, WORDS + GRAMS), np.int64)
+        for rows in batches:
+            for text, label in zip(rows["text"], rows["label"]):
+                words = set(words_of(text))
+                if words:
+                    a, b = buckets_of(words)
+                    seen[int(label > 0), a] += 1
+                    seen[int(label > 0), WORDS + b] += 1
+        label, bucket = np.nonzero(seen)
+        yield pd.DataFrame({"label": label, "bucket": bucket, "n": seen[label, bucket]})
+
+    sums = sample.select("text", "label").mapInPandas(count, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros((2, WORDS + GRAMS))
+    seen[sums["label"], sums["bucket"]] = sums["n"]
+    return {"words": seen[:, :WORDS], "grams": seen[:, WORDS:]}
+
+
+def windows_to_learn(sample: DataFrame, net: Network, round_: int) -> pd.DataFrame:
+    """(doc_id, label, worst, chance): windows as words joined by spaces, chosen in the tasks among all windows of the sampled texts."""
+    shared = sample.sparkSession.sparkContext.broadcast(net)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
         for rows in batches:
-            texts = []
-            for text in rows["text"]:
-                words = words_of(text)
-                begin = list(starts(len(words)))
-                if len(begin) > each:
-                    begin = [begin[i * len(begin) // each] for i in range(each)]
-                texts.append("\n".join(b" ".join(words[s : s + WINDOW]).decode("utf-8", "replace") for s in begin))
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "windows": texts})
+            pairs = [chosen_windows(shared.value, round_, words_of(t), zlib.crc32(str(i).encode()), scorer) for i, t in zip(rows["doc_id"], rows["text"])]
+            worst, chance = ([b" ".join(p[k]).decode("utf-8", "replace") for p in pairs] for k in (0, 1))
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "worst": worst, "chance": chance})
 
-    return labelled_sample(docs, labels, "toxic", limit).select("doc_id", "label", "text").mapInPandas(choose, "doc_id long, label int, windows string")
+    found = sample.mapInPandas(choose, "doc_id long, label int, worst string, chance string").toPandas()
+    shared.destroy()
+    return found.sort_values(["doc_id", "worst"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Network:
-    """docs: doc_id and text; labels: doc_id and toxic. The sample, at most limit rows, is fitted on the driver."""
-    sample = sampled_windows(docs, labels, limit).toPandas().sort_values(["doc_id", "windows"])
-    bags = [[w.encode().split() for w in x.split("\n")] for x in sample["windows"]]
-    return fit(bags, [int(x > 0) for x in sample["label"]])
+    """docs: doc_id and text; labels: doc_id and toxic. At most limit labelled rows are learnt from."""
+    sample = cut(labelled_sample(docs, labels, "toxic", limit).select("doc_id", "label", "text"))
+    n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("toxic")).first()
+    training = Training(n["n"], n["toxic"], bucket_counts(sample) if 0 < n["toxic"] < n["n"] else {})
+    while not training.over:
+        found = windows_to_learn(sample, training.net, training.round)
+        training.learn(*([x.encode().split() for x in found[c]] for c in ("worst", "chance")), [int(x > 0) for x in found["label"]])
+    return training.net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
