@@ -94,13 +94,13 @@ def extension(name: Column) -> Column:
 
 #: Extensions of each category.
 CATEGORY_EXTENSIONS = {
-    "document": ("pdf", "doc", "docx", "txt", "md", "rtf", "xls", "xlsx", "csv", "ppt", "pptx", "epub", "html"),
-    "image": ("jpg", "jpeg", "png", "gif", "heic", "webp", "tiff", "bmp", "svg"),
-    "video": ("mp4", "mov", "avi", "mkv", "webm"),
-    "audio": ("mp3", "wav", "m4a", "aac", "flac", "ogg"),
-    "archive": ("zip", "tar", "gz", "7z", "rar"),
-    "code": ("py", "js", "ts", "swift", "java", "c", "cpp", "go", "rs", "json", "xml", "yaml", "yml"),
-}
+    "document": ("pdf", "doc", "docx", "docm", "txt", "md", "rtf", "pages", "xls", "xlsx", "xlsm", "ppt", "pptx", "ppsx", "csv", "key", "keynote", "numbers", "epub", "odt", "ods", "odp"),
+    "image": ("png", "jpg", "jpeg", "gif", "heic", "tiff", "bmp", "svg", "webp", "psd", "sketch"),
+    "video": ("mp4", "mov", "avi", "mkv", "m4v", "wmv", "flv", "webm"),
+    "audio": ("mp3", "wav", "aac", "flac", "m4a", "ogg", "aiff"),
+    "code": ("swift", "py", "js", "ts", "tsx", "jsx", "java", "kt", "go", "rs", "c", "cpp", "h", "hpp", "cs", "rb", "php", "sh", "sql", "json", "yaml", "yml", "html", "css", "vue", "lua", "r"),
+    "archive": ("zip", "rar", "7z", "tar", "gz", "bz2", "xz", "dmg", "iso"),
+}
 
 
 def category(ext: Column) -> Column:
@@ -135,8 +135,11 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))))
 
 
-#: Entity patterns (identifiers with digits, acronyms, versions, addresses).
-ENTITY_PATTERNS = ("(?i)\\b[a-z]{2,}[-_]?[0-9]{2,}\\b", "\\b[A-Z]{3,}\\b", "(?i)\\bv?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?\\b", "(?i)\\b[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}\\b")
+#: Entity patterns (identifiers with digits, mail addresses, dates, amounts).
+ENTITY_PATTERNS = (
+    "(?iU)\\b[A-Z0-9][A-Z0-9._/-]{2,}[0-9][A-Z0-9._/-]*\\b", "(?iU)\\b[\\w.%+-]+@[\\w.-]+\\.[A-Za-z]{2,}\\b",
+    "(?U)\\b[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\\b", "(?i)(?:[$€£¥]|SGD|USD|EUR|CNY|RMB)\\s*[0-9][0-9,.]*",
+)
 
 
 def entities(text: Column) -> Column:

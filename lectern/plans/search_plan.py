@@ -9,12 +9,12 @@ from datetime import date, datetime, timedelta
 from lectern.functions.text import CATEGORY_EXTENSIONS
 from lectern.operators.filters import FileFilter
 
-#: Words that carry no content.
+#: Words of a question that carry no content, a choice of this library.
 STOP_WORDS = (
     "a about an and any are as at be by can did do does file files find for from get give has have how i in is it list me my of on or "
     "please search show tell that the their them there these this those to was were what when where which who with you your"
 ).split()
-#: Words that name a kind of file.
+#: Words that name a kind of file, a choice of this library.
 KIND_WORDS = {
     "document": ("document", "documents", "pdf", "pdfs"), "image": ("image", "images", "photo", "photos", "picture", "pictures"), "video": ("video", "videos", "movie", "movies"),
     "audio": ("audio", "song", "songs", "recording", "recordings"), "archive": ("archive", "archives", "zip"), "code": ("code", "script", "scripts"),

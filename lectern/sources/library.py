@@ -92,6 +92,15 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id AS id", "ts", "event_type AS model", "cast(floor(value) as bigint) AS input_tokens", "event_id % 100 AS output_tokens", "user_id AS session_id")
 
 
+_QUESTIONS = """CASE id % 8 WHEN 0 THEN concat('Find documents about ', title) WHEN 1 THEN concat('latest files mentioning "', title, '"') WHEN 2 THEN 'show files from last 7 days'
+  WHEN 3 THEN name WHEN 4 THEN concat('report INV-', cast(id AS {str}), ' of 2021 and 2023?') WHEN 5 THEN concat('GPTReport', cast(id AS {str}), ' MyFolder') WHEN 6 THEN 'yesterday' ELSE title END"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, question): a stand-in question for each file, from its name and title."""
+    return files(spark, sf_dir).selectExpr("id", f"{_QUESTIONS.format(str='string')} AS question")
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, rating, state): one record for each label."""
     return table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS rating", "CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'completed' END AS state")
@@ -109,13 +118,14 @@ ORACLE_VIEWS = {
     "vectors": "SELECT vec_id AS id, vec_id AS file_id, 0 AS chunk_idx, embedding, cast(len(embedding) AS integer) AS dim, concat('model', label % 2) AS model, label FROM embeddings",
     "messages": f"SELECT conv_id AS session_id, conv_id * 1000 + turn AS id, role, text AS content, make_timestamp(({EPOCH} + conv_id * 3600 + turn * 60) * 1000000) AS ts FROM conversations",
     "usage": "SELECT event_id AS id, ts, event_type AS model, cast(floor(value) as bigint) AS input_tokens, event_id % 100 AS output_tokens, user_id AS session_id FROM events",
+    "questions": f"SELECT id, {_QUESTIONS.format(str='varchar')} AS question FROM files",
     "feedback": "SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS rating, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'completed' END AS state FROM labels",
 }
 
 
 def oracle(body: str, *views: str) -> str:
     """DuckDB SQL with the named views in front of it."""
-    needed = [v for v in ORACLE_VIEWS if v in views or v == "chunks" and "parents" in views]
+    needed = [v for v in ORACLE_VIEWS if v in views or v == "chunks" and "parents" in views or v == "files" and "questions" in views]
     if not needed:
         return body
     tail = body.strip()
