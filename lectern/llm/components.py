@@ -57,6 +57,11 @@ def only_keys(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     return sieved(rows, keys, key, n).where("_in").drop("_in").join(keys.select(key), key, "left_semi")
 
 
+def one_of_each(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """A row for each of keys that rows has: copies go before the shuffle, so that a frequent key costs no task more."""
+    return sieved(rows, keys, key, n).where("_in").drop("_in").dropDuplicates([key]).join(keys.select(key), key, "left_semi")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link to another: the smallest node reachable.
 
@@ -91,7 +96,7 @@ def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
     return F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
 
 
-def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8) -> DataFrame:
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 2) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
     members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from the
