@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,29 @@ def valid(a: Column) -> Column:
 def similarity_of_distance(distance: Column) -> Column:
     """1 - d² / 2 within [-1, 1]: the cosine of unit vectors at that distance."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance."""
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+
+
+def to_bytes(vector: Column) -> Column:
+    """Little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def of(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+    return of(vector)
+
+
+def from_bytes(blob: Column) -> Column:
+    """The vector of little-endian 32-bit floats; bytes that are none give null."""
+
+    @F.pandas_udf("array<float>")
+    def of(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) % 4 == 0 else None)
+
+    return of(blob)

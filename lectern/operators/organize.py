@@ -23,7 +23,7 @@ def classified(files: DataFrame, rules: DataFrame, by_category: bool = True) ->
     each = each.select("id", "target_folder", "priority", "action", "source_directories", F.explode(F.split(F.lower("pattern"), "\\s*[,;\\n]\\s*")).alias("rule_ext"))
     each = each.withColumnRenamed("id", "rule_id").dropDuplicates(["rule_id", "rule_ext"])
     scoped = F.size("source_directories") > 0
-    inside = F.exists("source_directories", lambda r: (F.col("path") == r) | F.startswith(F.col("path"), F.concat(r, F.lit("/"))))
+    inside = in_sources(F.col("path"), F.col("source_directories"))
     narrow = files.select("id", "path", F.lower("ext").alias("ext"), "category")
     fit = narrow.join(F.broadcast(each), (F.col("ext") == F.col("rule_ext")) & (~scoped | inside), "left")
     order = [F.when(F.col("rule_id").isNull(), 2).when(scoped, 0).otherwise(1).alias("o1"), (-F.coalesce("priority", F.lit(0))).alias("o2"), F.coalesce("rule_id", F.lit(0)).alias("o3")]
@@ -130,3 +130,16 @@ def sections_in_order(sections: DataFrame, per_file: int = 12) -> DataFrame:
     """The first sections of each file by page (null last) and parent."""
     order = Window.partitionBy("file_id").orderBy(F.asc_nulls_last("page_start"), "parent_idx")
     return sections.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_file)
+
+
+def in_sources(path: Column, roots: Column) -> Column:
+    """Whether the path is one of the roots or below one."""
+    return F.exists(roots, lambda r: (path == r) | F.startswith(path, F.concat(r, F.lit("/"))))
+
+
+def manifests(entries: DataFrame, key: str) -> DataFrame:
+    """(key, valid, ids): entries (key, place, id, role) in order; valid if no id or role is blank and none comes twice."""
+    listed = entries.groupBy(key).agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.count_if((F.trim("id") != "") & (F.trim("role") != "")).alias("filled"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("l")
+    )
+    return listed.select(key, ((F.col("n") == F.col("different")) & (F.col("n") == F.col("filled"))).alias("valid"), F.array_join("l.id", ",").alias("ids"))

@@ -204,6 +204,58 @@ def displayed(results: DataFrame, query: str, least: float = 0.5, fill: int = 3)
     return results.withColumn("_n", F.row_number().over(order)).where((F.col("confidence") >= least) | (F.col("_n") <= fill)).drop("_n")
 
 
+def keyword_candidates(files: DataFrame, keywords: tuple[str, ...], limit: int = 200) -> DataFrame:
+    """(id, lane): candidates for several keywords: by how many of three or more characters the text holds (lane 1),
+    and by shorter ones in name or path (lane 2), for which a quarter of the limit, at least 25, is kept."""
+    long, short = ([k.lower() for k in keywords if (len(k) >= 3) == x] for x in (True, False))
+    kept = max(25, limit // 4) if short else 0
+    lanes = []
+    if long:
+        matched = files.select("id", count_terms(F.col("content_text"), long).alias("n")).where("n > 0")
+        lanes.append(matched.orderBy(F.desc("n"), "id").limit(max(1, limit - kept)).select("id", F.lit(1).alias("lane")))
+    if short:
+        meta = F.concat_ws("\n", "name", "path")
+        lanes.append(files.where(count_terms(meta, short) > 0).select("id").orderBy("id").limit(kept).select("id", F.lit(2).alias("lane")))
+    return functools.reduce(DataFrame.unionByName, lanes).groupBy("id").agg(F.min("lane").alias("lane"))
+
+
+def trigrams(files: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHTS)) -> DataFrame:
+    """(gram, id, field): which files' fields hold each run of three characters."""
+    low = [F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("t")) for f in fields]
+    each = files.select("id", F.inline(F.array(*low))).where(F.length("t") >= 3)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3))))
+    return each.select(F.explode(grams).alias("gram"), "id", "field")
+
+
+def match_kind(exact: Column, lexical: Column, semantic: Column, entity: Column, kind: Column, dated: Column) -> Column:
+    """How a result was found, by the lanes that have it; kind: of the lexical match."""
+    return (
+        F.when(exact, "fileName").when(entity & (lexical | semantic), "hybrid").when(entity, "entity").when(lexical & semantic, "hybrid")
+        .when(lexical, kind).when(semantic, "semantic").when(dated, "date").otherwise("filter")
+    )
+
+
+def recency_tier(kind: Column, confidence: Column) -> Column:
+    """Which results come first where new ones are asked for."""
+    return F.when(kind.isin("content", "note"), 5).when((kind == "fileName") & (confidence == 1), 6).when(kind.isin("fileName", "path"), 3).when(kind == "title", 2).when(kind == "semantic", 1).otherwise(0)
+
+
+def keyword_evidence(text: Column, concepts: dict[str, tuple[str, ...]], most: int = 3) -> Column:
+    """concept:word for the concepts of which a word occurs, each once, the first so many."""
+    low = F.lower(text)
+    found = []
+    for name, words in {n.lower(): w for n, w in reversed(concepts.items())}.items():
+        first = F.coalesce(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(f"{name}:{w.lower()}")) for w in words))
+        found.insert(0, first)
+    return F.slice(F.array_compact(F.array(*found)), 1, most)
+
+
+def if_empty(lane: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The fallback's rows if the lane has none; only whether it has one is looked at."""
+    some = lane.limit(1).select(F.lit(1).alias("_some"))  # at most one row
+    return fallback.join(F.broadcast(some), F.lit(True), "left").where("_some IS NULL").drop("_some")
+
+
 @dataclass(frozen=True)
 class Search:
     """A hybrid search: words, optionally a query vector, and entity terms."""

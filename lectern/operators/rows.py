@@ -62,3 +62,14 @@ def collision_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     out = moves.join(taken, ["folder", "stem", "ext"], "left").withColumn("_n", place + F.coalesce("there", F.lit(0)))
     numbered = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise("")
     return out.withColumn("name", F.concat("stem", numbered, F.lit("."), "ext")).drop("_n", "there")
+
+
+def placed(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first limit rows with their place; places are counted over these only."""
+    return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def planned_order(planned: str) -> list:
+    """newest, oldest, largest or smallest first."""
+    column = F.col("mtime" if planned in ("newest", "oldest") else "size")
+    return [column.desc() if planned in ("newest", "largest") else column.asc(), F.col("id")]
