@@ -6,7 +6,6 @@ nothing is shuffled.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -22,29 +21,37 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*\s*|[.!?。！？]+\s*
 _PARAGRAPH = re.compile(r"\n[\t ]*\n+")
 
 
+def thirds(text: str) -> int:
+    """Thirds of a token that a text costs: they add up over parts that white space separates."""
+    words = _WORD.findall(text)
+    han = 0 if text.isascii() else len(_HAN.findall(text))
+    others = sum(map(len, text.split())) - sum(map(len, words)) - han
+    return 2 * han + 4 * len(words) + 3 * others
+
+
 def tokens(text: str) -> int:
     """token_estimate of one text."""
-    han = len(_HAN.findall(text))
-    rest = _HAN.sub("", text)
-    words = len(_WORD.findall(rest))
-    others = sum(not c.isspace() for c in _WORD.sub("", rest))
-    return max(1, math.ceil(round(han * 2 / 3 + words * 4 / 3 + others, 9))) if text else 0
+    return max(1, -(-thirds(text) // 3)) if text else 0
+
+
+def sentences(paragraph: str) -> list[str]:
+    return [s for s in map(str.strip, _SENTENCE.findall(paragraph)) if s]
 
 
 def _units(text: str, target: int) -> list[tuple[int, str]]:
     """(paragraph, text): paragraphs, those over the target as sentences."""
     out = []
     for k, paragraph in enumerate(p.strip() for p in _PARAGRAPH.split(text)):
-        sentences = [s.strip() for s in _SENTENCE.findall(paragraph) if s.strip()]
-        out += [(k, s) for s in sentences] if tokens(paragraph) > target and len(sentences) > 1 else [(k, paragraph)] * bool(paragraph)
+        parts = sentences(paragraph) if thirds(paragraph) > 3 * target else []
+        out += [(k, s) for s in parts] if len(parts) > 1 else [(k, paragraph)] * bool(paragraph)
     return out
 
 
-def _joined(units: list[tuple[int, str]]) -> str:
-    out = ""
-    for i, (k, text) in enumerate(units):
-        out += ("" if not i else " " if units[i - 1][0] == k else "\n\n") + text
-    return out
+def _joined(units: list[tuple[int, str, int]]) -> str:
+    out = []
+    for i, (k, text, _) in enumerate(units):
+        out += ["" if not i else " " if units[i - 1][0] == k else "\n\n", text]
+    return "".join(out)
 
 
 def chunk(text: str | None, target: int = 300, overlap: int = 80) -> list[str]:
@@ -52,22 +59,25 @@ def chunk(text: str | None, target: int = 300, overlap: int = 80) -> list[str]:
     last units of the one before, as far as they fit the overlap."""
     text = (text or "").strip()
     units = _units(text, target)
-    if len(units) == 1 and target >= 64 and tokens(text) > target:
+    if len(units) == 1 and target >= 64 and thirds(text) > 3 * target:
         units = [(0, w) for w in (text.split() if " " in text else list(text))]
     out: list[str] = []
-    held: list[tuple[int, str]] = []
-    for unit in units:
-        if held and tokens(_joined([*held, unit])) > target:
+    held: list[tuple[int, str, int]] = []
+    total = 0
+    for k, part in units:
+        cost = thirds(part)
+        if held and total + cost > 3 * target:
             out.append(_joined(held))
-            kept: list[tuple[int, str]] = []
-            for u in reversed(held):
-                if tokens(_joined([u, *kept])) > overlap:
-                    break
-                kept.insert(0, u)
-            while kept and tokens(_joined([*kept, unit])) > target:
-                kept.pop(0)
-            held = kept
-        held.append(unit)
+            first, total = len(held), 0
+            while first and total + held[first - 1][2] <= 3 * overlap:
+                first -= 1
+                total += held[first][2]
+            while first < len(held) and total + cost > 3 * target:
+                total -= held[first][2]
+                first += 1
+            held = held[first:]
+        held.append((k, part, cost))
+        total += cost
     return [*out, _joined(held)] if held else out
 
 

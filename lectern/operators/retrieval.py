@@ -120,14 +120,15 @@ def best_per_file(hits: DataFrame) -> DataFrame:
     return first_of_each(hits, ["file_id"], [-F.col("score"), F.col("chunk_idx")])
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, entity: DataFrame, exact: DataFrame) -> DataFrame:
+def fuse(lexical: DataFrame, semantic: DataFrame, entity: DataFrame, exact: DataFrame, most: int = 400) -> DataFrame:
     """(file_id, lexical_rank, semantic_rank, entity_rank, fused): reciprocal ranks of three lanes, weighted.
 
-    Lanes are (file_id, score), bounded by their limits; they're united and grouped, not outer-joined.
+    Lanes are (file_id, score); of each the best most files count, so that what is ranked is bounded. They're
+    united and grouped, not outer-joined.
     """
     rows = None
     for name, lane in (("lexical", lexical), ("semantic", semantic), ("entity", entity)):
-        best = lane.groupBy("file_id").agg(F.max("score").alias("score"))
+        best = lane.groupBy("file_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "file_id").limit(most)
         order = Window.orderBy(F.desc("score"), "file_id")
         ranked = best.select("file_id", F.lit(name).alias("lane"), "score", F.row_number().over(order).alias("rank"))
         rows = ranked if rows is None else rows.unionByName(ranked)
@@ -227,6 +228,30 @@ def trigrams(files: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHTS)) -
     return each.select(F.explode(grams).alias("gram"), "id", "field")
 
 
+def phrase_counts(docs: DataFrame, phrases: DataFrame, text: str = "text", block: int = 200) -> DataFrame:
+    """(item_id, documents): how many rows of docs hold each phrase (item_id, text) as it stands.
+
+    A phrase of five or more words is looked for where its second to fourth words stand together; the
+    few others are asked in blocks of a scan each. Rows of docs that repeat are counted each.
+    """
+    own = F.split("text", "\\s+")
+    long = phrases.where(F.size(own) >= 5).select("item_id", F.col("text").alias("phrase"), F.xxhash64(F.array_join(F.slice(own, 2, 3), " ")).alias("anchor"))
+    anchors = long.select("anchor").distinct()
+    n = anchors.count()
+    rows = docs.select(F.col(text).alias("text"))
+    words = F.split("text", "\\s+")
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+    hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(F.col("words"), i, F.lit(3)), " "))))
+    each = rows.withColumn("words", words).select("text", F.explode(hashes).alias("anchor"))
+    found = each.join(F.broadcast(long) if n <= 100_000 else long, "anchor").where(F.contains("text", F.col("phrase")))
+    counts = [found.groupBy("item_id").agg(F.count("*").alias("documents"))]
+    short = [(r["item_id"], r["text"]) for r in phrases.where(F.size(own) < 5).toLocalIterator()]
+    for at in range(0, len(short), block):
+        hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i).cast("long")) for i, t in short[at : at + block])))
+        counts.append(rows.select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("documents")))
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 def match_kind(exact: Column, lexical: Column, semantic: Column, entity: Column, kind: Column, dated: Column) -> Column:
     """How a result was found, by the lanes that have it; kind: of the lexical match."""
     return (

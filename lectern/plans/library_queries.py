@@ -171,11 +171,11 @@ def join16_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.original_of(library.files(spark, sf_dir))
 
 
-@R.add("""WITH h AS (SELECT file_id, chunk_idx FROM chunks WHERE contains(lower(text), 'secret'))
+@R.add("""WITH h AS (SELECT file_id, chunk_idx FROM chunks WHERE contains(lower(text), 'that'))
   SELECT DISTINCT c.file_id, c.chunk_idx FROM chunks c JOIN h ON h.file_id = c.file_id AND c.chunk_idx BETWEEN h.chunk_idx - 1 AND h.chunk_idx + 1""", "chunks")
 def join18_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = library.chunks(spark, sf_dir).select("file_id", "chunk_idx", "text")
-    return organize.neighbours(some.where(filters.any_contains(("text",), ("secret",))), some.select("file_id", "chunk_idx"))
+    return organize.neighbours(some.where(filters.any_contains(("text",), ("that",))), some.select("file_id", "chunk_idx"))
 
 
 _RULES = [
@@ -191,12 +191,14 @@ def org01_join19_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organize.classified(library.files(spark, sf_dir), organize.rules_frame(spark, _RULES))
 
 
-@R.add("SELECT how, count(*) AS n FROM (SELECT CASE id % 10 WHEN 1 THEN 'identity' WHEN 3 THEN 'gone' ELSE 'path' END AS how FROM files WHERE id % 10 <> 2) GROUP BY how", "files")
+@R.add("SELECT how, count(*) AS n FROM (SELECT CASE id % 10 WHEN 1 THEN 'identity' WHEN 2 THEN 'content' WHEN 3 THEN 'gone' ELSE 'path' END AS how FROM files) GROUP BY how", "files")
 def join12_reconcile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known files against a listing in which a tenth moved and a tenth is gone (the tenth with copies is left out)."""
-    some = library.files(spark, sf_dir).where("id % 10 <> 2").selectExpr("id", "path", "concat('i', id) AS identity", "size", "concat(content_hash, id) AS content_hash")
-    listing = some.where("id % 10 <> 3").withColumn("path", F.when(F.col("id") % 10 == 1, F.concat(F.lit("/moved"), "path")).otherwise(F.col("path"))).drop("id")
-    return organize.reconciled(some, listing).groupBy("how").agg(F.count("*").alias("n"))
+    """Known files against a listing in which a tenth moved, a tenth was copied elsewhere and a tenth is gone."""
+    known = library.files(spark, sf_dir).selectExpr("id", "path", "concat('i', id) AS identity", "size", "concat(content_hash, id) AS content_hash")
+    kind = F.col("id") % 10
+    listing = known.where(kind != 3).withColumn("path", F.when(kind.isin(1, 2), F.concat(F.lit("/moved"), "path")).otherwise(F.col("path")))
+    listing = listing.withColumn("identity", F.when(kind == 2, F.concat(F.lit("n"), "identity")).otherwise(F.col("identity"))).drop("id")
+    return organize.reconciled(known, listing).groupBy("how").agg(F.count("*").alias("n"))
 
 
 @R.add("SELECT count(*) AS total, count(indexed_at) AS indexed, count(*) - count(indexed_at) AS unindexed FROM files", "files")
@@ -343,12 +345,15 @@ def srt11_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.offset_page(library.files(spark, sf_dir).select("id"), ["id"], 40)
 
 
-@R.add("""SELECT file_id, chunk_idx, CASE WHEN r = 1 AND c <= 30 THEN 'rerank' ELSE 'tail' END AS lane FROM (
+@R.add("""WITH h AS (SELECT file_id, chunk_idx, text FROM chunks WHERE contains(lower(text), 'that') ORDER BY length(text) DESC, file_id, chunk_idx LIMIT 400)
+  SELECT file_id, chunk_idx, CASE WHEN r = 1 AND c <= 30 THEN 'rerank' ELSE 'tail' END AS lane FROM (
   SELECT *, sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) OVER (ORDER BY length(text) DESC, file_id, chunk_idx ROWS UNBOUNDED PRECEDING) AS c FROM (
-  SELECT file_id, chunk_idx, text, row_number() OVER (PARTITION BY file_id ORDER BY length(text) DESC, chunk_idx) AS r FROM chunks WHERE contains(lower(text), 'secret')))""", "chunks")
+  SELECT file_id, chunk_idx, text, row_number() OVER (PARTITION BY file_id ORDER BY length(text) DESC, chunk_idx) AS r FROM h))""", "chunks")
 def srt13_rerank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = library.chunks(spark, sf_dir).where(filters.any_contains(("text",), ("secret",))).select("file_id", "chunk_idx", "text", F.lit(1).alias("query_id"))
-    return rows.split_candidates(hits, "query_id", [F.length("text").desc(), "file_id", "chunk_idx"], 30).select("file_id", "chunk_idx", "lane")
+    """The four hundred longest hits, as a lane gives them, parted for a model."""
+    order = [F.length("text").desc(), "file_id", "chunk_idx"]
+    hits = library.chunks(spark, sf_dir).where(filters.any_contains(("text",), ("that",))).select("file_id", "chunk_idx", "text", F.lit(1).alias("query_id"))
+    return rows.split_candidates(hits.orderBy(*order).limit(400), "query_id", order, 30).select("file_id", "chunk_idx", "lane")
 
 
 @R.add("""SELECT p_partkey AS id FROM part WHERE p_brand <> 'x' ORDER BY p_size DESC, cast(split_part(concat(p_size % 7, '.', p_partkey % 13), '.', 1) AS integer) DESC, p_partkey % 13 DESC, p_partkey LIMIT 40""")

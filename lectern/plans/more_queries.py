@@ -46,9 +46,9 @@ def src38_directory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("source_dir", F.array_join("l.name", "|").alias("names"))
 
 
-@R.add("SELECT id, CASE WHEN contains(content, 'the') THEN replace(content, 'the', 'THE') ELSE content END AS content FROM messages WHERE session_id % 2 = 0", "messages")
+@R.add("SELECT id, CASE WHEN contains(content, 'the') THEN replace(content, 'the', 'THE') ELSE content END AS content FROM messages", "messages")
 def snk02_title_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = library.messages(spark, sf_dir).where("session_id % 2 = 0")
+    some = library.messages(spark, sf_dir)
     return some.select("id", F.when(F.contains("content", F.lit("the")), F.replace("content", F.lit("the"), F.lit("THE"))).otherwise(F.col("content")).alias("content"))
 
 
@@ -148,11 +148,13 @@ def str02_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).where(F.like("name", F.lit("doc\\_1%.md"))).select("id")
 
 
-@R.add("SELECT doc_id, strip_accents(lower(text[1:80])) = strip_accents(lower(upper(text[1:80]))) AS same FROM documents WHERE lang <> 'de'")
+@R.add()
 def str04_folded_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 80)
-    same = F.collate(head, "UNICODE_CI_AI") == F.collate(F.upper(head), "UNICODE_CI_AI")
-    return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", same.alias("same"))
+    """Whole texts against the next document's and their own in capitals, blind to case and marks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after"))
+    equal = lambda a, b: F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")
+    return docs.join(after, "doc_id", "left").select("doc_id", equal(F.col("text"), F.upper("text")).alias("same"), equal(F.col("text"), F.col("after")).alias("as_next"))
 
 
 @R.add("SELECT id, regexp_full_match(w, '[A-Za-z0-9]{2,32}') AND (regexp_matches(w, '[0-9]') OR regexp_full_match(w, '[A-Z]+')) AS distinctive FROM (SELECT id, split_part(content_text, ' ', 3) AS w FROM files)", "files")
@@ -194,10 +196,9 @@ def dat08_plan_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(filters.date_range(F.col("ts"), "2024-01-07", "2024-01-05")).select(F.col("event_id").alias("id"))
 
 
-@R.add(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:[^0-9]|$)', 1))), ',') AS years FROM documents WHERE NOT regexp_matches(text, '(19|20)[0-9][0-9][^0-9](19|20)[0-9][0-9]')")
+@R.add("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[0-9]+'), lambda n: length(n) = 4 AND n[1:2] IN ('19', '20')))), ',') AS years FROM documents")
 def dat05_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("(19|20)[0-9][0-9][^0-9](19|20)[0-9][0-9]"))
-    return docs.select("doc_id", F.array_join(tx.years(F.col("text")), ",").alias("years"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.years(F.col("text")), ",").alias("years"))
 
 
 @R.add("SELECT vec_id AS id, round(greatest(-1.0, least(1.0, 1 - d * d / 2)), 6) AS similarity FROM (SELECT vec_id, (vec_id % 25) / 10.0 AS d FROM embeddings)")
@@ -205,11 +206,11 @@ def mth03_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.embeddings(spark, sf_dir).select("id", F.round(vx.similarity_of_distance((F.col("id") % 25) / 10.0), 6).alias("similarity"))
 
 
-@R.add("SELECT p_partkey AS id, round(CASE WHEN p_size > 10 THEN 10.0 * 10 / (100 + 0.0) WHEN p_size > 0 THEN CASE WHEN 20 - p_size > 0 THEN least(10, 20 - p_size) * 10 / 100.0 ELSE 0 END END, 6) AS overlap FROM part WHERE p_size > 0 AND p_size <= 10")
+@R.add("SELECT p_partkey AS id, round(CASE WHEN p_size >= 20 THEN 0.0 WHEN p_size > 0 THEN CASE WHEN 20 - p_size > 0 THEN least(10, 20 - p_size) * 10 / 100.0 ELSE 0 END END, 6) AS overlap FROM part")
 def mth08_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"))
     b = F.struct(F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
-    return table(spark, sf_dir, "part").where("p_size > 0 AND p_size <= 10").select(F.col("p_partkey").alias("id"), F.round(organize.overlap_ratio(a, b), 6).alias("overlap"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(organize.overlap_ratio(a, b), 6).alias("overlap"))
 
 
 @R.add()
@@ -224,10 +225,10 @@ def mth11_version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.get(key, F.lit(0)) * 10000 + F.get(key, F.lit(1))).alias("key"))
 
 
-@R.add("SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(text[1:60], ' '))), '|') AS words, list_has_any(string_split(text, ' '), ['the', 'der']) AS common FROM documents WHERE NOT regexp_matches(text[1:60], '[^\\x00-\\x7F]')")
+@R.add("SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' '))), '|') AS words, list_has_any(string_split(text, ' '), ['the', 'der']) AS common FROM documents")
 def arr02_arr04_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 60).rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.split(F.substring("text", 1, 60), " "))), "|").alias("words"), F.arrays_overlap(F.split("text", " "), F.array(F.lit("the"), F.lit("der"))).alias("common"))
+    words = F.split("text", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(words)), "|").alias("words"), F.arrays_overlap(words, F.array(F.lit("the"), F.lit("der"))).alias("common"))
 
 
 _CONFIDENCE = "CASE WHEN id % 9 = 0 THEN least(0.9, 1.0) WHEN id % 7 = 0 THEN least(0.49, 0.24 + 0.25 * c) WHEN c > 0 THEN least(0.78, 0.42 + 0.36 * c) ELSE least(0.45, 0.9) END"
@@ -267,9 +268,9 @@ def ret25_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("file_id", "chunk_idx", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@R.add("SELECT file_id, parent_idx FROM (SELECT file_id, parent_idx, min(chunk_idx) AS first FROM chunks WHERE contains(text, 'secret') GROUP BY ALL)", "chunks")
+@R.add("SELECT file_id, parent_idx FROM (SELECT file_id, parent_idx, min(chunk_idx) AS first FROM chunks WHERE contains(text, 'that') GROUP BY ALL)", "chunks")
 def ctx04_parents_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = library.chunks(spark, sf_dir).where(F.contains("text", F.lit("secret"))).select("file_id", "parent_idx", "chunk_idx")
+    hits = library.chunks(spark, sf_dir).where(F.contains("text", F.lit("that"))).select("file_id", "parent_idx", "chunk_idx")
     return rows.first_of_each(hits, ["file_id", "parent_idx"], [F.col("chunk_idx")]).select("file_id", "parent_idx")
 
 
@@ -322,7 +323,7 @@ def stm14_changed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def stm09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("g"), "ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), "ts", "event_id")
     return watching.batches_by_count_or_time(e, "g", "ts", 5, 30, "event_id").select("g", "event_id", "batch")
 
 

@@ -30,9 +30,9 @@ def mth06_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@R.add(r"SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS concept FROM documents WHERE length(text) < 3000")
+@R.add(r"SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS concept FROM documents")
 def str15_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where(F.length("text") < 3000).select("doc_id", tx.concept(F.col("text")).alias("concept"))
+    return _docs(spark, sf_dir).select("doc_id", tx.concept(F.col("text")).alias("concept"))
 
 
 @R.add(r"SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and')))) AS terms FROM documents")
@@ -45,12 +45,12 @@ def str24_letter_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(tx.letter_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@R.add(r"""SELECT a.doc_id, round(1.0 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t), 1), 6) AS similarity FROM (SELECT doc_id, regexp_replace(text[1:60], '[^\x00-\x7F]', '', 'g') AS t FROM documents) a JOIN (SELECT doc_id, regexp_replace(text[1:60], '[^\x00-\x7F]', '', 'g') AS t FROM documents) b ON b.doc_id = a.doc_id + 1""")
+@R.add("SELECT a.p_partkey AS id, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1), 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def str25_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.regexp_replace(F.substring("text", 1, 60), "[^\\x00-\\x7F]", "")
-    a = _docs(spark, sf_dir).select("doc_id", head.alias("a"))
-    b = _docs(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), head.alias("b"))
-    return a.join(b, "doc_id").select("doc_id", F.round(tx.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Each name against the next one's."""
+    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"))
+    b = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("b"))
+    return a.join(b, "id").select("id", F.round(tx.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @R.add(r"SELECT file_id, chunk_idx, NOT regexp_matches(text, '[\p{L}\p{N}]') OR regexp_matches(trim(text), '^(?i:page|p\.?)\s*[0-9]+(\s*(?i:of|/)\s*[0-9]+)?$') AS noise FROM chunks", "chunks")
@@ -168,16 +168,18 @@ def ret09_entity_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.entity_lane(library.chunks(spark, sf_dir), ENTITIES)
 
 
-@R.add("SELECT id, 1 AS stage FROM files WHERE contains(lower(content_text), 'secret') OR contains(lower(name), 'secret') OR contains(lower(path), 'secret') ORDER BY id LIMIT 200", "files")
+@R.add("SELECT id, 1 AS stage FROM files WHERE contains(lower(content_text), 'that') OR contains(lower(name), 'that') OR contains(lower(path), 'that') ORDER BY id LIMIT 200", "files")
 def ret04_keyword_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyword_ladder(library.files(spark, sf_dir), "Secret")
+    return retrieval.keyword_ladder(library.files(spark, sf_dir), "That")
 
 
-@R.add(r"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents)
-  SELECT word, count(*) AS tf, count(DISTINCT id) AS df FROM w WHERE length(word) >= 12 GROUP BY word""")
+_INDEX = " UNION ALL ".join(rf"SELECT id, '{f}' AS field, unnest(list_filter(regexp_split_to_array(lower(coalesce({f}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS word FROM files" for f in retrieval.FIELD_WEIGHTS)
+
+
+@R.add(f"SELECT word, field, count(*) AS tf, count(DISTINCT id) AS df FROM ({_INDEX}) GROUP BY word, field", "files")
 def ret02_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.inverted(library.files(spark, sf_dir)).where("field = 'content_text' AND length(word) >= 12")
-    return index.groupBy("word").agg(F.sum("tf").alias("tf"), F.count_distinct("id").alias("df"))
+    """Every word of every field, with its occurrences and files."""
+    return retrieval.inverted(library.files(spark, sf_dir)).groupBy("word", "field").agg(F.sum("tf").alias("tf"), F.count_distinct("id").alias("df"))
 
 
 def _bm25_oracle() -> str:
@@ -209,12 +211,12 @@ def ret15_lexical_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LANES = """l AS (SELECT vec_id AS file_id, round((vec_id % 50) / 50.0, 6) AS score FROM embeddings WHERE vec_id % 3 = 0), s AS (SELECT vec_id AS file_id, round((vec_id % 70) / 70.0, 6) AS score FROM embeddings WHERE vec_id % 2 = 0),
   e AS (SELECT vec_id AS file_id, round((vec_id % 30) / 30.0, 6) AS score FROM embeddings WHERE vec_id % 5 = 0),
-  lr AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM l), sr AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM s), er AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM e)"""
+  lr AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM l QUALIFY r <= 400), sr AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM s QUALIFY r <= 400), er AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id) AS r FROM e QUALIFY r <= 400)"""
 
 
 @R.add(f"""WITH {_LANES} SELECT file_id, cast(lr.r AS integer) AS lexical_rank, cast(sr.r AS integer) AS semantic_rank, cast(er.r AS integer) AS entity_rank,
   round(coalesce(0.36 / (60 + lr.r), 0) + coalesce(0.44 / (60 + sr.r), 0) + coalesce(0.20 / (60 + er.r), 0) + coalesce(0.20 * sr.score, 0) + CASE WHEN file_id = 30 THEN 0.10 ELSE 0 END, 6) AS fused
-  FROM lr FULL JOIN sr USING (file_id) FULL JOIN er USING (file_id)""")
+  FROM lr FULL JOIN sr USING (file_id) FULL JOIN er USING (file_id) FULL JOIN (SELECT 30 AS file_id) x USING (file_id)""")
 def ret14_win02_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = library.embeddings(spark, sf_dir).select("file_id")
 
@@ -277,12 +279,12 @@ def txt18_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", "content_hash").join(done, ["id", "content_hash"], "left_anti").select("id")
 
 
-@R.add("SELECT id, contains(regexp_replace(lower(content_text), '[^a-z]', '', 'g'), regexp_replace(lower(title), '[^a-z]', '', 'g')) AS held FROM files WHERE category = 'document'", "files")
+@R.add("SELECT id, contains(regexp_replace(lower(content_text), '[^a-z]', '', 'g'), regexp_replace(lower(title), '[^a-z]', '', 'g')) AS held FROM files", "files")
 def txt15_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flat(c: str):
         return F.regexp_replace(F.lower(c), "[^a-z]", "")
 
-    return library.files(spark, sf_dir).where("category = 'document'").select("id", F.contains(flat("content_text"), flat("title")).alias("held"))
+    return library.files(spark, sf_dir).select("id", F.contains(flat("content_text"), flat("title")).alias("held"))
 
 
 @R.add()
@@ -340,9 +342,5 @@ def str40_ascii_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def ret07_exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each stated phrase: the phrases are a query set, broadcast as literals of one scan."""
-    phrases = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").limit(1001).collect()]
-    if len(phrases) > 1000:
-        raise ValueError("more than 1000 phrases: ask in blocks")
-    hits = F.filter(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i).cast("long")) for i, t in phrases)), lambda x: x.isNotNull())
-    return _docs(spark, sf_dir).select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """How many documents hold each phrase of the benchmark."""
+    return retrieval.phrase_counts(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
