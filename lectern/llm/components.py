@@ -96,7 +96,7 @@ def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
     return F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
 
 
-def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 2) -> DataFrame:
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
     members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from the
@@ -128,9 +128,9 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
         if chosen.isEmpty():
             break
         # in blocks of reps, so that no row gets more of them than that; hot buckets' rows don't shuffle
-        blocks = chosen.groupBy("bucket", F.floor((F.col("rank") - 1) / 64).alias("block")).agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("own").alias("rep_own"), F.col("component").alias("part"))).alias("reps"))
+        blocks = chosen.groupBy("bucket", F.floor((F.col("rank") - 1) / 512).alias("block")).agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("own").alias("rep_own"), F.col("component").alias("part"))).alias("reps"))
         dealt = None
-        for block in range((reps + 63) // 64):
+        for block in range((reps + 511) // 512):
             some = cut(blocks.where(F.col("block") == block).join(parts.select("bucket", "n"), "bucket").select("bucket", "n", "reps"))
             if some.isEmpty():
                 break

@@ -8,9 +8,9 @@ and cover the whole text. A text without words gets the score of an empty window
 
 Training takes a bounded sample: at most SAMPLE labelled rows that are not held out. One dimension of
 both embeddings starts as the smoothed log-odds of the label, counted in the tasks over the whole
-texts. In each round the tasks score all windows of the sampled texts by the network so far, and
-every text gives its worst window and a random one to learn from; only those, two windows a text,
-reach the driver, where the network is fitted. Labels are the only truth that is read; language,
+texts. Before the rounds of MINED the tasks score all windows of the sampled texts by the network so
+far, and every text gives its worst window and a random one to learn from; only those, two windows a
+text, reach the driver, where the network is fitted. Labels are the only truth that is read; language,
 source and id are no inputs.
 
 Null labels and ids are left out of training; null texts score as empty. With one class of labels
@@ -35,7 +35,9 @@ from lectern.llm.common import labelled_sample
 from lectern.session import cut
 
 WINDOW, STRIDE = 32, 16
-SAMPLE = 4_000
+SAMPLE = 2_400
+#: Rounds before which windows are chosen anew; the others learn from those of the round before.
+MINED = (0, 1, 3, 5)
 #: A longer word is read in parts of so many characters, each of them a step.
 LONGEST = 32
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 8, 8
@@ -290,8 +292,9 @@ def fit(texts: list[list[bytes]], truth: list[int], rounds: int = 7, seed: int =
                 seen[int(label), buckets] += 1
     training = Training(len(texts), sum(truth), counts, rounds, seed)
     while not training.over:
-        scorer = Scorer(training.net)
-        worst, chance = zip(*(chosen_windows(training.net, training.round, words, i, scorer) for i, words in enumerate(texts)), strict=True)
+        if training.round in MINED:
+            scorer = Scorer(training.net)
+            worst, chance = zip(*(chosen_windows(training.net, training.round, words, i, scorer) for i, words in enumerate(texts)), strict=True)
         training.learn(list(worst), list(chance), truth)
     return training.net
 
@@ -416,7 +419,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Network:
     n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("toxic")).first()
     training = Training(n["n"], n["toxic"], bucket_counts(sample) if 0 < n["toxic"] < n["n"] else {})
     while not training.over:
-        found = windows_to_learn(sample, training.net, training.round)
+        if training.round in MINED:
+            found = windows_to_learn(sample, training.net, training.round)
         training.learn(*([x.encode().split() for x in found[c]] for c in ("worst", "chance")), [int(x > 0) for x in found["label"]])
     return training.net
 
