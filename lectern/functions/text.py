@@ -183,6 +183,12 @@ def folded(text: Column) -> Column:
     return of(text)
 
 
+def sentences(text: Column) -> Column:
+    """Sentences by their end marks and line ends, trimmed, blank ones left out."""
+    parts = F.regexp_extract_all(text, F.lit("[^.!?。！？\\n]+[.!?。！？]*\\s*|[.!?。！？]+\\s*"), F.lit(0))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
+
+
 def first_sentences(text: Column, n: int = 3) -> Column:
     """The first sentences, by their end marks."""
     return F.trim(F.regexp_extract(text, f"(?s)^((?:.*?[.!?。！？]+(?:\\s+|$)){{1,{n}}}|.*)", 1))

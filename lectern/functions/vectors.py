@@ -43,6 +43,12 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def sign_cell(vector: Column, bits: int) -> Column:
+    """A number whose bits are the signs of the first dimensions."""
+    signs = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i)).otherwise(0.0))
+    return F.aggregate(signs, F.lit(0.0), lambda s, x: s + x).cast("long")
+
+
 def to_bytes(vector: Column) -> Column:
     """Little-endian 32-bit floats."""
 

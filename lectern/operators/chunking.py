@@ -10,10 +10,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import noise, token_estimate
+from lectern.functions.text import concept, entities, letter_ratio, noise, token_estimate
 
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0002a6df\U0002a700-\U0002ebef\U00030000-\U000323af]")
 _WORD = re.compile(r"[A-Za-z0-9'_-]+")
@@ -133,3 +133,136 @@ def merged(chunks: DataFrame, most: int = 600) -> DataFrame:
 
     grouped = without_noise(chunks).select("file_id", "chunk_idx", "text", "page").groupBy("file_id")
     return grouped.applyInPandas(run, "file_id long, chunk_idx int, text string").withColumn("token_count", token_estimate(F.col("text")))
+
+
+def table_chunks(tables: DataFrame, target: int = 280) -> DataFrame:
+    """(file_id, chunk_idx, text): tables (file_id, text) in pieces that repeat the first line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(i, k, p) for i, t in zip(rows["file_id"], rows["text"]) for k, p in enumerate(table_pieces(t or "", target))]
+            yield pd.DataFrame(out, columns=["file_id", "chunk_idx", "text"])
+
+    return tables.select("file_id", "text").mapInPandas(run, "file_id long, chunk_idx int, text string")
+
+
+def retrieval_units(parents: DataFrame, target: int = 280, overlap: int = 48) -> DataFrame:
+    """(file_id, parent_idx, chunk_idx, kind, text, contextual_text, entity_terms): parents (file_id, parent_idx, text,
+    prefix, kind) whole, or in pieces if they have over 360 tokens; each with the parent's prefix and its own entities."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                text = r.text or ""
+                large = thirds(text) > 3 * max(360, target)
+                pieces = [text] if not large else table_pieces(text, target) if r.kind == "table" else chunk(text, max(120, target), min(max(0, overlap), max(119, target - 1)))
+                out += [(r.file_id, r.parent_idx, k, r.kind, p, (r.prefix or "") + p) for k, p in enumerate(pieces) if p]
+            yield pd.DataFrame(out, columns=["file_id", "parent_idx", "chunk_idx", "kind", "text", "contextual_text"])
+
+    cut = parents.select("file_id", "parent_idx", "text", "prefix", "kind").mapInPandas(run, "file_id long, parent_idx int, chunk_idx int, kind string, text string, contextual_text string")
+    return cut.withColumn("entity_terms", entities(F.col("text")))
+
+
+_PAGE, _HEADING = re.compile(r"^\[Page\s+(\d+)\]$", re.I), re.compile(r"^(#{1,6})\s+(.+)$")
+_CELLS, _ITEM = re.compile(r"\t|\|"), re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
+
+
+def kind_of(text: str) -> str:
+    """table or list where half of several lines are, else text."""
+    lines = [x for x in text.split("\n") if x]
+    if len(lines) > 1:
+        for kind, pattern in (("table", _CELLS), ("list", _ITEM)):
+            if 2 * sum(bool(pattern.search(x)) for x in lines) >= len(lines):
+                return kind
+    return "text"
+
+
+def sections(text: str) -> list[tuple[str, tuple[str, ...], int | None, str]]:
+    """(text, headings above, page, kind) of the blocks of a text; headings and page marks are no blocks."""
+    out, above, page, held = [], [], None, []
+
+    def flush() -> None:
+        block = "\n".join(held).strip()
+        held.clear()
+        if block:
+            out.append((block, tuple(above), page, kind_of(block)))
+
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if m := _PAGE.match(line):
+            flush()
+            page = int(m[1])
+        elif m := _HEADING.match(line):
+            flush()
+            del above[len(m[1]) - 1 :]
+            above.append(m[2].strip())
+        elif line.strip():
+            held.append(line)
+        else:
+            flush()
+    flush()
+    return out or [(text.strip(), (), None, "text")]
+
+
+def document_chunks(files: DataFrame, words: int = 300, overlap: int = 48, most: int = 500) -> DataFrame:
+    """(file_id, chunk_idx, parent_idx, kind, section_path, page_start, text, contextual_text, token_count): the chunks
+    of files (id, title, note, text): title and note if there are, then the sections' parents in units; the first most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                own: list[tuple] = []
+                for kind, text, label in (("title", (r.title or "").strip(), (r.title or "").strip()), ("note", (r.note or "").strip(), "User note")):
+                    if text:
+                        shown = f"User note: {text}" if kind == "note" else text
+                        own.append((kind, [label], None, shown, shown, len(own)))
+                parent = len(own)
+                for text, path, page, kind in sections(r.text or ""):
+                    cut = (lambda t, n, o: table_pieces(t, n)) if kind == "table" else chunk
+                    for whole in cut(text, words, 0):
+                        for piece in cut(whole, min(300, words), overlap) if thirds(whole) > 3 * max(360, min(300, words)) else [whole]:
+                            context = "\n".join(x for x in (f"Section: {' > '.join(path)}" if path else "", f"Page: {page}" if page else "", piece) if x)
+                            own.append((kind, list(path), page, piece, context, parent))
+                        parent += 1
+                    if len(own) >= most:
+                        break
+                out += [(r.id, i, p, kind, path, page, text, context) for i, (kind, path, page, text, context, p) in enumerate(own[:most])]
+            made = pd.DataFrame(out, columns=["file_id", "chunk_idx", "parent_idx", "kind", "section_path", "page_start", "text", "contextual_text"])
+            yield made.astype({"page_start": "Int32"})
+
+    schema = "file_id long, chunk_idx int, parent_idx int, kind string, section_path array<string>, page_start int, text string, contextual_text string"
+    return files.select("id", "title", "note", "text").mapInPandas(run, schema).withColumn("token_count", token_estimate(F.col("contextual_text")))
+
+
+def with_title(title: Column, context: Column, most: int) -> Column:
+    """The context with the document's title in front, if that isn't in it and fits the tokens."""
+    name = concept(title)
+    longer = F.concat(F.lit("Document: "), title, F.lit("\n\n"), context)
+    return F.when((name != "") & ~F.contains(concept(context), name) & (token_estimate(longer) <= most), longer).otherwise(context)
+
+
+def to_index(files: DataFrame, signature: str) -> DataFrame:
+    """Files with a text that are no folder or duplicate and whose index, if any, has another signature."""
+    held = F.col("indexed_at").isNotNull() & F.col("index_signature").eqNullSafe(F.lit(signature))
+    return files.where(~F.col("is_directory") & ~held & F.col("duplicate_of_file_id").isNull() & (F.length(F.trim("content_text")) > 0))
+
+
+def signature(*parts: Column) -> Column:
+    """A digest of a configuration's parts."""
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+def without_corrupted(chunks: DataFrame, least: float = 0.7) -> DataFrame:
+    """chunks but for unreadable ones of files that have readable ones."""
+    judged = chunks.withColumn("_readable", letter_ratio(F.col("text")) >= least)
+    files = judged.groupBy("file_id").agg(F.bool_or("_readable").alias("_some"))
+    return judged.join(files, "file_id").where(F.col("_readable") | ~F.col("_some")).drop("_readable", "_some")
+
+
+def appended(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The second list of each file's chunks behind the first one's last."""
+    last = first.groupBy("file_id").agg(F.max("chunk_idx").alias("_last"))
+    moved = second.join(last, "file_id", "left").withColumn("chunk_idx", F.col("chunk_idx") + F.coalesce(F.col("_last") + 1, F.lit(0))).select(*first.columns)
+    return first.unionByName(moved)
+

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import folder_name, is_pattern, version_key
-from lectern.operators.rows import first_of_each
+from lectern.functions.text import folder_name, is_pattern, repaired_json, version_key
+from lectern.operators.rows import collision_names, first_of_each
 
 RULES = "id bigint, pattern string, target_folder string, priority int, enabled boolean, action string, source_directories array<string>"
 
@@ -143,3 +143,37 @@ def manifests(entries: DataFrame, key: str) -> DataFrame:
         F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.count_if((F.trim("id") != "") & (F.trim("role") != "")).alias("filled"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("l")
     )
     return listed.select(key, ((F.col("n") == F.col("different")) & (F.col("n") == F.col("filled"))).alias("valid"), F.array_join("l.id", ",").alias("ids"))
+
+
+def move_plan(files: DataFrame, root: str) -> DataFrame:
+    """files with target: root, category, subfolder if it's safe, and a name that no other of its folder has."""
+    sub = folder_name(F.col("organization_subfolder"))
+    folder = F.concat_ws("/", F.lit(root), "category", sub)
+    stem = F.regexp_replace("name", "\\.[^.]*$", "")
+    moves = files.withColumns({"folder": folder, "stem": stem})
+    named = collision_names(moves.drop("name"), moves.select("folder", "stem", "ext").limit(0))
+    return named.withColumn("target", F.concat_ws("/", "folder", "name"))
+
+
+def normalised_decisions(decisions: DataFrame) -> DataFrame:
+    """Decisions (category, folder, rule_id, is_directory): folders go by category, and a rule that only names it is none."""
+    plain = F.col("is_directory") | (F.col("folder") == F.col("category"))
+    return decisions.withColumns({"folder": F.when(plain, F.col("category")).otherwise(F.col("folder")), "rule_id": F.when(~plain, F.col("rule_id"))})
+
+
+def parsed_folders(answers: DataFrame) -> DataFrame:
+    """(id, folder): the safe folder that each answer's object names."""
+    named = folder_name(F.from_json(repaired_json(F.col("answer")), "folder string")["folder"])
+    return answers.select("id", named.alias("folder")).where("folder IS NOT NULL")
+
+
+def skills_for(skills: DataFrame, scope: str) -> DataFrame:
+    """Enabled skills for everything or for the scope."""
+    return skills.where(F.col("enabled") & F.col("scope").isin("all", scope))
+
+
+def reconciled_by_path(known: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, path, how) by path alone: path, gone or new."""
+    both = known.withColumn("_known", F.lit(1)).join(found.select("path").distinct().withColumn("_found", F.lit(1)), "path", "full_outer")
+    return both.select("id", "path", F.when(F.col("_known").isNull(), "new").when(F.col("_found").isNull(), "gone").otherwise("path").alias("how"))
+

@@ -68,17 +68,73 @@ def check_one_space(vectors: DataFrame, model: str, dim: int) -> None:
 
 def with_note_chunk(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     """notes (file_id, text) as the files' only note chunks, at the old one's place or after the last chunk."""
-    per_file = chunks.join(F.broadcast(notes.select("file_id")), "file_id", "left_semi").groupBy("file_id").agg(F.min(F.when(F.col("kind") == "note", F.col("chunk_idx"))).alias("at"), F.max("chunk_idx").alias("last"))
+    per_file = chunks.join(notes.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.min(F.when(F.col("kind") == "note", F.col("chunk_idx"))).alias("at"), F.max("chunk_idx").alias("last"))
     rest = chunks.where("kind <> 'note'").unionByName(chunks.where("kind = 'note'").join(notes.select("file_id"), "file_id", "left_anti"))
     placed = notes.join(per_file, "file_id", "left").select("file_id", F.coalesce("at", F.col("last") + 1, F.lit(0)).cast("int").alias("chunk_idx"), "text", F.lit("note").alias("kind"))
     return rest.unionByName(placed, allowMissingColumns=True)
 
 
+def reconciled_writes(old: DataFrame, upserts: DataFrame, stale: DataFrame, key: str = "id") -> DataFrame:
+    """old with rows written over or added, and the index columns of stale keys cleared, as one next state."""
+    merged = upsert(old, upserts, key).join(stale.select(key).distinct().withColumn("_stale", F.lit(True)), key, "left")
+    gone = F.coalesce("_stale", F.lit(False))
+    return merged.withColumns({c: F.when(~gone, F.col(c)) for c in ("indexed_at", "index_signature")}).select(*old.columns)
+
+
+def other_spaces(vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """(model, dim, others): the vectors that don't belong to a space."""
+    return vectors.where((F.col("model") != model) | (F.col("dim") != dim)).groupBy("model", "dim").agg(F.count("*").alias("others"))
+
+
+def removed_until(rows: DataFrame, removals: DataFrame, key: str, revision: str, until: str) -> DataFrame:
+    """rows but for those that a removal of their key is as new as, or newer than."""
+    last = removals.groupBy(key).agg(F.max(until).alias("_until"))
+    return rows.join(last, key, "left").where(F.col("_until").isNull() | (F.col(revision) > F.col("_until"))).drop("_until")
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    return rows.limit(0)
+
+
+def pending(rows: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """rows whose keys aren't staged yet."""
+    return rows.join(staged.select(key).distinct(), key, "left_anti")
+
+
+def seeded(rows: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
+    """rows with the defaults whose keys are missing; doing it again changes nothing."""
+    return rows.unionByName(defaults.join(rows.select(key), key, "left_anti"))
+
+
+def latest_writes(writes: DataFrame, keys: list[str], at: str, sticky: tuple[str, ...] = ()) -> DataFrame:
+    """The latest write of each key; flags of sticky stay set once any write has set them."""
+    latest = writes.groupBy(*keys).agg(F.max_by(F.struct(*writes.columns), F.col(at)).alias("_last"), *(F.bool_or(c).alias(f"_{c}") for c in sticky))
+    return latest.select(*((F.col(f"_{c}") if c in sticky else F.col(f"_last.{c}")).alias(c) for c in writes.columns))
+
+
+def retained(rows: DataFrame, where: Column, there: DataFrame, key: str) -> DataFrame:
+    """rows, but of those that the condition means only the ones whose key is there."""
+    return rows.where(~where).unionByName(rows.where(where).join(there.select(key).distinct(), key, "left_semi").select(*rows.columns))
+
+
+def invalidated(files: DataFrame, bad: DataFrame) -> DataFrame:
+    """files with index, hash and link cleared for the bad ids."""
+    marked = files.join(bad.select("id").distinct().withColumn("_bad", F.lit(True)), "id", "left")
+    return marked.withColumns({c: F.when(F.col("_bad").isNull(), F.col(c)) for c in files.columns if c != "id"}).drop("_bad")
+
+
+def written_if_current(old: DataFrame, new: DataFrame, key: str, generation: str) -> DataFrame:
+    """new over old where both are of the same generation."""
+    same = new.alias("n").join(old.select(F.col(key).alias("_key"), F.col(generation).alias("_now")), F.col(f"n.{key}") == F.col("_key")).where(F.col(f"n.{generation}") == F.col("_now"))
+    return upsert(old, same.select("n.*"), key)
+
+
 class Generations:
     """Tables as numbered folders with a pointer to the current one, in a file system that Spark reaches.
 
-    A generation is written beside the current one and becomes current by one rename. Resuming
-    skips the keys that are staged already.
+    A generation is written beside the current one; then the pointer is replaced by a rename. Between
+    the removal of the old pointer and the rename there is none, so readers try again. Resuming skips
+    the keys that are staged already.
     """
 
     def __init__(self, spark: SparkSession, root: str):

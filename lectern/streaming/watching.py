@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -97,3 +97,32 @@ def latest_generation(results: DataFrame, key: str, generation: str) -> DataFram
 def usage_windows(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts and sums of each type in tumbling windows of event time, for streams and tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def folder_snapshots(entries: DataFrame, width: str = "1 hour") -> DataFrame:
+    """(path, size, changed_at, observed_at): a folder as one observation for each window: the bytes and the last change of its
+    entries (root, ts, size); stable then holds for folders as for files, with a longer time."""
+    held = entries.groupBy("root", F.window("ts", width).alias("w")).agg(F.sum("size").alias("size"), F.max("ts").alias("changed_at"))
+    return held.select(F.col("root").cast("string").alias("path"), "size", "changed_at", F.col("w.start").alias("observed_at"))
+
+
+def states_kept(states: DataFrame, below: Column, listing: DataFrame) -> DataFrame:
+    """States of paths, without those below a folder that its latest listing lacks."""
+    return states.where(~below).unionByName(states.where(below).join(listing.select("path").distinct(), "path", "left_semi"))
+
+
+def linked_duplicates(arrivals: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, original_id): arrivals (id, content_hash), a batch or a stream, whose content an indexed file that is no duplicate has."""
+    first = files.where("indexed_at IS NOT NULL AND duplicate_of_file_id IS NULL").groupBy("content_hash").agg(F.min("id").alias("original_id"))
+    return arrivals.join(first, "content_hash").where("id <> original_id").select("id", "original_id")
+
+
+def without_organised(baseline: DataFrame, organised: DataFrame) -> DataFrame:
+    """The baseline once some of its entries are to be organised after all."""
+    return baseline.join(organised.select("path"), "path", "left_anti")
+
+
+def accounted(entries: DataFrame, skipped: Column, failed: Column) -> DataFrame:
+    """(outcome, n): how a batch of entries ended."""
+    return entries.select(F.when(skipped, "skipped").when(failed, "failed").otherwise("organised").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
