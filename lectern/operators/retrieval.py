@@ -166,12 +166,20 @@ def lexical_score(query: str, terms: list[str]) -> tuple[Column, Column]:
     return score, kind
 
 
+def is_identifier(word: str) -> bool:
+    """distinctive_identifier of one word."""
+    return word.isascii() and word.isalnum() and 2 <= len(word) <= 32 and (any(c.isdigit() for c in word) or word.isalpha() and word.isupper())
+
+
 def lexical_lane(files: DataFrame, query: str, terms: list[str], limit: int = 200) -> DataFrame:
-    """(file_id, score, kind, coverage): files that match, the strongest first."""
+    """(file_id, score, kind, coverage, identifier): files that match, the strongest first; identifier: whether one of
+    the query's distinctive identifiers occurs."""
     score, kind = lexical_score(query, terms)
     body = F.concat_ws("\n", "name", "title", "content_text", "note", "path")
     coverage = count_terms(body, terms) / len(terms) if terms else F.lit(0.0)
-    hits = files.select(F.col("id").alias("file_id"), score.alias("score"), kind.alias("kind"), F.round(coverage, 6).alias("coverage")).where("score > 0")
+    marks = [w for w in query.split() if is_identifier(w)]
+    identifier = count_terms(body, marks) > 0 if marks else F.lit(False)
+    hits = files.select(F.col("id").alias("file_id"), score.alias("score"), kind.alias("kind"), F.round(coverage, 6).alias("coverage"), identifier.alias("identifier")).where("score > 0")
     return hits.orderBy(F.desc("score"), "file_id").limit(limit)
 
 
@@ -309,11 +317,14 @@ def hybrid(files: DataFrame, chunks: DataFrame, vectors: DataFrame, search: Sear
     named = entity_lane(within, list(search.entity_terms)).select("file_id", "score") if search.entity_terms else none
     lexical = words.select("file_id", (F.col("score") / 1000).alias("score")).unionByName(by_chunk.withColumn("score", F.col("score") / 1000))
     exact = words.where("score >= 500").select("file_id")
-    fused = fuse(lexical, near, named, exact).join(words.select("file_id", "kind", "coverage"), "file_id", "left")
+    fused = fuse(lexical, near, named, exact).join(words.select("file_id", "kind", "coverage", "identifier", F.col("score").alias("words")), "file_id", "left")
     kind = F.when(F.col("exact_rank").isNotNull(), "fileName").when(F.col("entity_rank").isNotNull(), "entity").when(F.col("semantic_rank").isNotNull() & F.col("lexical_rank").isNotNull(), "hybrid").when(F.col("lexical_rank").isNotNull(), F.coalesce("kind", F.lit("content"))).otherwise("semantic")
     cover = F.coalesce("coverage", F.lit(0.0))
-    of_words = F.when(F.col("lexical_rank").isNotNull(), lexical_confidence(F.lit(0.9), cover, F.lit(False), F.lit(False), F.lit(False)))
-    of_vector = semantic_confidence(F.lit("content"), F.col("semantic_score"))
+    strength = F.coalesce("words", F.lit(0))
+    found = F.when(strength >= 400, 0.95).when(strength >= 200, 0.80).when(strength >= 100, 0.60).otherwise(0.45)
+    sure = lexical_confidence(found, cover, strength >= 400, cover < 1, F.coalesce("identifier", F.lit(False)))
+    of_words = F.when(F.col("lexical_rank").isNotNull(), sure)
+    of_vector = F.when(F.col("semantic_rank").isNotNull(), semantic_confidence(F.lit("content"), F.col("semantic_score")))
     confidence = F.when(F.col("exact_rank").isNotNull(), 1.0).when(F.col("entity_rank").isNotNull(), 0.98).otherwise(final_confidence(F.coalesce("kind", F.lit("content")), of_words, of_vector, cover))
     out = fused.select("file_id", "fused", kind.alias("match_kind"), F.round(confidence, 6).alias("confidence"))
     return displayed(out.withColumn("q", F.lit(1)), "q").drop("q").orderBy(F.desc("fused"), "file_id").limit(search.limit)

@@ -384,9 +384,9 @@ def ret01_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("files"))
 
 
-@R.add("SELECT DISTINCT file_id FROM (SELECT file_id, chunk_idx FROM chunks WHERE contains(lower(text), 'that') AND contains(lower(text), 'secret'))", "chunks")
+@R.add("SELECT DISTINCT file_id FROM (SELECT file_id, chunk_idx FROM chunks WHERE contains(lower(text), 'that') AND contains(lower(text), 'the'))", "chunks")
 def ret03_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = library.chunks(spark, sf_dir).where(retrieval.count_terms(F.col("text"), ["that", "secret"]) == 2)
+    some = library.chunks(spark, sf_dir).where(retrieval.count_terms(F.col("text"), ["that", "the"]) == 2)
     return some.select("file_id").distinct()
 
 
