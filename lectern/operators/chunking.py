@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions.text import concept, entities, letter_ratio, noise, token_estimate
 
@@ -266,3 +267,42 @@ def appended(first: DataFrame, second: DataFrame) -> DataFrame:
     moved = second.join(last, "file_id", "left").withColumn("chunk_idx", F.col("chunk_idx") + F.coalesce(F.col("_last") + 1, F.lit(0))).select(*first.columns)
     return first.unionByName(moved)
 
+
+def _balanced(parts: list[str], separator: str) -> list[str]:
+    middle, done, best = sum(map(len, parts)) / 2, 0, (float("inf"), 1)
+    for i, p in enumerate(parts[:-1], 1):
+        done += len(p)
+        best = min(best, (abs(done - middle), i))
+    return [separator.join(parts[: best[1]]), separator.join(parts[best[1] :])]
+
+
+def halved(text: str) -> list[str]:
+    """Two halves of a text, parted at the paragraph, else sentence, else space, else character nearest the middle; none if it can't be."""
+    for parts, separator in (([p.strip() for p in _PARAGRAPH.split(text) if p.strip()], "\n\n"), (sentences(text), " ")):
+        if len(parts) > 1:
+            return _balanced(parts, separator)
+    middle = len(text) // 2
+    spaces = [i for i, c in enumerate(text) if c.isspace()]
+    at = min(spaces, key=lambda i: (abs(i - middle), i)) if spaces else middle
+    both = [text[:at].strip(), text[at:].strip()]
+    return both if all(both) else []
+
+
+def halves(texts: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, first, second): each text's halves, null where it can't be parted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            both = [halved(t or "") or [None, None] for t in rows["text"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "first": [x[0] for x in both], "second": [x[1] for x in both]})
+
+    return texts.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, first string, second string")
+
+
+def broken_sentences(chunks: DataFrame) -> DataFrame:
+    """(file_id, chunk_idx, broken): whether a chunk goes on with the sentence of the one before."""
+    before = F.lag("text").over(Window.partitionBy("file_id").orderBy("chunk_idx"))
+    held = chunks.withColumn("before", before)
+    broken = F.col("before").isNotNull() & F.col("text").rlike("^[a-z]") & ~F.coalesce("before", F.lit("")).rlike("[.!?。！？]\\s*$")
+    return held.select("file_id", "chunk_idx", broken.alias("broken"))
+

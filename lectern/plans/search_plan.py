@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from lectern.functions.text import CATEGORY_EXTENSIONS
 from lectern.operators.filters import FileFilter
 
@@ -90,3 +94,47 @@ def merged_concepts(concepts: list[tuple[str, tuple[str, ...]]], most: int = 6)
         groups = [g for g in groups if g not in near]
         groups.append(list(dict.fromkeys([*(x for g in near for x in g), *own])))
     return [tuple(g) for g in groups[:most]]
+
+
+def reconciled(local: SearchPlan, proposed: SearchPlan, most: int = 6) -> SearchPlan:
+    """A proposed plan under the question's own constraints: what the question says of files, dates, order and years counts;
+    the rest, and terms beyond the question's, are taken from the proposal."""
+    mine, other = local.filter, proposed.filter
+    merged = {f: getattr(mine, f) if getattr(mine, f) != getattr(FileFilter(), f) else getattr(other, f) for f in FileFilter.__dataclass_fields__}
+    terms = dict.fromkeys(t.lower() for t in (*local.terms, *proposed.terms))
+    return SearchPlan(tuple(terms)[:most], FileFilter(**merged), local.sort or proposed.sort, local.years or proposed.years)
+
+
+PLANS = "id long, terms string, extensions string, sort string, years string, starts string, ends string"
+
+
+def _row(i: int, plan: SearchPlan) -> tuple:
+    dates = plan.filter.modified if plan.filter.modified[0] else plan.filter.added
+    return i, " ".join(plan.terms), ",".join(plan.filter.extensions), plan.sort, ",".join(map(str, plan.years)), *(d and d.date().isoformat() for d in dates)
+
+
+def inferred_plans(questions: DataFrame, today: date) -> DataFrame:
+    """PLANS of questions (id, question)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([_row(i, inferred(q or "", today)) for i, q in zip(rows["id"], rows["question"])], columns=[x.split()[0] for x in PLANS.split(", ")])
+
+    return questions.select("id", "question").mapInPandas(run, PLANS)
+
+
+def reconciled_plans(questions: DataFrame, today: date) -> DataFrame:
+    """PLANS of questions (id, question, title), reconciled with proposals that the title's words make; concepts that share a word are one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i, q, title in zip(rows["id"], rows["question"], rows["title"]):
+                words = re.findall(r"\w+", (title or "").lower())
+                concepts = merged_concepts([(w, tuple(words[k + 1 : k + 2])) for k, w in enumerate(words)][:8])
+                proposed = SearchPlan(tuple(c[0] for c in concepts), FileFilter(extensions=("pdf",)), "oldest")
+                out.append(_row(i, reconciled(inferred(q or "", today), proposed)))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PLANS.split(", ")])
+
+    return questions.select("id", "question", "title").mapInPandas(run, PLANS)
+

@@ -9,10 +9,10 @@ import regex
 
 from lectern.functions import questions as qs
 from lectern.functions import text as tx
-from lectern.operators import context, retrieval
+from lectern.operators import chunking, context, retrieval
 from lectern.plans import text_queries
 from lectern.plans.catalogue import QUERIES
-from lectern.sources import library
+from lectern.sources import library, readers
 from tests.conftest import SMALL
 
 
@@ -241,3 +241,37 @@ def test_question_functions_on_han(spark):
     got = made.select(qs.date_only(F.col("q")).alias("d"), qs.prefers_recent(F.col("q")).alias("r"), qs.content_terms(F.col("q")).alias("t"), qs.single_identifier_allowed(F.col("q")).alias("s")).collect()
     assert [r.d for r in got] == [True, False, True] and [r.r for r in got] == [True, False, False]
     assert "lumens" in [x.lower() for x in got[1].t] and "预算" in got[1].t and not got[2].s
+
+
+def test_halves(spark, docs):
+    assert chunking.halved("one two three") == ["one two", "three"] and chunking.halved("x") == []
+    for r in rows(spark, "str30_halves"):
+        if r.first is not None:
+            assert re.sub(r"\s", "", r.first + r.second) == re.sub(r"\s", "", docs[r.doc_id])
+            longest = max(map(len, re.split(r"\n[\t ]*\n+|(?<=[.!?])\s", docs[r.doc_id])))
+            assert abs(len(r.first) - len(r.second)) <= 2 * longest + 10
+
+
+def test_plans_of_questions(spark):
+    asked = {r.id: r.question for r in library.questions(spark, SMALL).collect()}
+    for r in rows(spark, "ret30_inferred_plans"):
+        if "last 7 days" in asked[r.id]:
+            assert (r.starts, r.ends, r.terms) == ("2024-03-07", "2024-03-14", "")
+        if "2021 and 2023" in asked[r.id]:
+            assert r.years == "2021,2023" and "report" in r.terms
+        if asked[r.id].startswith("latest"):
+            assert r.sort == "newest"
+    for r in rows(spark, "ret31_ret32_reconciled_plans"):
+        assert r.sort == ("newest" if asked[r.id].startswith("latest") else "oldest") or "oldest" in asked[r.id]
+        assert len(r.terms.split()) <= 6 and r.extensions
+
+
+def test_embeddings_have_length_one(spark):
+    got = rows(spark, "ret35_txt16_embedded")
+    assert all(r.dim == 384 and r.square in (0.0, 1.0) for r in got) and got
+
+
+def test_pages_and_lines(spark):
+    pages = {f"/pages/{r.page_id}.html": r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    assert {r.path: r.chars for r in rows(spark, "src25_src26_extracted_pages")} == {p: len(readers.html_text(h)[: readers.CHARACTERS]) for p, h in pages.items()}
+    assert all("again" not in r.text and r.text.startswith("line 0") for r in rows(spark, "txt22_merged_lines"))
