@@ -44,7 +44,7 @@ def sieved(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
 
     The filter of at most MOST_CELLS cells is broadcast; no row shuffles.
     """
-    cells = filter_size(n)
+    cells = filter_size(n, 4)
     mixed = lambda c: F.xxhash64(c).bitwiseAND(F.lit(cells - 1))
     words = keys.select(mixed(F.col(key)).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_cell & 63 as int)))").alias("_bits"))
     columns = rows.columns
@@ -102,7 +102,7 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
     members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from the
     key, by which reach rules out pairs at once. compare: of pairs (a, b) those that are linked.
     Buckets of at most paired members are compared in pairs. In a larger one, reps members are
-    compared with all others; then, with the components so far, eight times as many of the
+    compared with all others; then, with the components so far, 64 times as many of the
     members outside the bucket's largest component that were not taken yet, each with all
     members of other components, and so on until none is left. So of two members that end in
     different components at least one was compared with the other: nothing is lost, and a bucket
@@ -142,7 +142,7 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
         taken = chosen.select("bucket", "key") if taken is None else taken.unionByName(chosen.select("bucket", "key"))
         counted = many.drop("component").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
         many = cut(counted.withColumn("component", F.coalesce("component", "key")))
-        reps *= 8
+        reps *= 64
     return links if links is not None else cut(compare(cut(pairs.distinct())))
 
 
