@@ -35,8 +35,8 @@ LEAST_VALUE = 6
 WINDOW = 24
 #: Kind -> symbols, candidate pattern, what a candidate must have, least entropy of a window in bits.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdefABCDEF", f"[0-9A-Fa-f]{{{WINDOW},}}", "[A-Fa-f]", 3.0),
-    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", f"[A-Za-z0-9+/_-]{{{WINDOW},}}", "(?s)(?=.*[0-9])(?=.*[A-Za-z])", 4.0),
+    "entropy_hex": ("0123456789abcdefABCDEF", f"[0-9A-Fa-f]{{{WINDOW},}}", ("[A-Fa-f]",), 3.0),
+    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", f"[A-Za-z0-9+/_-]{{{WINDOW},}}", ("[0-9]", "[A-Za-z]"), 4.0),
 }
 
 
@@ -133,7 +133,7 @@ def _entropy_spans(text: Column, kind: str, allowed: tuple[Allow, ...], window:
 
     def judge(span: Column) -> Column:
         candidate = span["text"]
-        wanted = candidate.rlike(needs)
+        wanted = reduce(and_, [candidate.rlike(p) for p in needs])
         for allow in allowed:
             finds = [candidate.rlike(p) for p in allow.every] + [~candidate.rlike(p) for p in allow.none]
             wanted = wanted & ~reduce(and_, finds)

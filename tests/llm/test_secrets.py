@@ -33,7 +33,7 @@ def entropic(text):
     for kind, (symbols, pattern, needs, limit) in secrets.CLASSES.items():
         for m in re.finditer(pattern, text):
             s = m[0]
-            if not re.search(needs, s) or any(re.search(a, s) for a in ALLOWED):
+            if not all(re.search(n, s) for n in needs) or any(re.search(a, s) for a in ALLOWED):
                 continue
             low = s.lower() if len(symbols) <= 22 else s
             hot = []
@@ -106,7 +106,7 @@ def test_paths_against_one_pattern(spark):
 def test_long_candidates_take_linear_time(spark):
     rnd = random.Random(2)
     symbols = secrets.CLASSES["entropy_base64"][0]
-    docs = [(1, "a1/" * 50_000), (2, "".join(rnd.choice(symbols) for _ in range(200_000))), (3, "token = abcdef12 \n" * 20_000), (4, "f0e1d2c3b4a5968778695a4b3c2d1e0f" * 5_000)]
+    docs = [(1, "a1/" * 50_000), (2, "".join(rnd.choice(symbols) for _ in range(200_000))), (3, "token = abcdef12 \n" * 20_000), (4, "f0e1d2c3b4a5968778695a4b3c2d1e0f" * 5_000), (5, "x" * 200_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     began = time.time()
     got = {r.doc_id: r for r in scan(df)}
@@ -116,3 +116,4 @@ def test_long_candidates_take_linear_time(spark):
     assert got[2].spans == "entropy_base64:0:200000" and masked[2] == "[SECRET]"
     assert got[3].n_assign == 20_000 and masked[3] == "[SECRET] \n" * 20_000
     assert got[4].n_hex == 1 and masked[4] == "[SECRET]"
+    assert got[5].spans == "" and masked[5] == docs[4][1]
