@@ -229,8 +229,9 @@ def tree_table(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     """(doc_id, TREES), one row for each row of docs."""
 
     def work(by: Counts, words: str | None) -> tuple:
-        tree = build(words, by)
-        return words, pack(tree), tree.length, tree.leaves, tree.tokens
+        pretokens = by.cut.findall(words or "")
+        leaves = np.array([list(map(len, pretokens)), by.of(pretokens)], "<u4")
+        return words, leaves.tobytes(), len(words or ""), len(pretokens), int(leaves[1].sum())
 
     return _mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, path, pattern, TREES)
 
@@ -250,14 +251,15 @@ def recounted(trees: DataFrame, path: str, pattern: str, edits: str = "edits") -
     """
 
     def work(by: Counts, text: str | None, leaves: bytes, changes: list[dict] | None) -> tuple:
-        tree = unpack(leaves)
-        before = tree.length, tree.leaves, tree.tokens
+        lengths, tokens = np.frombuffer(leaves, "<u4").reshape(2, -1)
+        before = after = int(lengths.sum()), len(lengths), int(tokens.sum())
         wanted = sorted((e["start"], e["end"], e["new"] or "") for e in changes or ())
-        refused = any(a[1] > b[0] for a, b in zip(wanted, wanted[1:])) or any(not 0 <= a <= b <= tree.length for a, b, _ in wanted)
+        refused = any(a[1] > b[0] for a, b in zip(wanted, wanted[1:])) or any(not 0 <= a <= b <= before[0] for a, b, _ in wanted)
         asked = by.asked
-        if wanted and not refused:
+        if wanted and not refused:  # only then are the sums laid out
+            tree = unpack(leaves)
             text = apply(tree, text, wanted, by)
-            leaves = pack(tree)
-        return text, leaves, *before, len(wanted) * (not refused), len(wanted) * refused, tree.length, tree.leaves, tree.tokens, by.asked - asked
+            leaves, after = pack(tree), (tree.length, tree.leaves, tree.tokens)
+        return text, leaves, *before, len(wanted) * (not refused), len(wanted) * refused, *after, by.asked - asked
 
     return _mapped(trees.select("doc_id", "text", "leaves", F.col(edits).alias("edits")), work, path, pattern, COUNTED)
