@@ -46,7 +46,7 @@ BLOCK = 1024
 #: How much more a toxic window weighs in the loss, at most.
 POSITIVE_WEIGHT = 2.0
 #: Distinct words whose inputs a worker remembers; it starts anew beyond.
-CACHE_SIZE = 250_000
+CACHE_SIZE = 100_000
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 48 if chr(b).isdigit() else 39 if b == 39 else 32 for b in range(256))
 
 
@@ -319,7 +319,7 @@ class Scorer:
             return
         n = len(self.index)
         if n + len(new) > len(self.gates):
-            grown = np.zeros((2 * (n + len(new)), 6 * HIDDEN), np.float32)
+            grown = np.zeros(((n + len(new)) * 5 // 4, 6 * HIDDEN), np.float32)
             grown[:n] = self.gates[:n]
             self.gates = grown
         for i in range(0, len(new), 8192):
