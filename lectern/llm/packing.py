@@ -293,7 +293,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         bases = F.broadcast(bases)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc, queue, base, before, n, packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 ids = np.frombuffer(packed, "<u2").astype("<u4").tobytes()
