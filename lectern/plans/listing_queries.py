@@ -110,8 +110,8 @@ _RELEASES = """SELECT p_partkey AS id, concat(p_partkey % 4, '.', p_size, '.', p
 
 
 def _releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_RELEASES.format(sha="sha2(cast(p_partkey AS string), 256)"))
+    sql = _RELEASES.format(sha="sha2(cast(p_partkey AS string), 256)")
+    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
 
 
 _RELEASES_SQL = "releases AS (" + _RELEASES.format(sha="sha256(cast(p_partkey AS varchar))") + ")"
@@ -168,8 +168,8 @@ _HISTORY = "SELECT conv_id * 100 + turn AS id, text AS query, turn % 2 = 0 AS is
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    return spark.sql(_HISTORY.format(at=f"timestamp_seconds({library.EPOCH} + conv_id * 60 + turn)"))
+    sql = _HISTORY.format(at=f"timestamp_seconds({library.EPOCH} + conv_id * 60 + turn)")
+    return spark.sql(sql.replace("FROM conversations", "FROM {told}"), told=table(spark, sf_dir, "conversations"))
 
 
 _HISTORY_SQL = "history AS (" + _HISTORY.format(at=f"make_timestamp(({library.EPOCH} + conv_id * 60 + turn) * 1000000)") + ")"
@@ -301,8 +301,7 @@ _RESULTS_SQL = f"results AS ({_RESULTS})"
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _files(spark, sf_dir).createOrReplaceTempView("files")
-    return spark.sql(_RESULTS)
+    return spark.sql(_RESULTS.replace("FROM files", "FROM {files}"), files=_files(spark, sf_dir))
 
 
 @R.add(f"WITH {_RESULTS_SQL} SELECT id, row_number() OVER (ORDER BY confidence DESC, score DESC, lower(name), id) AS place FROM results QUALIFY place <= 200", "files")

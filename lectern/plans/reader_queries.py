@@ -187,8 +187,8 @@ def txt22_merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def udf01_udf03_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library's functions by their names in SQL."""
     registry.register(spark)
-    library.embeddings(spark, sf_dir).createOrReplaceTempView("vectors")
-    return spark.sql("SELECT id, vec_dot(cast(embedding AS array<double>), cast(embedding AS array<double>)) > 0 AS some, concept_of(model) AS concept FROM vectors")
+    sql = "SELECT id, vec_dot(cast(embedding AS array<double>), cast(embedding AS array<double>)) > 0 AS some, concept_of(model) AS concept FROM {vectors}"
+    return spark.sql(sql, vectors=library.embeddings(spark, sf_dir))
 
 
 @R.add("SELECT file_id, chunk_idx, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')), ['that', 'the'])) / 2.0, 6) AS score FROM chunks", "chunks")
