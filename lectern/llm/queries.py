@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, exact_dedup, line_dedup, media, packing, quality, secrets, simhash, token_counts, toxicity
+from lectern.llm import byte_bpe, exact_dedup, filter_audit, line_dedup, media, packing, quality, quality_rules, secrets, simhash, token_counts, toxicity, whitening
 from lectern.llm.common import documents, held_out_column
 from lectern.session import table
 
@@ -89,6 +89,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recounted(trees.withColumn("edits", edits), path, public_tokenizers.PATTERN).drop("text", "leaves")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each order of the five, for each language."""
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' counts of every document, its log-likelihood ratio and whether it stays."""
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's deviation and its whitened principal components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +116,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 _OP9 = """
@@ -159,7 +178,41 @@ FROM d LEFT JOIN per USING (doc_id)
 """
 
 
+_OP11 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+truth AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d JOIN firsts USING (t) LEFT JOIN truth USING (doc_id)
+),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM o, letters WHERE length(filter_order) < 5 AND NOT contains(filter_order, l)),
+s AS (SELECT filter_order, step, filter_order[step] AS l, filter_order[:step - 1] AS before FROM o, unnest(range(1, 6)) AS r(step) WHERE length(filter_order) = 5),
+x AS (
+  SELECT part, filter_order, step, l, n, good, toxic, contains(fails, l) AS bad, before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone, fails = l AS alone FROM c, s
+),
+g AS (
+  SELECT part, filter_order, cast(step AS integer) AS step, l,
+    sum(CASE WHEN NOT bad AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bad AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN bad AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails,
+  cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, l) AS bigint) AS shapley
+FROM g
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scans": _op1(),
     "op9_exact_dedup": _OP9,
+    "op11_filter_audit": _OP11,
 }
