@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm.common import with_column_of_arrays
 from lectern.llm.components import HOT_SHARE, sieved
-from lectern.llm.quality_rules import words, with_column_of_arrays
+from lectern.llm.quality_rules import words
 from lectern.session import cut
 
 FILTERS = "ABCDE"

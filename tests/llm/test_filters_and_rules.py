@@ -146,7 +146,9 @@ def slow_verdicts(docs, labels):
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-def test_registered_rules_against_brute_force(spark):
+@pytest.mark.parametrize("most", [2_000_000, 10])
+def test_registered_rules_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "MOST_IDS", most)
     docs = [tuple(r) for r in table(spark, MIDDLE, "documents").select("doc_id", "text").collect()]
     labels = [tuple(r) for r in table(spark, MIDDLE, "labels").select("doc_id", "quality").collect()]
     got = sorted(tuple(r[c] for c in COLUMNS) for r in queries.op12_quality_rules(spark, MIDDLE).collect())

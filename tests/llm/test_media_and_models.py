@@ -245,6 +245,16 @@ def test_registered_counts(spark):
         assert (r.edited_tokens, r.edited_chars) == (len(model.encode_ordinary(after)), len(after))
 
 
+def test_personal_data_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm import secrets
+
+    texts = ["a@b" + ".c" * 100_000, "x a@b.c.d, 123-456", "a@" * 100_000, "a@b" + ".c-" * 50_000 + "@"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.spans(F.col("t"), queries.PERSONAL, 0).alias("s")).collect()
+    assert [[(s.start, s.end) for s in r.s] for r in got] == [[(0, 200_003)], [(2, 9)], [], [(0, 100_000 + 50_003)]]
+
+
 def test_counts_of_odd_rows(spark, tmp_path):
     from pyspark.sql import functions as F
 
