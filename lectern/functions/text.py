@@ -135,9 +135,10 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))))
 
 
-#: Entity patterns (identifiers with digits, mail addresses, dates, amounts).
+#: Entity patterns (identifiers with digits, mail addresses, dates, amounts). Their parts that
+#: begin anywhere in a run of signs have 255 characters at most, so that a text takes linear time.
 ENTITY_PATTERNS = (
-    "(?iU)\\b[A-Z0-9][A-Z0-9._/-]{2,}[0-9][A-Z0-9._/-]*\\b", "(?iU)\\b[\\w.%+-]+@[\\w.-]+\\.[A-Za-z]{2,}\\b",
+    "(?iU)\\b[A-Z0-9][A-Z0-9._/-]{2,255}[0-9][A-Z0-9._/-]*\\b", "(?iU)\\b[\\w.%+-]{1,255}@[\\w.-]{1,255}\\.[A-Za-z]{2,255}\\b",
     "(?U)\\b[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\\b", "(?i)(?:[$€£¥]|SGD|USD|EUR|CNY|RMB)\\s*[0-9][0-9,.]*",
 )
 

@@ -343,4 +343,7 @@ def str40_ascii_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def ret07_exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each phrase of the benchmark."""
-    return retrieval.phrase_counts(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    from lectern.plans.stored_queries import phrase_counts
+
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))
+    return phrase_counts(spark, docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
