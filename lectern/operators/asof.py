@@ -16,7 +16,7 @@ def asof(events: DataFrame, states: DataFrame, key: str, at: str, values: tuple[
     one with the greatest values counts. Null keys and times of events have no state; states without either are left out.
     """
     value = F.struct(*values)
-    slot = F.floor(F.unix_micros(at) / (seconds * 1_000_000))
+    slot = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (seconds * 1_000_000))
     e = events.withColumns({"_slot": slot, "_state": F.lit(None).cast(states.select(value.alias("v")).schema["v"].dataType), "_side": F.lit(1)})
     s = states.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(value).alias("_state")).withColumns({"_slot": slot, "_side": F.lit(0)})
     both = e.unionByName(s, allowMissingColumns=True)

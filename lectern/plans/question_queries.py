@@ -128,11 +128,10 @@ def str17_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("that"))).select("doc_id", qs.snippet(F.col("text"), "that", 96).alias("snippet"))
 
 
-@R.add(r"SELECT id, trim(regexp_extract(content_text, '^((?:[^.!?。！？]*[.!?。！？]+(?:\s+|$)){1,3})', 1)) AS head FROM files WHERE regexp_matches(content_text, '^[^.!?。！？]*[.!?。！？]+\s')", "files")
+@R.add(r"SELECT id, trim(regexp_extract(content_text, '(?s)^((?:.*?[.!?。！？]+(?:\s+|$)){1,3}|.*)', 1)) AS head FROM files", "files")
 def str29_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three sentences of texts whose first end mark stands before white space."""
-    some = library.files(spark, sf_dir).where(F.col("content_text").rlike("^[^.!?。！？]*[.!?。！？]+\\s"))
-    return some.select("id", F.trim(F.regexp_extract("content_text", "^((?:[^.!?。！？]*[.!?。！？]+(?:\\s+|$)){1,3})", 1)).alias("head"))
+    """The first three sentences of every text."""
+    return library.files(spark, sf_dir).select("id", tx.first_sentences(F.col("content_text")).alias("head"))
 
 
 @R.add(r"""SELECT file_id, chunk_idx, CASE WHEN regexp_full_match(text, '(?i)\[Page\s+[0-9]+\]') THEN 'page' WHEN regexp_full_match(text, '#{1,6}\s+.+') THEN 'heading' WHEN trim(text, ' ') = '' THEN 'blank'

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import registry
+from lectern.functions import plans, registry
 from lectern.functions import text as tx
 from lectern.operators import chunking, filters, organize, providers, retrieval, rows
 from lectern.plans import search_plan
@@ -46,30 +46,35 @@ def src25_src26_extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extracted(_pages(spark, sf_dir)).select("path", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
-def _office(text: Column, title: Column) -> Column:
-    """A small word-processor archive of a text, a paragraph for each line."""
+def _office(ext: Column, text: Column, note: Column, title: Column) -> Column:
+    """A small archive of a text, a paragraph for each line: of a word processor, the note as a comment, or of slides, as notes."""
 
     @F.pandas_udf("binary")
-    def of(texts: pd.Series, titles: pd.Series) -> pd.Series:
+    def of(kinds: pd.Series, texts: pd.Series, notes: pd.Series, titles: pd.Series) -> pd.Series:
         out = []
-        for t, name in zip(texts, titles):
+        for kind, t, more, name in zip(kinds, texts, notes, titles):
             data = io.BytesIO()
+            body, aside = ("word/document.xml", "word/comments.xml") if kind == "docx" else ("ppt/slides/slide1.xml", "ppt/notesSlides/notesSlide1.xml")
             with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("word/document.xml", "<w:document xmlns:w='w'>" + "".join(f"<w:p><w:t>{escape(x)}</w:t></w:p>" for x in (t or "").split("\n")) + "</w:document>")
+                for part, lines in ((body, t or ""), (aside, more)):
+                    archive.writestr(part, "<w:document xmlns:w='w'>" + "".join(f"<w:p><w:t>{escape(x)}</w:t></w:p>" for x in lines.split("\n")) + "</w:document>")
                 archive.writestr("docProps/core.xml", f"<cp xmlns:dc='dc'><dc:title>{escape(name or '')}</dc:title></cp>")
                 archive.writestr("word/media/image1.png", "not text")
             out.append(data.getvalue())
         return pd.Series(out)
 
-    return of(text, title)
+    return of(ext, text, note, title)
 
 
-@R.add("SELECT concat('/c/', conv_id, '/', turn, '.docx') AS path, concat('turn ', turn) AS title, trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM conversations WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f]')")
+@R.add("""SELECT concat('/c/', conv_id, '/', turn, CASE WHEN turn % 2 = 0 THEN '.docx' ELSE '.pptx' END) AS path, concat('turn ', turn) AS title,
+  trim(regexp_replace('note ' || conv_id || chr(10) || chr(10) || regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM conversations""")
 def src28_src44_src45_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as office archives, and what is read from them: allowed entries and the title."""
-    told = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[\\x00-\\x08\\x0b-\\x1f]"))
-    path = F.concat(F.lit("/c/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".docx"))
-    made = told.select(path.alias("path"), F.lit("docx").alias("ext"), _office(F.col("text"), F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("content"))
+    """Conversations as office archives, and what is read from them: allowed entries and the title. XML has no
+    control characters; they're spaces."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    ext = F.when(F.col("turn") % 2 == 0, "docx").otherwise("pptx")
+    told = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0b-\\x1f]", " "))
+    made = told.select(F.concat(F.lit("/c/"), conv, F.lit("/"), turn, F.lit("."), ext).alias("path"), ext.alias("ext"), _office(ext, F.col("text"), F.concat(F.lit("note "), conv), F.concat(F.lit("turn "), turn)).alias("content"))
     return readers.extracted(made)
 
 
@@ -81,15 +86,16 @@ def src34_parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parsed_chunks(table(spark, sf_dir, "documents").select(line.alias("value"))).select("file_id", "chunk_idx", "text", "kind")
 
 
-@R.add("SELECT concat('/d', id // 10) AS directory, min(CASE id % 10 WHEN 3 THEN concat('/d', id // 10, '/README.md') WHEN 7 THEN NULL END) AS reference FROM files WHERE id % 10 = 3 GROUP BY 1", "files")
+@R.add("""WITH d AS (SELECT DISTINCT id // 10 AS d FROM files)
+  SELECT concat('/d', d) AS directory, CASE d % 3 WHEN 0 THEN concat('/d', d, '/README.md') WHEN 1 THEN concat('/d', d, '/docs/Overview-2.rst') ELSE concat('/d', d, '/Package.json') END AS reference FROM d
+  UNION ALL SELECT concat('/d', d, '/docs'), concat('/d', d, '/docs/Overview-2.rst') FROM d WHERE d % 3 <> 2""", "files")
 def src39_reference_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file that stands for each folder: a read-me before an index, by name."""
-    folder = F.concat(F.lit("/d"), F.floor(F.col("id") / 10).cast("string"))
-    name = F.when(F.col("id") % 10 == 3, "README.md").when(F.col("id") % 10 == 7, "index.html").otherwise(F.col("name"))
-    some = library.files(spark, sf_dir).select(folder.alias("folder"), name.alias("name"), "id")
-    whole = some.select(F.concat_ws("/", "folder", "name").alias("path"), "name", tx.extension(F.col("name")).alias("ext"), "id")
-    read = whole.groupBy(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("d")).agg(F.bool_or(F.col("id") % 10 == 3).alias("held")).where("held")
-    return readers.reference_files(whole).join(read, F.col("directory") == F.col("d"), "left_semi")
+    """The file that stands for each folder: a read-me before an overview among its documents, a manifest where there is neither."""
+    k, d = F.col("id") % 10, F.floor(F.col("id") / 10)
+    name = F.when((k == 3) & (d % 3 == 0), "README.md").when((k == 5) & (d % 3 < 2), "docs/Overview-2.rst").when(k == 9, "Package.json").otherwise(F.col("name"))
+    path = F.concat(F.lit("/d"), d.cast("string"), F.lit("/"), name)
+    some = library.files(spark, sf_dir).select(path.alias("path")).withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
+    return readers.reference_files(some.withColumn("ext", tx.extension(F.col("name"))))
 
 
 @R.add("SELECT path, hash AS content_hash, size FROM (SELECT path, content_hash AS hash, size FROM files WHERE NOT is_directory AND source_dir <> '/library/src1' AND NOT starts_with(name, '.'))", "files")
@@ -152,15 +158,38 @@ def ret28_quick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(library.files(spark, sf_dir), library.chunks(spark, sf_dir), library.embeddings(spark, sf_dir), search)
 
 
+def _flat_plan(plan: str) -> list[Column]:
+    """The fields of a plan, lists joined."""
+    lists, plain = ("keywords", "extensions", "categories"), ("semantic_query", "exact_name", "item_kind", "date_field", "starts", "ends", "min_size", "max_size", "has_note", "is_indexed", "content_mode", "sort")
+    return [*(F.array_join(f"{plan}.{f}", "|").alias(f) for f in lists), *(F.col(f"{plan}.{f}") for f in plain)]
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, question, local): questions with their own plans, made once a row."""
+    asked = library.questions(spark, sf_dir)
+    return asked.select("id", "question", F.explode(F.array(plans.inferred(F.col("question"), F.lit(date(2024, 3, 13))))).alias("local"))
+
+
 @R.add()
 def ret30_inferred_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a plan says for each question, by its words alone."""
-    return search_plan.inferred_plans(library.questions(spark, sf_dir), date(2024, 3, 13))
+    return _plans(spark, sf_dir).select("id", *_flat_plan("local"))
+
+
+@R.add()
+def ret31_reconciled_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans as a model proposes them, here JSON made from the title, under what the question itself says."""
+    proposal = """to_json(named_struct('semantic_query', title, 'keywords', filter(split(title, ' '), w -> w <> ''), 'extensions', array('pdf'), 'categories', array('image'), 'folder_terms', array('src'), 'item_kind', 'file',
+      'date_field', 'organized', 'starts', date'2023-01-01', 'ends', date'2023-02-01', 'min_size', id * 10, 'max_size', 500 - id, 'has_note', true, 'is_indexed', true,
+      'content_mode', CASE id % 3 WHEN 0 THEN 'metadata_only' WHEN 1 THEN 'automatic' ELSE 'indexed_content' END, 'sort', 'oldest'))"""
+    told = library.files(spark, sf_dir).selectExpr("id", f"{proposal} AS told")
+    made = _plans(spark, sf_dir).join(told, "id").withColumn("proposed", F.from_json("told", plans.PLAN))
+    return made.select("id", F.explode(F.array(plans.reconciled(F.col("proposed"), F.col("local"), F.col("question")))).alias("plan")).select("id", *_flat_plan("plan"))
 
 
 @R.add()
 def ret31_ret32_reconciled_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans of a model (here made from the title) under the constraints that the question itself has; concepts merged."""
+    """Terms of questions and of a proposal from the title, concepts that share a word merged."""
     made = library.questions(spark, sf_dir).join(library.files(spark, sf_dir).select("id", "title"), "id")
     return search_plan.reconciled_plans(made, date(2024, 3, 13))
 

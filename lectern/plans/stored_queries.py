@@ -58,12 +58,12 @@ def snk03_reconciled_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""SELECT file_id, chunk_idx, text FROM chunks WHERE file_id % 10 <> 0
-  UNION ALL SELECT file_id, chunk_idx, upper(text) FROM chunks WHERE file_id % 10 = 0 AND chunk_idx % 2 = 0""", "chunks")
+  UNION ALL SELECT file_id, chunk_idx, concat('v2 ', text) FROM chunks WHERE file_id % 10 = 0 AND chunk_idx % 2 = 0""", "chunks")
 def snk04_replaced_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of some files replaced by fewer ones."""
     chunks = library.chunks(spark, sf_dir).select("file_id", "chunk_idx", "text")
     stored = buckets.BucketTable.create(chunks, _folder(spark, "chunks"), "file_id", 64)
-    stored.replace(chunks.where("file_id % 10 = 0 AND chunk_idx % 2 = 0").withColumn("text", F.upper("text")))
+    stored.replace(chunks.where("file_id % 10 = 0 AND chunk_idx % 2 = 0").withColumn("text", F.concat(F.lit("v2 "), "text")))
     return stored.read()
 
 

@@ -41,18 +41,29 @@ def bounded_totals(files: DataFrame, most: int) -> DataFrame:
     return some.agg(F.when(fits, F.count("*")).alias("files"), F.when(fits, F.sum("size")).alias("bytes"))
 
 
-#: Stems and extensions of a directory's reference file, the best first.
-REFERENCE_STEMS = ("readme", "overview", "index", "summary", "about")
-REFERENCE_EXTENSIONS = ("md", "txt", "html", "pdf")
+#: Stems and extensions of a directory's reference file, the best first; folders of it that may hold one instead;
+#: names that tell a project, for a directory without either.
+REFERENCE_STEMS = ("readme", "overview", "about", "description", "project", "getting-started", "getting_started")
+REFERENCE_EXTENSIONS = ("md", "markdown", "rst", "txt", "adoc", "html", "")
+REFERENCE_FOLDERS = ("docs", "doc", ".github")
+MANIFESTS = ("package.json", "pyproject.toml", "cargo.toml", "package.swift", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "gemfile")
 
 
 def reference_files(files: DataFrame) -> DataFrame:
-    """(directory, reference): the best-named file of each directory, if any is."""
-    stem = F.lower(F.regexp_extract("name", "^(.*?)(?:\\.[^.]*)?$", 1))
-    a = F.array_position(F.array(*(F.lit(x) for x in REFERENCE_STEMS)), stem)
-    b = F.array_position(F.array(*(F.lit(x) for x in REFERENCE_EXTENSIONS)), F.lower("ext"))
-    ranked = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("directory"), "path", (a * 100 + b).alias("rank"), ((a > 0) & (b > 0)).alias("fit")).where("fit")
-    return ranked.groupBy("directory").agg(F.min_by("path", F.struct("rank", "path")).alias("reference"))
+    """(directory, reference): the file that stands for each directory, if any does: its best-named one, else that of
+    one of its folders for documentation, else a manifest, the first by path. files: (path, name, ext)."""
+    low = F.lower("name")
+    stem = F.regexp_replace(low, "(?<=.)\\.[^.]*$", "")
+    ranks = [F.when((stem == x) | stem.rlike(f"^{x}[._-]"), F.lit(k)) for k, x in enumerate(REFERENCE_STEMS)]
+    kind = F.array_position(F.array(*map(F.lit, REFERENCE_EXTENSIONS)), F.coalesce(F.lower("ext"), F.lit("")))
+    rank = F.coalesce(*ranks) * 100 + F.when(kind > 0, kind - 1).otherwise(20)
+    directory = F.regexp_extract("path", "^(.*)/[^/]+$", 1)
+    place = F.array_position(F.array(*map(F.lit, REFERENCE_FOLDERS)), F.regexp_extract(directory, "[^/]*$", 0))
+    named = F.struct(directory.alias("directory"), F.lit(0).cast("bigint").alias("tier"), rank.alias("rank"))
+    above = F.struct(F.regexp_extract(directory, "^(.*)/[^/]+$", 1).alias("directory"), place.cast("bigint").alias("tier"), rank.alias("rank"))
+    manifest = F.struct(directory.alias("directory"), F.lit(9).cast("bigint").alias("tier"), F.lit(0).alias("rank"))
+    stands = F.array_compact(F.array(F.when(rank.isNotNull(), named), F.when(rank.isNotNull() & (place > 0), above), F.when(low.isin(*MANIFESTS), manifest)))
+    return files.select("path", F.inline(stands)).groupBy("directory").agg(F.min_by("path", F.struct("tier", "rank", "path")).alias("reference"))
 
 
 class _Text(HTMLParser):
@@ -109,8 +120,8 @@ def decoded_entities(text: Column) -> Column:
 
 #: Which entries of an office archive hold text, by extension.
 PARTS = {
-    "docx": r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml",
-    "epub": r".*\.x?html?", "odt": r"content\.xml", "ods": r"content\.xml", "odp": r"content\.xml",
+    "docx": r"word/((document|footnotes|endnotes|comments)\.xml|(header|footer).*)", "pptx": r"ppt/(slides/slide|notesSlides/notesSlide).*\.xml", "xlsx": r"xl/(sharedStrings|worksheets/.*)\.xml",
+    "epub": r".*\.(xhtml|html|htm)", "odt": r"content\.xml", "ods": r"content\.xml", "odp": r"content\.xml",
 }
 
 

@@ -254,13 +254,6 @@ def test_halves(spark, docs):
 
 def test_plans_of_questions(spark):
     asked = {r.id: r.question for r in library.questions(spark, SMALL).collect()}
-    for r in rows(spark, "ret30_inferred_plans"):
-        if "last 7 days" in asked[r.id]:
-            assert (r.starts, r.ends, r.terms) == ("2024-03-07", "2024-03-14", "")
-        if "2021 and 2023" in asked[r.id]:
-            assert r.years == "2021,2023" and "report" in r.terms
-        if asked[r.id].startswith("latest"):
-            assert r.sort == "newest"
     for r in rows(spark, "ret31_ret32_reconciled_plans"):
         assert r.sort == ("newest" if asked[r.id].startswith("latest") else "oldest") or "oldest" in asked[r.id]
         assert len(r.terms.split()) <= 6 and r.extensions

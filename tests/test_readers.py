@@ -23,6 +23,18 @@ def test_archives():
     assert readers.archive_text(b"no archive", "docx") == (None, "")
 
 
+def test_comments_notes_and_references(spark):
+    word = archive(word__document_xml="<d><p><t>One</t></p></d>", word__comments_xml="<d><p><t>said</t></p></d>", word__header1_xml="<d><p><t>head</t></p></d>", word__styles_xml="<d><p><t>no</t></p></d>")
+    assert readers.archive_text(word, "docx")[1].split() == ["said", "One", "head"]
+    slides = archive(ppt__slides__slide2_xml="<d><p><t>two</t></p></d>", ppt__slides__slide10_xml="<d><p><t>ten</t></p></d>", ppt__notesSlides__notesSlide1_xml="<d><p><t>note</t></p></d>")
+    assert readers.archive_text(slides, "pptx")[1].split() == ["note", "two", "ten"]
+    paths = ["/a/readme-old.txt", "/a/README.rst", "/a/overview.md", "/b/docs/about.html", "/b/go.mod", "/c/doc/project", "/c/.github/README.md", "/d/Cargo.toml", "/d/readmes.md", "/e/index.html", "/f/getting-started.pdf"]
+    files = spark.createDataFrame([(p, p.rpartition("/")[2]) for p in paths], "path string, name string").withColumn("ext", F.expr("nullif(lower(regexp_extract(name, '[^.][.]([^.]*)$', 1)), '')"))
+    got = {r.directory: r.reference for r in readers.reference_files(files).collect()}
+    want = {"/a": "/a/README.rst", "/b": "/b/docs/about.html", "/c": "/c/doc/project", "/d": "/d/Cargo.toml", "/f": "/f/getting-started.pdf"}
+    assert {k: v for k, v in got.items() if k.count("/") == 1} == want
+
+
 def test_html():
     assert readers.html_text("<p>a &amp; b</p><script>x()</script><div>c   d</div>") == "a & b\nc d"
     assert readers.html_text(None) == ""
