@@ -236,3 +236,36 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, phrases: DataFrame) -> D
     return index.phrases(docs, phrases).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+
+
+# sources
+
+
+def _told(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of parser output: a line for each document, its lines as chunks."""
+    folder = _folder(spark, "parsed")
+    chunk = F.expr("transform(filter(transform(split(text, '\n'), (t, i) -> named_struct('text', t, 'page_start', i + 1, 'kind', CASE i % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'formula' ELSE 'table' END)), x -> x.text <> ''), x -> x)")
+    table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("file_id"), chunk.alias("chunks"))).alias("value")).write.text(folder)
+    return folder
+
+
+@R.add("""SELECT file_id, cast(row_number() OVER (PARTITION BY file_id ORDER BY i) - 1 AS integer) AS chunk_idx, text, cast(i + 1 AS integer) AS page_start, CASE i % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'text' ELSE 'table' END AS kind
+  FROM (SELECT doc_id AS file_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS text FROM documents WHERE doc_id >= 20) WHERE text <> ''""")
+def src34_parsed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parser output by its data source; the filter is pushed down to it."""
+    from lectern.sources import feeds
+
+    feeds.register(spark)
+    return spark.read.format("parsed_chunks").load(_told(spark, sf_dir)).where("file_id >= 20").select("file_id", "chunk_idx", "text", "page_start", "kind")
+
+
+@R.add("SELECT cast(o_orderkey AS varchar) AS id, concat(o_orderkey % 4, '.', o_orderkey % 7) AS version, o_orderkey AS build, CASE o_orderkey % 2 WHEN 0 THEN 'stable' ELSE 'beta' END AS channel FROM orders WHERE o_orderkey % 2 = 0")
+def src37_release_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of releases, here made from orders, by its data source; only the stable channel."""
+    from lectern.sources import feeds
+
+    feeds.register(spark)
+    folder = _folder(spark, "feed")
+    release = "named_struct('id', cast(o_orderkey AS string), 'version', concat(o_orderkey % 4, '.', o_orderkey % 7), 'build', o_orderkey, 'channel', CASE o_orderkey % 2 WHEN 0 THEN 'stable' ELSE 'beta' END)"
+    table(spark, sf_dir, "orders").selectExpr("o_orderkey div 100 AS page", f"{release} AS r").groupBy("page").agg(F.collect_list("r").alias("releases")).select(F.to_json(F.struct("releases")).alias("value")).write.text(folder)
+    return spark.read.format("release_feed").load(folder).where("channel = 'stable'").select("id", "version", "build", "channel")

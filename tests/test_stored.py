@@ -1,3 +1,4 @@
+import json
 import os
 import re
 import time
@@ -13,7 +14,7 @@ from lectern.functions import text as tx
 from lectern.operators import asof, buckets, cells, postings, retrieval, snapshots
 from lectern.plans import stored_queries
 from lectern.session import table
-from lectern.sources import library
+from lectern.sources import feeds, library
 from lectern.streaming import ingest, stability
 from tests.conftest import MIDDLE, SMALL
 
@@ -331,3 +332,31 @@ def test_entities_take_linear_time(spark, text):
     began = time.time()
     spark.createDataFrame([(text,)], "x string").select(tx.entities(F.col("x")).alias("e")).collect()
     assert time.time() - began < 20
+
+
+# --- sources
+
+
+def test_a_pushed_filter_and_a_stream_with_offsets(spark, tmp_path):
+    feeds.register(spark)
+    (tmp_path / "in").mkdir()
+    line = lambda i: json.dumps({"file_id": i, "chunks": [{"text": f"t{i}", "kind": "odd", "page_start": 2}, {"text": "y", "kind": "table"}, 3]})
+    (tmp_path / "in" / "a.json").write_text("\n".join([line(1), "broken", "[]", line(2), '{"chunks": 5}']))
+    (tmp_path / "in" / "_done").write_text(line(9))
+    df = spark.read.format("parsed_chunks").load(f"{tmp_path}/in")
+    assert sorted((r.file_id, r.chunk_idx, r.text, r.kind) for r in df.collect()) == [(1, 0, "t1", "text"), (1, 1, "y", "table"), (2, 0, "t2", "text"), (2, 1, "y", "table")]
+    some = df.where("file_id > 1 AND kind = 'table' AND length(text) = 1")
+    assert "file_id" not in re.sub(r"(?m)^.*(Scan|Relation|Project|Output).*$", "", some._jdf.queryExecution().executedPlan().toString())  # no filter of it is left to Spark
+    assert [(r.file_id, r.chunk_idx) for r in some.collect()] == [(2, 1)]
+    seen = []
+    for name in ("b", "c"):
+        source = spark.readStream.format("parsed_chunks").load(f"{tmp_path}/in")
+        query = source.writeStream.foreachBatch(lambda rows, n: seen.append(sorted(r.file_id for r in rows.where("chunk_idx = 0").collect()))).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        (tmp_path / "in" / f"{name}.json").write_text(line(ord(name)))
+    assert [x for x in seen if x] == [[1, 2], [98]]
+
+
+@pytest.mark.parametrize("name", ["src34_parsed_source", "src37_release_feed"])
+def test_sources_read_in_tasks(spark, name):
+    assert stored_queries.R.queries[name](spark, SMALL).count() > 0
