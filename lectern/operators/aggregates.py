@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators.filters import added_at
+from lectern.session import cut
 
 
 def index_counts(files: DataFrame) -> DataFrame:
@@ -64,20 +65,33 @@ def spaces(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("model", "dim").agg(F.count("*").alias("vectors"))
 
 
+#: A content that more than this share of the files has is hot: fewer than 1 / HOT_SHARE are.
+HOT_SHARE = 1 / 500
+
+
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """Files with the same content: the one that others are linked to stays, else the first added.
 
-    Row by row: the group's hash and size, the place in it, and what the rest of it takes up. A
-    group's files are ranked by a window over narrow rows; only groups of two or more come here.
+    Row by row: the group's hash and size, the place in it, and what the rest of it takes up. Groups are aggregated
+    before they shuffle. Files of hot contents are dealt to tasks by range of their order, where
+    they're numbered, and each range begins after the files of the ranges before; others are numbered by group.
     """
-    hashed = files.where("content_hash IS NOT NULL AND content_hash <> '' AND NOT is_directory").select("id", "path", "size", "content_hash", "duplicate_of_file_id", "mtime", added_at().alias("added"))
-    sizes = hashed.groupBy("content_hash").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
-    linked = files.where("duplicate_of_file_id IS NOT NULL").select(F.col("duplicate_of_file_id").alias("id")).distinct().withColumn("original", F.lit(True))
-    members = hashed.join(sizes, "content_hash").join(linked, "id", "left")
-    order = Window.partitionBy("content_hash").orderBy(F.coalesce("original", F.lit(False)).desc(), "added", "mtime", "path")
-    ranked = members.withColumn("place", F.row_number().over(order))
-    kept = ranked.where("place = 1").select("content_hash", F.col("id").alias("kept_id"), (F.col("total") - F.col("size")).alias("reclaimable"))
-    return ranked.join(kept, "content_hash").select("content_hash", "id", "path", "place", "members", "kept_id", "reclaimable")
+    hashed = files.where("content_hash IS NOT NULL AND content_hash <> '' AND NOT is_directory").select("id", "path", "size", "content_hash", "mtime", added_at().alias("added"))
+    linked = files.where("duplicate_of_file_id IS NOT NULL").select(F.col("duplicate_of_file_id").alias("id")).distinct().withColumn("_linked", F.lit(1))
+    rows = hashed.join(linked, "id", "left").withColumn("_order", F.struct(F.coalesce(-F.col("_linked"), F.lit(0)).alias("l"), "added", "mtime", "path", "id")).drop("_linked", "added", "mtime")
+    groups = rows.groupBy("content_hash").agg(F.count("*").alias("members"), F.sum("size").alias("_total"), F.min_by(F.struct("id", "size"), "_order").alias("_kept")).where("members > 1")
+    groups = groups.select("content_hash", "members", F.col("_kept.id").alias("kept_id"), (F.col("_total") - F.col("_kept.size")).alias("reclaimable"))
+    least = max(1000.0, hashed.count() * HOT_SHARE)
+    hot = rows.join(F.broadcast(groups.where(F.col("members") > least)), "content_hash")
+    rest = rows.join(groups.where(F.col("members") <= least), "content_hash")
+    numbered = rest.withColumn("place", F.row_number().over(Window.partitionBy("content_hash").orderBy("_order")))
+    dealt = cut(hot.repartitionByRange("content_hash", "_order").withColumn("_range", F.spark_partition_id()))  # once: ranges must not change
+    sizes = dealt.groupBy("content_hash", "_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("content_hash", "_range", F.coalesce(F.sum("_n").over(Window.partitionBy("content_hash").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("content_hash", "_range").orderBy("_order"))
+    placed = dealt.withColumn("_within", within).join(starts, ["content_hash", "_range"]).withColumn("place", (F.col("_within") + F.col("_before")).cast("int"))
+    columns = ["content_hash", "id", "path", "place", "members", "kept_id", "reclaimable"]
+    return numbered.select(*columns).unionByName(placed.select(*columns))
 
 
 def original_of(files: DataFrame) -> DataFrame:

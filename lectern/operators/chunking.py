@@ -111,29 +111,37 @@ def without_noise(chunks: DataFrame) -> DataFrame:
     return chunks.where((F.length(F.trim("text")) > 0) & ~noise(F.col("text")))
 
 
-def merged(chunks: DataFrame, most: int = 600) -> DataFrame:
-    """(file_id, chunk_idx, text, token_count): chunks (file_id, chunk_idx, text, page) repaired and merged, file by file.
-
-    A chunk that begins in lower case joins the one before, if that doesn't end a sentence and its
-    page is the same or next; short ones join their neighbours while they fit.
-    """
+def _merged(chunks: list[tuple[int, str]], most: int) -> list[str]:
+    """(page, text) in order: a chunk that begins in lower case joins the one before, if that doesn't end a sentence and its
+    page is the same or next; short ones join their neighbours while they fit."""
     least = max(24, min(80, max(24, most // 4)))
+    out: list[list] = []
+    for page, text in chunks:
+        if out and 0 <= page - out[-1][0] <= 1:
+            both = f"{out[-1][1]} {text}"
+            broken = text[:1].islower() and not out[-1][1].rstrip().endswith((".", "!", "?", "。", "！", "？"))
+            small = min(tokens(out[-1][1]), tokens(text)) < least
+            if tokens(both) <= most and (broken or small):
+                out[-1] = [page, both]
+                continue
+        out.append([page, text])
+    return [t for _, t in out]
+
+
+def merged(documents: DataFrame, most: int = 600) -> DataFrame:
+    """(file_id, chunk_idx, text, token_count): a row's chunks, an array of (text, page) in order, without noise, repaired and merged.
+
+    A document's chunks come as one row, as its parser gives them, so that no row moves; null chunks are none.
+    """
+    noiseless = F.filter("chunks", lambda c: (F.length(F.trim(c["text"])) > 0) & ~noise(c["text"]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [(i, k, t) for i, some in zip(rows["file_id"], rows["chunks"]) for k, t in enumerate(_merged([(c["page"], c["text"]) for c in some], most))]
+            yield pd.DataFrame(made, columns=["file_id", "chunk_idx", "text"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for page, text in rows.sort_values("chunk_idx")[["page", "text"]].itertuples(index=False):
-            if out and 0 <= page - out[-1][0] <= 1:
-                both = f"{out[-1][1]} {text}"
-                broken = text[:1].islower() and not out[-1][1].rstrip().endswith((".", "!", "?", "。", "！", "？"))
-                small = min(tokens(out[-1][1]), tokens(text)) < least
-                if tokens(both) <= most and (broken or small):
-                    out[-1] = [page, both]
-                    continue
-            out.append([page, text])
-        return pd.DataFrame({"file_id": rows["file_id"].iloc[0], "chunk_idx": range(len(out)), "text": [t for _, t in out]})
-
-    grouped = without_noise(chunks).select("file_id", "chunk_idx", "text", "page").groupBy("file_id")
-    return grouped.applyInPandas(run, "file_id long, chunk_idx int, text string").withColumn("token_count", token_estimate(F.col("text")))
+    whole = documents.where("chunks is not null").select("file_id", noiseless.alias("chunks"))
+    return whole.mapInPandas(run, "file_id long, chunk_idx int, text string").withColumn("token_count", token_estimate(F.col("text")))
 
 
 def table_chunks(tables: DataFrame, target: int = 280) -> DataFrame:

@@ -87,7 +87,10 @@ def reranked(hits: DataFrame, scorer: Scorer, most: int = 8, query: str = "query
 
     @F.pandas_udf("double")
     def of(queries: pd.Series, texts: pd.Series, lanes: pd.Series) -> pd.Series:
-        return pd.Series([min(1.0, max(0.0, scorer(q, [t])[0])) if lane == "rerank" else None for q, t, lane in zip(queries, texts, lanes)], dtype="float64")
+        out = pd.Series([None] * len(texts), index=texts.index, dtype="float64")
+        for q, own in texts[lanes == "rerank"].groupby(queries[lanes == "rerank"], sort=False):  # a query's texts of a batch at once
+            out[own.index] = [min(1.0, max(0.0, s)) for s in scorer(q, own.tolist())]
+        return out
 
     scored = split.withColumn("rerank_score", of(F.col(query), F.col("text"), F.col("lane")))
     from pyspark.sql.window import Window

@@ -76,7 +76,8 @@ def bm25(files: DataFrame, terms: list[str], limit: int = 200) -> DataFrame:
     def words(f: str) -> Column:
         return F.filter(F.split(F.lower(F.coalesce(f, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
-    held = files.select("id", *(words(f).alias(f) for f in FIELD_WEIGHTS))
+    # a generator, so that each text is split once, not once for each term
+    held = files.select("id", F.inline(F.array(F.struct(*(words(f).alias(f) for f in FIELD_WEIGHTS)))))
     length = add([F.size(f) * w for f, w in FIELD_WEIGHTS.items()])
     tf = {}
     for t in wanted:
@@ -145,6 +146,26 @@ def fuse(lexical: DataFrame, semantic: DataFrame, entity: DataFrame, exact: Data
     return grouped.withColumn("fused", F.round(fused, 6))
 
 
+def fuse_questions(lexical: DataFrame, semantic: DataFrame, question: str = "question_id", limit: int = 10, floor: float = FLOOR, span: float = SPAN) -> DataFrame:
+    """(question, file_id, lexical_rank, semantic_rank, fused, rank): the best files of each question by the reciprocal
+    ranks of two lanes, weighted as in fuse.
+
+    lexical: (question, id, rank) of files; semantic: (question, file_id, chunk_idx, score) of chunks, of which those count that reach the
+    floor and lie within span of the question's best; a file ranks by its best chunk. Lanes hold a bounded number of rows for
+    each question, so that they're grouped and ranked by question without more.
+    """
+    near = accepted(semantic, question, floor, span).groupBy(question, "file_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(question).orderBy(F.desc("score"), "file_id")
+    near = near.select(question, "file_id", "score", F.row_number().over(order).alias("rank"), F.lit("semantic").alias("lane"))
+    words = lexical.select(question, F.col("id").alias("file_id"), F.lit(None).cast("double").alias("score"), "rank", F.lit("lexical").alias("lane"))
+    of = lambda lane, c: F.max(F.when(F.col("lane") == lane, F.col(c)))
+    both = words.unionByName(near).groupBy(question, "file_id").agg(of("lexical", "rank").alias("lexical_rank"), of("semantic", "rank").alias("semantic_rank"), of("semantic", "score").alias("_score"))
+    part = lambda c, w: F.coalesce(F.lit(w) / (60 + F.col(c)), F.lit(0.0))
+    fused = F.round(part("lexical_rank", 0.36) + part("semantic_rank", 0.44) + F.coalesce(0.20 * F.col("_score"), F.lit(0.0)), 6)
+    best = Window.partitionBy(question).orderBy(F.desc("fused"), "file_id")
+    return both.select(question, "file_id", "lexical_rank", "semantic_rank", fused.alias("fused")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
 def lexical_score(query: str, terms: list[str]) -> tuple[Column, Column]:
     """(score, kind) of a file for a query: the best whole match, then a sum over terms."""
     q = query.lower()

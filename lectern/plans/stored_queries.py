@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import asof, buckets
+from lectern.operators import asof, buckets, retrieval
 from lectern.operators.cells import Cells
 from lectern.operators.postings import Index, snippets, words_of
 from lectern.plans.registry import Registry
@@ -156,6 +156,17 @@ def ret12_nearest_by_cells_in_scope(spark: SparkSession, sf_dir: str) -> DataFra
     return cells.nearest(vectors, asked, 10, scope=library.files(spark, sf_dir).where("ext = 'md'").select(F.col("id").alias("file_id")))
 
 
+@R.add()
+def ret14_ret27_hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best files by words and vectors together for a table of questions: the titles and vectors of files whose id is divisible by 50."""
+    files, vectors = library.files(spark, sf_dir), library.embeddings(spark, sf_dir).select("file_id", "chunk_idx", "embedding")
+    index = Index(spark, _folder(spark, "index")).write_words(files)
+    cells = Cells.train(vectors, _folder(spark, "cells"), 64).write(vectors)
+    asked = files.where("id % 50 = 0").select(F.col("id").alias("question_id"), words_of(F.col("title")).alias("terms"))
+    near = cells.nearest(vectors, vectors.where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), "embedding"), 50).withColumnRenamed("query_id", "question_id")
+    return retrieval.fuse_questions(index.ranked(asked, 400), near)
+
+
 # streams
 
 

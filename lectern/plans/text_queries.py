@@ -262,7 +262,8 @@ def txt01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def txt11_merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.merged(library.chunks(spark, sf_dir).select("file_id", "chunk_idx", "text", F.col("page_start").alias("page")))
+    chunks = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), F.floor(i / 25 + 1).cast("int").alias("page")))
+    return chunking.merged(_docs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), chunks.alias("chunks")))
 
 
 @R.add(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n[\t ]*\n+'), lambda p: trim(p) <> '')) AS paragraphs FROM documents")

@@ -71,10 +71,19 @@ def vanished(known: DataFrame, listing: DataFrame) -> DataFrame:
 
 def batches_by_count_or_time(rows: DataFrame, group: str, ts: str, count: int = 5, seconds: int = 30, order: str | None = None) -> DataFrame:
     """rows with batch: a group's rows in order, a batch ending at its count, or when the next row comes
-    seconds or more after its first. Depends on order within a group, so each group is one fold."""
+    seconds or more after its first.
+
+    A gap of as many seconds always ends a batch, so that groups are parted there, by a window; only what lies between two
+    gaps is folded in one piece, and numbered after the batches of the pieces before.
+    """
+    by = [ts] + ([order] if order else [])
+    sorted_ = Window.partitionBy(group).orderBy(*by)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = F.coalesce(micros - F.lag(micros).over(sorted_) >= seconds * 1_000_000, F.lit(False)).cast("int")
+    parted = rows.withColumn("_gap", gap).withColumn("_piece", F.sum("_gap").over(sorted_)).drop("_gap")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([ts] + ([order] if order else []))
+        part = part.sort_values(by)
         batch, n, begun, out = 1, 0, None, []
         for t in part[ts]:
             if n and (n >= count or (t - begun).total_seconds() >= seconds):
@@ -85,7 +94,11 @@ def batches_by_count_or_time(rows: DataFrame, group: str, ts: str, count: int =
             out.append(batch)
         return part.assign(batch=out)
 
-    return rows.groupBy(group).applyInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
+    folded = parted.groupBy(group, "_piece").applyInPandas(fold, T.StructType([*parted.schema.fields, T.StructField("batch", T.IntegerType())]))
+    sizes = folded.groupBy(group, "_piece").agg(F.max("batch").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(group, "_piece", before.alias("_before"))
+    return folded.join(starts, [group, "_piece"]).select(*rows.columns, (F.col("batch") + F.col("_before")).cast("int").alias("batch"))
 
 
 def latest_generation(results: DataFrame, key: str, generation: str) -> DataFrame:

@@ -112,7 +112,8 @@ def test_chunks_keep_units_and_overlap():
 
 def test_merging_repairs_sentences(spark):
     made = [(1, 0, "This sentence is", 1), (1, 1, "cut in two.", 1), (1, 2, "---", 1), (1, 3, "Next one " * 200, 4)]
-    got = chunking.merged(spark.createDataFrame(made, "file_id long, chunk_idx int, text string, page int")).collect()
+    whole = spark.createDataFrame(made, "file_id long, chunk_idx int, text string, page int").orderBy("chunk_idx").coalesce(1)
+    got = chunking.merged(whole.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text", "page"))).alias("chunks"))).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.chunk_idx)][0] == "This sentence is cut in two."
 
 

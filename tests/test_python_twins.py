@@ -268,3 +268,106 @@ def test_pages_and_lines(spark):
     pages = {f"/pages/{r.page_id}.html": r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     assert {r.path: r.chars for r in rows(spark, "src25_src26_extracted_pages")} == {p: len(readers.html_text(h)[: readers.CHARACTERS]) for p, h in pages.items()}
     assert all("again" not in r.text and r.text.startswith("line 0") for r in rows(spark, "txt22_merged_lines"))
+
+
+def test_listing_of_the_folder(spark):
+    import os
+
+    want = {(n, "parquet", os.path.getsize(f"{SMALL}/{n}")) for n in os.listdir(SMALL) if n.endswith(".parquet")}
+    assert {(r["name"], r.ext, r["size"]) for r in rows(spark, "src22_src24_listing")} == want
+
+
+def test_decoded_entities(spark):
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    assert {r.page_id: r.decoded for r in rows(spark, "src47_decoded_entities")} == {i: html.unescape(h) for i, h in pages.items()}
+
+
+def test_batches_of_events(spark):
+    events = {}
+    for r in spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "ts", "event_id").collect():
+        events.setdefault(r.user_id, []).append((r.ts, r.event_id))
+    want = {}
+    for user, own in events.items():
+        batch, n, begun = 1, 0, None
+        for t, i in sorted(own):
+            if n and (n >= 5 or (t - begun).total_seconds() >= 30):
+                batch, n = batch + 1, 0
+            begun, n = begun if n else t, n + 1
+            want[i] = (user, batch)
+    assert {r.event_id: (r.g, r.batch) for r in rows(spark, "stm09_batches")} == want
+
+
+def test_merged_chunks(spark, docs):
+    def noisy(t):
+        return t.strip(" ") == "" or not regex.search(r"[\p{L}\p{N}]", t) or re.fullmatch(r"(?i)(page|p\.?)\s*[0-9]+(\s*(of|/)\s*[0-9]+)?", t.strip(" "))
+
+    want = set()
+    for i, text in docs.items():
+        out = []
+        for k, line in enumerate((text or "").split("\n")):
+            page = k // 25 + 1
+            if noisy(line):
+                continue
+            if out and page - out[-1][0] in (0, 1):
+                both = out[-1][1] + " " + line
+                broken = line[:1].islower() and out[-1][1].rstrip()[-1:] not in ".!?。！？"
+                if chunking.tokens(both) <= 600 and (broken or min(chunking.tokens(out[-1][1]), chunking.tokens(line)) < 80):
+                    out[-1] = (page, both)
+                    continue
+            out.append((page, line))
+        want |= {(i, k, t) for k, (_, t) in enumerate(out)}
+    assert {(r.file_id, r.chunk_idx, r.text) for r in rows(spark, "txt11_merged_chunks")} == want
+
+
+def test_tiles_cover_every_picture(spark):
+    sizes = {r.p_partkey: (r.p_size * 100 + 1, r.p_partkey % 50 * 100 + 1) for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
+    tiles = {}
+    for r in rows(spark, "mth09_tiles"):
+        tiles.setdefault(r.id, []).append((r.x, r.y, r.w, r.h))
+
+    def places(length):
+        n = max(1, math.ceil(max(1, length - 288) / 1760))
+        return [min(k * 1760, max(0, length - 2048)) for k in range(n)]
+
+    assert tiles == {i: [(x, y, min(w - x, 2048), min(h - y, 2048)) for y in places(h) for x in places(w)][:32] for i, (w, h) in sizes.items()}
+
+
+def test_excerpts_and_reranking(spark, docs, chunks):
+    for r in rows(spark, "str16_excerpts"):
+        flat = re.sub(r"\s+", " ", docs[r.id]).strip(" ")
+        at = max(0, flat.lower().find("token"))
+        start = max(0, at - 72)
+        end = min(start + 240, len(flat))
+        assert r.excerpt == ("…" if start > 0 else "") + flat[start:end].strip(" ") + ("…" if end < len(flat) else "")
+    text = {(c.file_id, c.chunk_idx): c.text.lower() for c in chunks}
+    got = rows(spark, "ret25_reranked")
+    scored = [r for r in got if r.rerank_score is not None]
+    hits = {k for k, t in text.items() if "secret" in t or "token" in t}
+    assert {(r.file_id, r.chunk_idx) for r in got} == hits
+    assert len(scored) == len({r.file_id for r in scored}) == min(8, len({i for i, _ in hits}))
+    for r in scored:
+        assert r.rerank_score == len({"secret", "token"} & set(re.findall(r"\w+", text[r.file_id, r.chunk_idx]))) / 2
+    assert sorted(r["rank"] for r in got) == list(range(1, len(got) + 1)) and {r["rank"] for r in scored} == set(range(1, len(scored) + 1))
+    order = sorted(scored, key=lambda r: r["rank"])
+    assert [r.rerank_score for r in order] == sorted((r.rerank_score for r in scored), reverse=True)
+
+
+def test_a_querys_texts_are_scored_at_once(spark):
+    from lectern.operators import providers
+
+    made = [(q, f"q{q}", f, 0, f"text {q} {f}", 1.0 - f / 100) for q in (1, 2) for f in range(10)]
+    hits = spark.createDataFrame(made, "query_id int, query string, file_id long, chunk_idx int, text string, score double").coalesce(1)
+
+    def scorer(query, texts):
+        assert len(texts) == 8 and all(t.split()[1] == query[1:] for t in texts)
+        return [int(t.split()[2]) / 10 for t in texts]
+
+    got = {(r.query_id, r["rank"]): (r.file_id, r.rerank_score) for r in providers.reranked(hits, scorer).collect()}
+    assert got == {(q, k): (f, s) for q in (1, 2) for k, (f, s) in enumerate([*((f, f / 10) for f in range(7, -1, -1)), (8, None), (9, None)], 1)}
+
+
+def test_hash_embeddings_have_length_one_or_none(spark, docs):
+    got = {r.doc_id: (r.dimensions, r.norm) for r in rows(spark, "mth05_hash_embeddings")}
+    assert got.keys() == docs.keys() and all(n in (0.0, 1.0) for _, n in got.values())

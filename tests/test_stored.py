@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import asof, buckets, cells, postings, retrieval, snapshots
+from lectern.operators import aggregates, asof, buckets, cells, postings, retrieval, snapshots
 from lectern.plans import stored_queries
 from lectern.session import table
 from lectern.sources import feeds, library
@@ -227,6 +227,29 @@ def test_all_cells_are_exact_in_any_blocks(spark, tmp_path, monkeypatch):
     assert {g[2] % 3 for g in got if g[0] == 0} == {0} and {g[0] for g in got} == {0, 1}
 
 
+def test_lanes_of_many_questions_are_fused(spark):
+    words = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "question_id long, id long, rank int")
+    near = spark.createDataFrame([(1, 11, 0, 0.9), (1, 11, 1, 0.95), (1, 13, 0, 0.8), (1, 14, 0, 0.7), (3, 15, 0, 0.3)], "question_id long, file_id long, chunk_idx int, score double")
+    got = {(r.question_id, r.rank): (r.file_id, r.lexical_rank, r.semantic_rank, round(r.fused, 6)) for r in retrieval.fuse_questions(words, near).collect()}
+    want = {(1, 1): (11, 2, 1, 0.36 / 62 + 0.44 / 61 + 0.19), (1, 2): (13, None, 2, 0.44 / 62 + 0.16), (1, 3): (10, 1, None, 0.36 / 61), (2, 1): (12, 1, None, 0.36 / 61)}
+    assert got == {k: (*v[:3], round(v[3], 6)) for k, v in want.items()}
+
+
+def test_a_hot_content_is_numbered_by_range(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "HOT_SHARE", 0.0)
+    rows = [(i, f"/f{i:05d}", 10 if i % 3 else 7, "hot" if i % 3 == 0 else f"h{i // 2}", None if i != 900 else 1500, T0 + timedelta(seconds=i * 7 % 1000)) for i in range(3300)]
+    files = spark.createDataFrame(rows, "id long, path string, size long, content_hash string, duplicate_of_file_id long, mtime timestamp")
+    more = {"is_directory": F.lit(False), **{c: F.lit(None).cast("timestamp") for c in ("discovered_at", "organized_at", "indexed_at")}}
+    got = {(r.content_hash, r.place): (r.id, r.members, r.kept_id, r.reclaimable) for r in aggregates.duplicate_groups(files.withColumns(more)).collect()}
+    order = lambda r: (r[0] != 1500, r[5], r[1])
+    want = {}
+    for h in {r[3] for r in rows}:
+        own = sorted((r for r in rows if r[3] == h), key=order)
+        if len(own) > 1:
+            want |= {(h, k): (r[0], len(own), own[0][0], sum(x[2] for x in own) - own[0][2]) for k, r in enumerate(own, 1)}
+    assert got == want and want[("hot", 1)][0] == 1500
+
+
 # --- streams
 
 
