@@ -190,6 +190,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
 
 
+def units(text: Column, target: int) -> Column:
+    """Trimmed paragraphs, those of more tokens than the target as their sentences; blank ones left out."""
+    paragraphs = F.transform(F.split(text, "\n[\t ]*\n+"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", ""))
+
+    def parts(p: Column) -> Column:
+        return F.when((token_estimate(p) > target) & (F.size(sentences(p)) > 1), sentences(p)).otherwise(F.array(p))
+
+    return F.filter(F.flatten(F.transform(paragraphs, parts)), lambda u: u != "")
+
+
 def first_sentences(text: Column, n: int = 3) -> Column:
     """The first sentences, by their end marks."""
     return F.trim(F.regexp_extract(text, f"(?s)^((?:.*?[.!?。！？]+(?:\\s+|$)){{1,{n}}}|.*)", 1))

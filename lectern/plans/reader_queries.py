@@ -78,6 +78,37 @@ def src28_src44_src45_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extracted(made)
 
 
+def _sheet(cells: Column) -> Column:
+    """A spreadsheet archive of rows of cells; names are shared strings, numbers stand in their cells."""
+
+    @F.pandas_udf("binary")
+    def of(tables: pd.Series) -> pd.Series:
+        out = []
+        for lines in tables:
+            shared = sorted({str(v) for line in lines for v in line if not str(v).isdigit()})
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{escape(v)}</t></si>" for v in shared) + "</sst>")
+                cell = lambda v: f"<c><v>{v}</v></c>" if v.isdigit() else f"<c t='s'><v>{shared.index(v)}</v></c>"
+                archive.writestr("xl/worksheets/sheet1.xml", "<ws>" + "".join("<row>" + "".join(cell(str(v)) for v in line) + "</row>" for line in lines) + "</ws>")
+            out.append(data.getvalue())
+        return pd.Series(out)
+
+    return of(cells)
+
+
+@R.add("""SELECT concat('/regions/', r_regionkey, '.xlsx') AS path, string_agg(concat(n_nationkey, chr(9), n_name, chr(9), r_name), chr(10) ORDER BY n_nationkey) AS text
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def src30_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreadsheets of each region's nations, and what is read from them: cells, tab-separated, with their shared strings."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name", "r_name").alias("cells"))
+    by = nations.groupBy("r_regionkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    path = F.concat(F.lit("/regions/"), F.col("r_regionkey").cast("string"), F.lit(".xlsx"))
+    made = by.select(path.alias("path"), F.lit("xlsx").alias("ext"), _sheet(F.col("lines.cells")).alias("content"))
+    return readers.extracted(made).select("path", "text")
+
+
 @R.add("SELECT doc_id AS file_id, 0 AS chunk_idx, text, CASE doc_id % 3 WHEN 0 THEN 'table' ELSE 'text' END AS kind FROM documents")
 def src34_parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document parser's JSON lines: known kinds stay, others are text."""

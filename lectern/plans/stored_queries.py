@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import asof, buckets, retrieval
+from lectern.operators import asof, buckets, retrieval, snapshots
 from lectern.operators.cells import Cells
 from lectern.operators.postings import Index, snippets, words_of
 from lectern.plans.registry import Registry
@@ -82,6 +82,19 @@ def snk17_deleted_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
+@R.add("SELECT id, name FROM files", "files")
+def snk14_discarded_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generation stays as it was when what was staged beside it is discarded."""
+    files = library.files(spark, sf_dir).select("id", "name")
+    store = snapshots.Generations(spark, _folder(spark, "generations"))
+    store.publish(files)
+    store.stage(files.where("id % 3 = 0").withColumn("name", F.lit("staged")))
+    store.discard()
+    if store.staged() is not None:
+        raise RuntimeError("the shadow is still there")
+    return store.current()
+
+
 @R.add("""WITH a AS (SELECT id, category, CASE WHEN id % 10 = 1 THEN 5 ELSE size END AS size FROM files WHERE id % 10 <> 2 UNION ALL SELECT id + 10000000, 'other', size FROM files WHERE id % 10 = 3)
   SELECT category, count(*) AS n, cast(sum(size) AS bigint) AS total FROM a GROUP BY category""", "files")
 def snk33_ret33_refreshed_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

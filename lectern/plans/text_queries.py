@@ -260,6 +260,19 @@ def txt01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(library.files(spark, sf_dir))
 
 
+@R.add()
+def txt02_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of every text that chunks are packed from."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(tx.units(F.col("text"), 60)).alias("unit", "text"))
+
+
+@R.add()
+def txt05_txt06_run_on_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without sentences, cut between words; each piece begins with the last words of the one before, as far as they fit."""
+    run_on = F.trim(F.regexp_replace("text", "[.!?。！？\\s]+", " "))
+    return chunking.chunked(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), run_on.alias("content_text")), target=80, overlap=16)
+
+
 @R.add()
 def txt11_merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), F.floor(i / 25 + 1).cast("int").alias("page")))

@@ -371,3 +371,35 @@ def test_a_querys_texts_are_scored_at_once(spark):
 def test_hash_embeddings_have_length_one_or_none(spark, docs):
     got = {r.doc_id: (r.dimensions, r.norm) for r in rows(spark, "mth05_hash_embeddings")}
     assert got.keys() == docs.keys() and all(n in (0.0, 1.0) for _, n in got.values())
+
+
+def test_units_of_texts(spark, docs):
+    got = {}
+    for r in rows(spark, "txt02_units"):
+        got.setdefault(r.doc_id, []).append((r.unit, r.text))
+    assert {i: [t for _, t in sorted(own)] for i, own in got.items()} == {i: [u for _, u in units(t.strip(), 60)] for i, t in docs.items() if units(t.strip(), 60)}
+
+
+def test_run_on_texts_are_cut_between_words(spark, docs):
+    got = {}
+    for r in rows(spark, "txt05_txt06_run_on_chunks"):
+        got.setdefault(r.file_id, []).append((r.chunk_idx, r.text))
+    for i, text in docs.items():
+        flat = re.sub(r"[.!?。！？\s]+", " ", text).strip(" ")
+        words, own = flat.split(), [t.split() for _, t in sorted(got.get(i, []))]
+        if cost(flat) <= 80:
+            assert own == ([words] if words else [])
+            continue
+        at = 0
+        for k, piece in enumerate(own):
+            begin = at
+            if k:  # the longest run of words before the cut that fits the overlap, and leaves room for the next word
+                begin = next(b for b in range(max(0, at - len(own[k - 1])), at + 1) if b == at or cost(" ".join(words[b:at])) <= 16 + 1e-9)
+                while begin < at and cost(" ".join(words[begin : at + 1])) > 80 + 1e-9:
+                    begin += 1
+            end = at + 1
+            while end < len(words) and cost(" ".join(words[begin : end + 1])) <= 80 + 1e-9:
+                end += 1
+            assert piece == words[begin:end], (i, k)
+            at = end
+        assert at == len(words)
