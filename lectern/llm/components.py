@@ -99,7 +99,7 @@ def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
 def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
-    members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from the
+    members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from bucket and
     key, by which reach rules out pairs at once. compare: of pairs (a, b) those that are linked.
     Buckets of at most paired members are compared in pairs. In a larger one, reps members are
     compared with all others; then, with the components so far, 64 times as many of the
@@ -110,10 +110,11 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
     """
     members = cut(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    few = members.join(sizes.where(F.col("n") <= paired), "bucket", "left_semi")
+    sized = join_by_hot_key(members, sizes.select("bucket", "n", F.col("n").alias("members")), "bucket", "n", max(1, members.count()))
+    few = sized.where(F.col("members") <= paired)
     a, b = (few.select("bucket", F.col("key").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach(F.col("own_a"), F.col("own_b"))).select("a", "b")
-    many = cut(members.join(sizes.where(F.col("n") > paired), "bucket", "left_semi").withColumn("component", F.col("key")))
+    many = cut(sized.where(F.col("members") > paired).drop("members").withColumn("component", F.col("key")))
     links, taken, total = None, None, many.count()
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
     while total > 0:
