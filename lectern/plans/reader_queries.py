@@ -117,9 +117,12 @@ def src34_parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parsed_chunks(table(spark, sf_dir, "documents").select(line.alias("value"))).select("file_id", "chunk_idx", "text", "kind")
 
 
-@R.add("""WITH d AS (SELECT DISTINCT id // 10 AS d FROM files)
-  SELECT concat('/d', d) AS directory, CASE d % 3 WHEN 0 THEN concat('/d', d, '/README.md') WHEN 1 THEN concat('/d', d, '/docs/Overview-2.rst') ELSE concat('/d', d, '/Package.json') END AS reference FROM d
-  UNION ALL SELECT concat('/d', d, '/docs'), concat('/d', d, '/docs/Overview-2.rst') FROM d WHERE d % 3 <> 2""", "files")
+@R.add("""WITH e AS (SELECT id % 10 AS k, floor(id / 10)::bigint AS d FROM files),
+  s AS (SELECT concat('/d', d) AS directory, concat('/d', d, '/README.md') AS path, 0 AS tier FROM e WHERE k = 3 AND d % 3 = 0
+    UNION ALL SELECT concat('/d', d), concat('/d', d, '/docs/Overview-2.rst'), 1 FROM e WHERE k = 5 AND d % 3 < 2
+    UNION ALL SELECT concat('/d', d, '/docs'), concat('/d', d, '/docs/Overview-2.rst'), 0 FROM e WHERE k = 5 AND d % 3 < 2
+    UNION ALL SELECT concat('/d', d), concat('/d', d, '/Package.json'), 9 FROM e WHERE k = 9)
+  SELECT directory, arg_min(path, tier) AS reference FROM s GROUP BY directory""", "files")
 def src39_reference_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file that stands for each folder: a read-me before an overview among its documents, a manifest where there is neither."""
     k, d = F.col("id") % 10, F.floor(F.col("id") / 10)

@@ -175,3 +175,13 @@ def test_collisions_and_evidence(spark):
 def test_display_policy(spark):
     made = spark.createDataFrame([("q", 1, 0.9), ("q", 2, 0.2), ("q", 3, 0.3), ("q", 4, 0.1)], "q string, file_id long, confidence double")
     assert sorted(r.file_id for r in retrieval.displayed(made, "q").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("ids", [range(12), range(26), range(5, 38), (3, 9, 13, 24, 39), (9,)])
+def test_reference_files_of_incomplete_folders(spark, tmp_path, ids):
+    made = spark.createDataFrame([(i, f"text {i}", "en", "src1", 6) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    made.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["src39_reference_files"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["src39_reference_files"](spark, str(tmp_path)).collect()) == want
