@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,32 +74,30 @@ def batches_by_count_or_time(rows: DataFrame, group: str, ts: str, count: int =
     """rows with batch: a group's rows in order, a batch ending at its count, or when the next row comes
     seconds or more after its first.
 
-    A gap of as many seconds always ends a batch, so that groups are parted there, by a window; only what lies between two
-    gaps is folded in one piece, and numbered after the batches of the pieces before.
+    Groups are dealt to tasks, sorted there and folded in one pass over Arrow batches; what is kept from a row to the next is the
+    open batch, so that neither the number of groups nor a group's length matters. Rows without a time come first and end no batch.
     """
     by = [ts] + ([order] if order else [])
-    sorted_ = Window.partitionBy(group).orderBy(*by)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = F.coalesce(micros - F.lag(micros).over(sorted_) >= seconds * 1_000_000, F.lit(False)).cast("int")
-    parted = rows.withColumn("_gap", gap).withColumn("_piece", F.sum("_gap").over(sorted_)).drop("_gap")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(by)
-        batch, n, begun, out = 1, 0, None, []
-        for t in part[ts]:
-            if n and (n >= count or (t - begun).total_seconds() >= seconds):
-                batch, n = batch + 1, 0
-            if not n:
-                begun = t
-            n += 1
-            out.append(batch)
-        return part.assign(batch=out)
-
-    folded = parted.groupBy(group, "_piece").applyInPandas(fold, T.StructType([*parted.schema.fields, T.StructField("batch", T.IntegerType())]))
-    sizes = folded.groupBy(group, "_piece").agg(F.max("batch").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(group, "_piece", before.alias("_before"))
-    return folded.join(starts, [group, "_piece"]).select(*rows.columns, (F.col("batch") + F.col("_before")).cast("int").alias("batch"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, batch, n, begun = None, 1, 0, None
+        for rows in batches:
+            out = []
+            for g, t in zip(rows.column("_group").to_pylist(), rows.column("_at").to_pylist()):
+                if (g,) != own:
+                    own, batch, n = (g,), 1, 0
+                elif n >= count or (begun is not None and t - begun >= limit):
+                    batch, n = batch + 1, 0
+                if not n:
+                    begun = t
+                n += 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    names, limit = rows.columns, seconds * 1_000_000
+    timed = rows.select("*", F.col(group).alias("_group"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    dealt = timed.repartition(group).sortWithinPartitions(group, *by)
+    return dealt.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def latest_generation(results: DataFrame, key: str, generation: str) -> DataFrame:

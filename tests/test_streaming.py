@@ -43,3 +43,17 @@ def test_batches_and_sets(spark):
     some = frame(spark).select("path").distinct()
     assert {r.path for r in watching.vanished(some, some.where("path <> 'a'")).collect()} == {"a"}
     assert {r.path for r in watching.not_in_baseline(frame(spark), some.where("path = 'b'")).collect()} == {"a", "c"}
+
+
+def test_batches_keep_groups_and_times_that_are_null(spark):
+    made = [(None, T0, 0), (None, T0 + timedelta(seconds=30), 1), ("g", None, 2), ("g", T0, 3), ("g", T0 + timedelta(seconds=29), 4), ("h", T0, 5), ("h", T0 + timedelta(seconds=31), 6), ("h", T0 + timedelta(seconds=32), 7)]
+    got = watching.batches_by_count_or_time(spark.createDataFrame(made, "g string, ts timestamp, id int"), "g", "ts", 5, 30, "id").collect()
+    assert sorted((r.id, r.batch) for r in got) == [(0, 1), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 2)]
+
+
+def test_many_groups_are_batched_in_one_pass(spark):
+    made = spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.timestamp_seconds(F.col("id")).alias("ts"), "id")
+    plan = watching.batches_by_count_or_time(made, "g", "ts", 5, 30, "id")
+    assert plan.groupBy("batch").count().orderBy("batch").collect() == [(1, 20_000), (2, 20_000), (3, 20_000)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and text.count("Exchange") == 1
