@@ -383,3 +383,23 @@ def test_a_pushed_filter_and_a_stream_with_offsets(spark, tmp_path):
 @pytest.mark.parametrize("name", ["src34_parsed_source", "src37_release_feed"])
 def test_sources_read_in_tasks(spark, name):
     assert stored_queries.R.queries[name](spark, SMALL).count() > 0
+
+
+def test_questions_and_phrases_over_several_blocks(spark, index, monkeypatch):
+    files, stored = index
+    asked = files.select(F.col("id").alias("question_id"), postings.words_of(F.col("title")).alias("terms"))
+    phrases = files.where("id % 7 = 0 AND length(content_text) > 60").select(F.col("id").alias("item_id"), F.substring("content_text", 20, 40).alias("text"))
+    once = stored.ranked(asked, 5).collect(), stored.places(phrases).collect()
+    plan = stored.ranked(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"HashAggregate\(keys=\[question_id", plan)  # no scores of single words are shuffled
+    monkeypatch.setattr(postings, "DOCUMENTS", 16)
+    monkeypatch.setattr(postings, "ASKED", 200)
+    assert set(stored.ranked(asked, 5).collect()) == set(once[0]) and Counter(stored.places(phrases).collect()) == Counter(once[1])
+
+
+def test_words_are_laid_out_without_a_shuffle_of_tokens(spark, tmp_path):
+    files = spark.createDataFrame([(3, "a b a", "A ba"), (1, "", None), (2, None, "b " * 3000)], "id long, name string, content_text string")
+    stored = postings.Index(spark, str(tmp_path), 2).write_words(files, {"name": 5, "content_text": 3})
+    got = {(r.term, r.id): (r.tf, r.length, r.positions) for r in stored.table("words").collect()}
+    assert got == {("a", 3): (13, 21, [0]), ("b", 3): (5, 21, []), ("ba", 3): (3, 21, [1]), ("b", 2): (9000, 9000, list(range(3000)))}
+    assert stored.table("totals").first()["n"] == 3
