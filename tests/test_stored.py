@@ -403,3 +403,18 @@ def test_words_are_laid_out_without_a_shuffle_of_tokens(spark, tmp_path):
     got = {(r.term, r.id): (r.tf, r.length, r.positions) for r in stored.table("words").collect()}
     assert got == {("a", 3): (13, 21, [0]), ("b", 3): (5, 21, []), ("ba", 3): (3, 21, [1]), ("b", 2): (9000, 9000, list(range(3000)))}
     assert stored.table("totals").first()["n"] == 3
+
+
+def test_all_terms_are_counted_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(postings, "FEWEST_BITS", 1 << 6)
+    monkeypatch.setattr(postings, "MOST_BITS", 1 << 6)  # a filter that lets nearly all through
+    texts = ["", None, "abab", "ababx", "xab", "ß€𝄞é" * 3, "a", "ab\nab", *["copy of a copy"] * 70]
+    terms = ["a", "ab", "aba", "€𝄞", "𝄞é", "xa", "bx", "copy", "copy of a copy", "ba", "\n", "nowhere", "a" * 40]
+    got = postings.occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {r.term: r.n for r in got.collect()} == {t: n for t in terms if (n := sum(t in (x or "") for x in texts))}
+
+
+def test_literal_search_for_all_titles_reads_no_candidates(spark):
+    df = stored_queries.ret01_ret03_flt13_literal_search(spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "content_text" not in plan.split("MapInArrow")[0]  # no text is joined to a title
