@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lectern.functions.text import citations, token_estimate
 from lectern.operators.chunking import tokens
 from lectern.operators.rows import newest_kept
+from lectern.operators.slices import of_strings
 
 #: Bounds of a question's evidence.
 PARENTS, CHARACTERS, EXCERPT, PER_FILE = 8, 20_000, 2_800, 4
@@ -92,13 +93,7 @@ def batched(units: DataFrame, group: str, order: str, text: str, most: int) -> D
 
 def truncated(text: Column, most: int) -> Column:
     """The longest beginning of the text that fits the tokens with an ellipsis."""
-
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: _fit(t, most), na_action="ignore")
-
-    return cut(text)
+    return of_strings(lambda t: None if t is None else _fit(t, most), text)
 
 
 def _fit(text: str, most: int) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lectern.functions.text import extension, time_code
 from lectern.operators.chunking import tokens
+from lectern.operators.slices import in_slices, of_strings
 
 #: Bounds of what is taken from a file: characters, entries of an archive, bytes of an entry.
 CHARACTERS, ENTRIES, ENTRY_BYTES = 120_000, 300, 8 << 20
@@ -102,12 +103,7 @@ def html_text(page: str | None) -> str:
 
 def text_of_html(page: Column) -> Column:
     """The visible text of HTML or XHTML, white space evened out; null counts as empty."""
-
-    @F.pandas_udf("string")
-    def of(pages: pd.Series) -> pd.Series:
-        return pages.map(html_text)
-
-    return of(page)
+    return of_strings(html_text, page)
 
 
 def decoded_entities(text: Column) -> Column:
@@ -203,7 +199,7 @@ def extracted(files: DataFrame) -> DataFrame:
                 out.append((path, title or name, text))
             yield pd.DataFrame(out, columns=["path", "title", "text"])
 
-    return files.select("path", F.lower("ext").alias("ext"), "content").mapInPandas(run, "path string, title string, text string")
+    return in_slices(files.select("path", F.lower("ext").alias("ext"), "content"), run, "path string, title string, text string")
 
 
 PARSED = "array<struct<text: string, contextual_text: string, section_path: array<string>, page_start: int, page_end: int, kind: string>>"
