@@ -359,5 +359,4 @@ def ret07_exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each phrase of the benchmark."""
     from lectern.plans.stored_queries import phrase_counts
 
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))
-    return phrase_counts(spark, docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return phrase_counts(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))

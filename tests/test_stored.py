@@ -177,6 +177,16 @@ def test_phrases_of_any_length_as_they_stand(spark, index):
     assert got == {(i, k) for i, p in enumerate(phrases) if p for k, b in bodies.items() if p in b}
 
 
+def test_phrases_are_counted_in_one_pass(spark, index):
+    files, _ = index
+    texts = [r[0] for r in files.select("content_text").collect()] + [None, "", "aaaaaaaa", "xß文xß文y"]
+    phrases = {b[at : at + n] for b in texts[:40] if b for at, n in ((1, 1), (1, 2), (3, 7), (3, 8), (10, 31), (7, 120), (0, len(b)))} | {"aaaaaaaa", "aaaa", "xß文y", "nowhere at all"}
+    found = postings.phrase_occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in phrases], "term string"))
+    want = {p: n for p in phrases if (n := sum(p in (t or "") for t in texts))}
+    assert {r.term: r.n for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_ten_thousand_short_phrases_are_one_plan(spark, index):
     files, stored = index
     asked = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.col("id"))).alias("text"))
