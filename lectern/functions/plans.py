@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import questions as qs
-from lectern.functions.text import boundaries, years
+from lectern.functions.text import boundaries, let, years
 
 PLAN = """semantic_query string, keywords array<string>, exact_name string, extensions array<string>, categories array<string>, folder_terms array<string>, item_kind string,
 date_field string, starts date, ends date, min_size bigint, max_size bigint, has_note boolean, is_indexed boolean, content_mode string, sort string"""
@@ -53,19 +53,20 @@ def relative_days(question: Column, today: Column, monday_first: bool = True) ->
     return F.coalesce(*(F.when(_says(question, words), interval) for words, interval in cases))
 
 
-def _own_year(question: Column) -> Column:
-    """struct<starts,ends> of the one year that the question names; null if it names none or several."""
-    found = years(question)
+def _own_year(found: Column) -> Column:
+    """struct<starts,ends> of the one year of those that a question names; null if it names none or several."""
     start = F.make_date(F.get(found, 0).cast("int"), F.lit(1), F.lit(1))
     return F.when(F.size(found) == 1, F.struct(start.alias("starts"), F.add_months(start, 12).alias("ends")))
 
 
 def extensions(question: Column) -> Column:
     """Sorted extensions that the question names, by themselves or by a family's name."""
-    low = F.lower(boundaries(question))
-    named = F.filter(F.split(low, "[^\\p{L}\\p{N}]+"), lambda w: w.isin(*qs.EXTENSIONS))
-    families = [F.when(low.rlike(qs._any_of(words)), F.array(*map(F.lit, found))).otherwise(F.array().cast("array<string>")) for words, found in EXTENSION_WORDS]
-    return F.array_sort(F.array_distinct(F.concat(named, *families)))
+    def found(low: Column) -> Column:
+        named = F.filter(F.split(low, "[^\\p{L}\\p{N}]+"), lambda w: w.isin(*qs.EXTENSIONS))
+        families = [F.when(low.rlike(qs._any_of(words)), F.array(*map(F.lit, own))).otherwise(F.array().cast("array<string>")) for words, own in EXTENSION_WORDS]
+        return F.array_sort(F.array_distinct(F.concat(named, *families)))
+
+    return let(F.lower(boundaries(question)), found)
 
 
 def categories(question: Column) -> Column:
@@ -80,8 +81,20 @@ def exact_name(question: Column) -> Column:
 
 def content_mode(question: Column) -> Column:
     """indexed_content where texts are asked for, metadata_only for a name or mere constraints, else automatic."""
-    constrained = relative_days(question, F.lit("2000-01-01").cast("date")).isNotNull() | (F.size(years(question)) > 0) | (F.size(extensions(question)) > 0) | (F.size(categories(question)) > 0) | (item_kind(question) != "any")
-    return F.when(qs.asks_for_content(question), "indexed_content").when(exact_name(question).isNotNull() | ((F.size(qs.content_terms(question)) == 0) & constrained), "metadata_only").otherwise("automatic")
+    return let(_said(question, F.lit("2000-01-01").cast("date")), _content_mode)
+
+
+def _said(question: Column, today: Column, monday_first: bool = True) -> Column:
+    """What a question says by its words, that several fields of a plan read."""
+    return F.struct(
+        question.alias("question"), qs.content_terms(question).alias("terms"), relative_days(question, today, monday_first).alias("days"), years(question).alias("years"),
+        exact_name(question).alias("exact_name"), extensions(question).alias("extensions"), categories(question).alias("categories"), item_kind(question).alias("item_kind"),
+    )
+
+
+def _content_mode(said: Column) -> Column:
+    constrained = said["days"].isNotNull() | (F.size(said["years"]) > 0) | (F.size(said["extensions"]) > 0) | (F.size(said["categories"]) > 0) | (said["item_kind"] != "any")
+    return F.when(qs.asks_for_content(said["question"]), "indexed_content").when(said["exact_name"].isNotNull() | ((F.size(said["terms"]) == 0) & constrained), "metadata_only").otherwise("automatic")
 
 
 def item_kind(question: Column) -> Column:
@@ -90,18 +103,20 @@ def item_kind(question: Column) -> Column:
 
 def inferred(question: Column, today: Column, monday_first: bool = True) -> Column:
     """PLAN of a question by its words alone; a null question is an empty one."""
-    q = F.coalesce(question, F.lit(""))
-    terms = qs.content_terms(q)
-    interval = F.coalesce(relative_days(q, today, monday_first), _own_year(q))
-    size = F.lit(None).cast("bigint")
+    return let(_said(F.coalesce(question, F.lit("")), today, monday_first), _plan)
+
+
+def _plan(said: Column) -> Column:
+    q, size = said["question"], F.lit(None).cast("bigint")
+    interval = F.coalesce(said["days"], _own_year(said["years"]))
     return F.struct(
-        F.array_join(terms, " ").alias("semantic_query"),
-        F.slice(terms, 1, MOST_KEYWORDS).alias("keywords"),
-        exact_name(q).alias("exact_name"),
-        extensions(q).alias("extensions"),
-        categories(q).alias("categories"),
+        F.array_join(said["terms"], " ").alias("semantic_query"),
+        F.slice(said["terms"], 1, MOST_KEYWORDS).alias("keywords"),
+        said["exact_name"].alias("exact_name"),
+        said["extensions"].alias("extensions"),
+        said["categories"].alias("categories"),
         F.array().cast("array<string>").alias("folder_terms"),
-        item_kind(q).alias("item_kind"),
+        said["item_kind"].alias("item_kind"),
         _first(q, DATE_FIELD_WORDS, F.lit("modified")).alias("date_field"),
         interval["starts"].alias("starts"),
         interval["ends"].alias("ends"),
@@ -109,7 +124,7 @@ def inferred(question: Column, today: Column, monday_first: bool = True) -> Colu
         size.alias("max_size"),
         F.when(_says(q, NO_NOTE), False).when(_says(q, NOTE), True).alias("has_note"),
         F.when(_says(q, NOT_INDEXED), False).when(_says(q, INDEXED), True).alias("is_indexed"),
-        content_mode(q).alias("content_mode"),
+        _content_mode(said).alias("content_mode"),
         _first(q, SORT_WORDS, F.when(qs.prefers_recent(q), "newest").otherwise("relevance")).alias("sort"),
     )
 
@@ -126,11 +141,15 @@ def reconciled(proposed: Column, local: Column, question: Column) -> Column:
     names no constraint, beside the question's terms if only these are Chinese; of its keywords those that can be evidence.
     """
     q = F.coalesce(question, F.lit(""))
+    told = F.struct(q.alias("question"), qs.content_terms(q).alias("terms"), F.filter(proposed["keywords"], qs.evidence_term).alias("evidence"), F.trim(proposed["semantic_query"]).alias("wording"))
+    return let(told, lambda t: _reconciled(proposed, local, t))
+
+
+def _reconciled(proposed: Column, local: Column, told: Column) -> Column:
+    q, terms, evidence, wording = (told[f] for f in ("question", "terms", "evidence", "wording"))
     p, m = lambda f: proposed[f], lambda f: local[f]
     own = lambda f: F.when(F.size(m(f)) > 0, m(f)).otherwise(p(f))
     dated = m("starts").isNotNull()
-    wording, terms = F.trim(p("semantic_query")), qs.content_terms(q)
-    evidence = F.filter(p("keywords"), qs.evidence_term)
     clean = (wording != "") & ~qs.structural(wording)
     semantic = F.when(clean & _han(q) & ~_han(wording), F.array_join(qs.unique_terms(F.array(wording, m("semantic_query"))), " ")).when(clean, wording).otherwise(F.array_join(qs.unique_terms(F.concat(terms, evidence)), " "))
     low, high = F.greatest(F.nullif(p("min_size"), F.lit(0)), F.lit(0).cast("bigint")), F.greatest(p("max_size"), F.lit(0).cast("bigint"))

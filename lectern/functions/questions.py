@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import CATEGORY_EXTENSIONS, boundaries, distinctive_identifier, entities, extension, years
+from lectern.functions.text import CATEGORY_EXTENSIONS, boundaries, distinctive_identifier, entities, extension, let, years
 
 #: Words that say nothing about what a file holds.
 STOP_WORDS = (
@@ -72,9 +72,8 @@ def compatible(text: Column) -> Column:
 def first_of_equals(values: Column, key: Callable[[Column], Column]) -> Column:
     """The values whose key no earlier value has, in order."""
     tagged = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    before = F.slice(F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,x:string>")), tagged), F.lit(1), F.size(values))
-    kept = F.filter(F.arrays_zip(tagged.alias("a"), before.alias("b")), lambda z: z["b"].isNull() | (z["b"]["k"] != z["a"]["k"]))
-    return F.transform(F.array_sort(F.transform(kept, lambda z: F.struct(z["a"]["i"].alias("i"), z["a"]["x"].alias("x")))), lambda s: s["x"])
+    kept = let(tagged, lambda all_: F.filter(all_, lambda z, i: (i == 0) | (F.get(all_, i - 1)["k"] != z["k"])))
+    return F.transform(F.array_sort(F.transform(kept, lambda z: F.struct(z["i"].alias("i"), z["x"].alias("x")))), lambda s: s["x"])
 
 
 def unique_terms(terms: Column) -> Column:
@@ -84,9 +83,8 @@ def unique_terms(terms: Column) -> Column:
 
 def variants(question: Column) -> Column:
     """The question, the question with word borders shown, and its words."""
-    compact = F.trim(question)
-    bounded = boundaries(compact)
-    return unique_terms(F.concat(F.array(compact, bounded), F.split(bounded, "\\s+")))
+    both = let(F.trim(question), lambda compact: F.array(compact, boundaries(compact)))
+    return unique_terms(let(both, lambda b: F.concat(b, F.split(F.get(b, 1), "\\s+"))))
 
 
 def relevance_terms(text: Column) -> Column:
@@ -112,13 +110,13 @@ def structural(value: Column) -> Column:
 def evidence_term(value: Column) -> Column:
     """Whether a term can show that a text is meant: two or more characters, not structural, of an open class."""
     low = F.lower(F.trim(value))
-    return (F.length(low) >= 2) & ~structural(value) & ~low.isin(*CLOSED_WORDS)
+    return (F.length(low) >= 2) & ~low.isin(*CLOSED_WORDS) & ~structural(value)
 
 
 def content_terms(question: Column) -> Column:
     """Terms that texts are searched for."""
     found = F.flatten(F.transform(variants(stripped(question)), relevance_terms))
-    return unique_terms(F.filter(found, evidence_term))
+    return unique_terms(F.filter(F.array_distinct(found), evidence_term))
 
 
 def asks_for_content(question: Column) -> Column:

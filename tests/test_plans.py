@@ -161,3 +161,13 @@ def test_crafted_proposals(spark, question, proposal, expected):
     local, told = plans.inferred(F.col("q"), F.lit(TODAY)), F.from_json("told", plans.PLAN)
     got = df.select(local.alias("l"), told.alias("p"), "q").select(plans.reconciled(F.col("p"), F.col("l"), F.col("q")).alias("r")).first().r
     assert {k: got[k] for k in expected} == expected and got["folder_terms"] == ["x"]
+
+
+def _optimized(spark, query):
+    return QUERIES[query](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_a_question_says_is_computed_once(spark):
+    # the pattern of one word border stands for a question's variants, or for its extensions
+    for query, most in (("str36_content_terms", 1), ("str37_search_terms", 1), ("ret30_inferred_plans", 2), ("ret31_reconciled_plans", 3)):
+        assert 1 <= _optimized(spark, query).count("(?<=[a-z0-9])(?=[A-Z])") <= most, query
