@@ -263,7 +263,8 @@ def txt01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def txt02_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units of every text that chunks are packed from."""
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(tx.units(F.col("text"), 60)).alias("unit", "text"))
+    made = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(tx.units(F.col("text"), 60))).alias("units"))  # once a row
+    return made.select("doc_id", F.posexplode("units").alias("unit", "text"))
 
 
 @R.add()

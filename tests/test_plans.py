@@ -171,3 +171,7 @@ def test_what_a_question_says_is_computed_once(spark):
     # the pattern of one word border stands for a question's variants, or for its extensions
     for query, most in (("str36_content_terms", 1), ("str37_search_terms", 1), ("ret30_inferred_plans", 2), ("ret31_reconciled_plans", 3)):
         assert 1 <= _optimized(spark, query).count("(?<=[a-z0-9])(?=[A-Z])") <= most, query
+
+
+def test_units_split_a_text_once(spark):
+    assert _optimized(spark, "txt02_units").count("[^.!?") == 1
