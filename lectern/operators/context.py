@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from lectern.functions.text import citations, token_estimate
 from lectern.operators.chunking import tokens
 from lectern.operators.rows import newest_kept
-from lectern.operators.slices import of_strings
+from lectern.operators.slices import ROWS, of_strings
 
 #: Bounds of a question's evidence.
 PARENTS, CHARACTERS, EXCERPT, PER_FILE = 8, 20_000, 2_800, 4
@@ -74,21 +75,28 @@ def batch_budget(place: str, task: str, window: int) -> int:
 def batched(units: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
     """units with batch: consecutive units of a group, as many as fit the tokens; one that is larger has its own.
 
-    A group is one document's units: it's read in order by one task as Arrow batches.
+    Groups are dealt to tasks, sorted there and folded in one pass over Arrow batches, without a Python call for each group.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        batch, held, out = 1, 0, []
-        for cost in rows[text].map(tokens):
-            if held and held + cost > most:
-                batch, held = batch + 1, 0
-            held += cost
-            out.append(batch)
-        return rows.assign(batch=out)
-
-    schema = T.StructType([*units.schema.fields, T.StructField("batch", T.IntegerType())])
-    return units.groupBy(group).applyInPandas(fold, schema)
+    names = units.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, batch, held = None, 1, 0
+        for rows in batches:
+            out = []
+            for at in range(0, rows.num_rows, ROWS):
+                some = rows.slice(at, ROWS)
+                for g, t in zip(some.column("_group").to_pylist(), some.column("_text").to_pylist()):
+                    cost = tokens(t)
+                    if (g,) != own:
+                        own, batch, held = (g,), 1, 0
+                    elif held and held + cost > most:
+                        batch, held = batch + 1, 0
+                    held += cost
+                    out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    dealt = units.select("*", F.col(group).alias("_group"), F.col(text).alias("_text")).repartition(group).sortWithinPartitions(group, F.asc_nulls_last(order))
+    return dealt.mapInArrow(fold, T.StructType([*units.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def truncated(text: Column, most: int) -> Column:

@@ -175,3 +175,21 @@ def test_what_a_question_says_is_computed_once(spark):
 
 def test_units_split_a_text_once(spark):
     assert _optimized(spark, "txt02_units").count("[^.!?") == 1
+
+
+def test_batches_need_no_call_for_each_group(spark):
+    from lectern.operators import context
+    from lectern.operators.chunking import tokens
+
+    rows = [(g, i, "word " * ((7 * i + (g or 3)) % 11)) for g in (None, 1, 2, 5) for i in range(30)] + [(9, 0, None), (9, 1, "a " * 99), (9, None, "b")]
+    made = context.batched(spark.createDataFrame(rows, "g long, i int, t string"), "g", "i", "t", 20)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want, own, held = {}, object(), 0
+    for g, i, t in sorted(rows, key=lambda r: (r[0] or 0, r[1] is None, r[1] or 0)):
+        if g != own:
+            own, batch, held = g, 1, 0
+        elif held and held + tokens(t) > 20:
+            batch, held = batch + 1, 0
+        held += tokens(t)
+        want[g, i] = batch
+    assert {(r.g, r.i): r.batch for r in made.collect()} == want
