@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,21 +28,37 @@ def _fnv1a(token: str) -> int:
     return h
 
 
-def hash_embedding(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
-    """Words, and Han characters by ones to threes, hashed to signed places; of length one, or zero for no words."""
-    out = np.zeros(dimensions)
-    for run in _TOKENS.findall(unicodedata.normalize("NFKC", text or "").lower()):
-        grams = [run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)] if _HAN.match(run) else [run]
+@lru_cache(1 << 16)
+def _places(token: str, dimensions: int) -> tuple[tuple[int, float], ...]:
+    """The places that a token is hashed to, with what it adds there."""
+    h = _fnv1a(token)
+    own = (h % dimensions, 1.0 if h % 2 == 0 else -1.0)
+    return (own, ((h >> 9) % dimensions, 0.5)) if len(token) > 3 else (own,)
+
+
+def _hashed(text: str | None, dimensions: int) -> np.ndarray:
+    flat = text or ""
+    flat = (flat if flat.isascii() else unicodedata.normalize("NFKC", flat)).lower()
+    at, add = [], []
+    for run, n in Counter(_TOKENS.findall(flat)).items():
+        grams = [run[i : i + k] for k in (1, 2, 3) for i in range(len(run) - k + 1)] if _HAN.match(run) else [run]
         for token in grams:
-            h = _fnv1a(token)
-            out[h % dimensions] += 1 if h % 2 == 0 else -1
-            if len(token) > 3:
-                out[(h >> 9) % dimensions] += 0.5
+            # long tokens are rare and would fill the cache
+            for place, value in (_places if len(token) <= 32 else _places.__wrapped__)(token, dimensions):
+                at.append(place)
+                add.append(n * value)
+    # sums of halves are exact in any order
+    out = np.bincount(np.array(at, np.int64), np.array(add, np.float64), dimensions)
     length = float(np.sqrt(out @ out))
-    return (out / length if length else out).astype(np.float32).tolist()
+    return (out / length if length else out).astype(np.float32)
+
+
+def hash_embedding(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
+    """Words, and Han characters by ones to threes, hashed to signed places; of length one, or zero for no words."""
+    return _hashed(text, dimensions).tolist()
 
 
-Embedder = Callable[[list[str]], list[list[float]]]
+Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def _recovered(texts: list[str], embed: Embedder, depth: int = 6) -> list[list[float] | None]:
@@ -66,8 +84,8 @@ def embedded(chunks: DataFrame, embed: Embedder, text: str = "text", batch: int
     return chunks.withColumn("embedding", of(F.col(text)))
 
 
-def hash_embedder(texts: list[str]) -> list[list[float]]:
-    return [hash_embedding(t) for t in texts]
+def hash_embedder(texts: list[str]) -> list[np.ndarray]:
+    return [_hashed(t, DIMENSIONS) for t in texts]
 
 
 Scorer = Callable[[str, list[str]], list[float]]

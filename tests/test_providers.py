@@ -38,3 +38,24 @@ def test_sql_functions(spark):
     registry.register(spark)
     got = spark.sql("SELECT round(vec_cosine(array(3D, 4D), array(4D, 3D)), 6) AS c, vec_l2(array(0D), array(2D)) AS l, concept_of('Café-1!') AS t, file_extension('a.TXT') AS e, vec_cosine(array(0D), array(1D)) AS z").first()
     assert tuple(got) == (0.96, 2.0, "café1", "txt", None)
+
+
+def test_hash_embedding_hashes_a_word_once(monkeypatch):
+    import unicodedata
+
+    import numpy as np
+
+    fnv, seen = providers._fnv1a, []
+    monkeypatch.setattr(providers, "_fnv1a", lambda token: seen.append(token) or fnv(token))
+    texts = ["Again and again, and AGAIN; " * 50 + "x" * 40, "Ｗｉｄｅ ｗords and 文件夹 文件 zü", "!!", "\u0130x 1_2_3 3"]
+    for text, got in zip(texts, providers.hash_embedder(texts)):
+        want = np.zeros(providers.DIMENSIONS)
+        for run in providers._TOKENS.findall(unicodedata.normalize("NFKC", text).lower()):
+            for token in [run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)] if providers._HAN.match(run) else [run]:
+                h = fnv(token)
+                want[h % providers.DIMENSIONS] += 1 if h % 2 == 0 else -1
+                if len(token) > 3:
+                    want[(h >> 9) % providers.DIMENSIONS] += 0.5
+        length = np.sqrt(want @ want)
+        assert np.array_equal(got, (want / length if length else want).astype(np.float32))
+    assert seen.count("again") <= 1 and seen.count("and") <= 1
