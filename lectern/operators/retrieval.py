@@ -40,7 +40,10 @@ def chunk_lane(chunks: DataFrame, terms: list[str], limit: int = 200, most_terms
 def entity_lane(chunks: DataFrame, terms: list[str], limit: int = 200, most_terms: int = 12) -> DataFrame:
     """(file_id, chunk_idx, matched, score): chunks whose entities hold any of the terms."""
     wanted = [t.lower() for t in terms if len(t) >= 3][:most_terms]
-    found = chunks.select("file_id", "chunk_idx", F.array_join(entities(F.col("text")), "\n").alias("e"))
+    if all(t.isascii() and "\n" not in t for t in wanted):
+        # an entity is a part of its text, so that others can't hold such a term
+        chunks = chunks.where(count_terms(F.col("text"), wanted) > 0)
+    found = chunks.select("file_id", "chunk_idx", F.explode(F.array(F.array_join(entities(F.col("text")), "\n"))).alias("e"))  # once a row
     hits = found.select("file_id", "chunk_idx", count_terms(F.col("e"), wanted).alias("matched")).where("matched > 0")
     score = F.least(F.lit(1.0), F.lit(0.92) + F.lit(0.02) * (F.col("matched") - 1))
     return hits.withColumn("score", F.round(score, 6)).orderBy(F.desc("matched"), "file_id", "chunk_idx").limit(limit)

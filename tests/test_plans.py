@@ -177,6 +177,10 @@ def test_units_split_a_text_once(spark):
     assert _optimized(spark, "txt02_units").count("[^.!?") == 1
 
 
+def test_entities_are_looked_for_once(spark):
+    assert _optimized(spark, "ret09_entity_lane").count("[A-Z0-9][A-Z0-9._/-]{2,255}") == 1
+
+
 def test_batches_need_no_call_for_each_group(spark):
     from lectern.operators import context
     from lectern.operators.chunking import tokens
