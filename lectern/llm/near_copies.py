@@ -1,6 +1,10 @@
 """Near copies of documents: five-word shingles with an exact Jaccard similarity of 0.8 or more.
 
-Candidates come from prefix filtering, which loses nothing: of n shingles the first n - ceil(0.8 n) + 1
+The closest are found by SimHash: texts whose fingerprints, over five-word shingles, differ in at most two
+bits come from simhash's covering search, and their whole texts are compared. Its components are where
+the rest begins: texts at a similarity of 0.8 differ in about ten bits, beyond what the masks cover.
+
+The other candidates come from prefix filtering, which loses nothing: of n shingles the first n - ceil(0.8 n) + 1
 in an order that all texts share are the keys, and two texts of a similarity of 0.8 share one of them.
 The order puts frequent shingles last: first those that a sample of texts shows, then, in ORDERED
 rounds, the keys that turn out to have more than CROWDED texts, counted over all of them; texts
@@ -9,7 +13,8 @@ keys only moves further back. The order decides only how many candidates there a
 at a key only if it can be their first common one: as many shingles as they need must follow it in both.
 Of two texts with sizes n and m and c common keys no more than c and
 what one of them has beyond its keys can be common, so that most candidates go before any text is
-read; the others are compared by their whole texts. See links_within_buckets for large buckets.
+read; the others are compared by their whole texts, but for those that one component has already.
+See links_within_buckets for large buckets.
 
 Words are those of simhash.fingerprint: A-Z lowered, parted at ASCII white space. A text of fewer
 than five words is one shingle; texts without words, null among them, are copies of each other.
@@ -28,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import simhash
 from lectern.llm.components import connected_components, join_by_hot_key, links_within_buckets, one_of_each, only_keys, sieved, with_texts
 from lectern.session import cut
 
@@ -43,11 +49,16 @@ def shingles(text: str | None) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) > SHINGLE else iter([b" ".join(words)])
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of a text's shingles, sorted."""
+def all_hashes(text: str | None) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
-    return np.unique(np.fromiter(map(xxh64_intdigest, shingles(text), repeat(SEED)), np.uint64))
+    return np.fromiter(map(xxh64_intdigest, shingles(text), repeat(SEED)), np.uint64)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(all_hashes(text))
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +95,25 @@ def put_last(often: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, counts: n
 
 
 def with_keys(rows: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """rows with size and keys in place of their last column, a text; size: how many shingles it has; keys: its prefix, in order."""
+    """rows with size, keys and fp in place of their last column, a text; size: how many shingles it has; keys: its prefix, in order; fp: its fingerprint."""
     *others, text = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 some = whole.slice(at, 256)
-                sizes, keys = [], []
+                sizes, keys, prints = [], [], []
                 for t in some.column(len(others)):
-                    hashes = shingle_hashes(t.as_py())
+                    every = all_hashes(t.as_py())
+                    hashes = np.unique(every)
                     sizes.append(len(hashes))
                     keys.append(prefix(hashes, often))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(others))), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*others, "size", "keys"])
+                    prints.append(simhash.majority(every))
+                made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(others))), *made], names=[*others, "size", "keys", "fp"])
 
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.mapInArrow(run, f"{types}, size long, keys array<long>")
+    return rows.mapInArrow(run, f"{types}, size long, keys array<long>, fp long")
 
 
 def by_key(signed: DataFrame) -> DataFrame:
@@ -125,7 +139,7 @@ def reordered(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np.nda
         n = stale.count()
         # no text shuffles: those that only seem to be stale get the keys that they had
         texts = sieved(docs.select(text_key(text).alias("key"), F.col(text).alias("text")), stale, "key", n).where("_in").drop("_in")
-        fresh = cut(with_keys(texts, often))
+        fresh = cut(with_keys(texts, often).drop("fp"))
         signed = sieved(signed, stale, "key", n).where("not _in").drop("_in").unionByName(fresh)
         some = cut(shared.select("bucket").unionByName(by_key(fresh).select("bucket")).distinct())
         shared = shared_buckets(sieved(by_key(signed), some, "bucket", some.count()).where("_in"))
@@ -172,8 +186,19 @@ def can_reach(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return met.where((common + beyond) * 9 >= (F.col("text_a.size") + F.col("text_b.size")) * 4).select("a", "b")
 
 
+def simhash_pairs(signed: DataFrame) -> DataFrame:
+    """(a, b): texts, by key, that the covering search links; texts of one fingerprint are paired with the smallest key of theirs."""
+    texts = cut(signed.select("key", "fp").distinct())
+    prints = cut(texts.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")))
+    equal = join_by_hot_key(texts, prints, "fp", "n", max(1, texts.count())).where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    a, b = (prints.select(F.col("fp").alias(side), F.col("first").alias(end)) for side, end in (("a", "x"), ("b", "y")))
+    across = simhash.similar_pairs(prints.select("fp")).join(a, "a").join(b, "b").select("x", "y")
+    return equal.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_texts(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b): verified links between texts, by key."""
+    prints = signed.select("key", "fp")
     signed, shared = reordered(signed, docs, text, often)
     members = only_keys(by_key(signed), shared, "bucket", shared.count()).distinct()
     whole = docs.select(text_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -184,7 +209,7 @@ def similar_texts(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np
         texts = one_of_each(whole, wanted, "key", wanted.count())
         return close(with_texts(pairs, texts, "text"))
 
-    return links_within_buckets(members, compare, may_meet)
+    return links_within_buckets(members, compare, may_meet, known=cut(compare(simhash_pairs(prints))))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ with the same result. Columns other than id and text aren't used.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import islice, repeat
 
 import numpy as np
@@ -45,7 +46,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         hashes = iter([xxh64_intdigest(b" ".join(words), SEED)])
     else:
         hashes = map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(shingle)))), repeat(SEED))
-    ones, n = np.zeros(BITS, np.int64), 0
+    return majority(hashes)
+
+
+def majority(hashes: Iterable[int]) -> int:
+    """The signed integer of the bits that are 1 in over half the hashes."""
+    ones, n, hashes = np.zeros(BITS, np.int64), 0, iter(hashes)
     while len(block := np.fromiter(islice(hashes, 16_384), np.uint64)):
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(block)

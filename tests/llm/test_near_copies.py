@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from lectern.llm import components, near_copies
+from lectern.llm import components, near_copies, simhash
 from tests.conftest import MIDDLE, SMALL
 from tests.llm.helpers import empty, odd
 from tests.llm.test_dedup import union
@@ -71,3 +71,33 @@ def test_rows_that_repeat_an_id_or_all(spark):
     got = {(r.doc_id, r.text, r.key) for r in near_copies.without_near_copies(docs).collect()}
     assert (1, texts[2], "d") in got and (None, texts[3], "e") in got and len(got) == 3
     assert near_copies.without_near_copies(docs).columns == docs.columns
+
+
+def test_simhash_finds_the_closest_and_prefixes_the_rest(spark):
+    rnd = random.Random(9)
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(2000)] for _ in range(30)]
+    texts += [[*words[:-1], "edited"] for words in texts] + [[*(w + "x" if i % 70 == 0 else w for i, w in enumerate(words))] for words in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS key")
+    signed = near_copies.with_keys(docs.select("doc_id", "key", "text"), (near_copies.np.zeros(0, near_copies.np.uint64), near_copies.np.zeros(0, near_copies.np.int64)))
+    rows = {r.key: (r.doc_id, simhash.fingerprint(r.text, 5)) for r in docs.collect()}
+    assert {r.key: r.fp for r in signed.collect()} == {k: fp for k, (_, fp) in rows.items()}
+    linked = {r.node: r.component for r in components.connected_components(near_copies.simhash_pairs(signed)).collect()}
+    keys = list(rows)
+    close = [(a, b) for a in keys for b in keys if a < b and ((rows[a][1] ^ rows[b][1]) & (2**64 - 1)).bit_count() <= 2]
+    assert len(close) >= 25 and all(linked[a] == linked[b] for a, b in close)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs.drop("key")).collect()}
+    assert got == lowest(docs.collect()) and set(got.values()) == set(range(30))
+
+
+def test_pairs_that_known_links_join_are_not_compared(spark):
+    members = spark.createDataFrame([(b, x, 9) for b, n in ((1, 20), (2, 150)) for x in range(b * 1000, b * 1000 + n)], "bucket long, key long, size long").selectExpr("bucket", "key", "struct(size) AS own")
+    known = members.where("key % 1000 > 0 and key % 1000 <> 7").selectExpr("key - key % 1000 AS a", "key AS b")
+    seen = []
+
+    def compare(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("b - a = 1")
+
+    got = components.links_within_buckets(members, compare, known=known)
+    assert {r.component for r in components.connected_components(got).collect()} == {1000, 2000}
+    assert seen and all(7 in (a % 1000, b % 1000) for a, b in seen)
