@@ -96,12 +96,12 @@ def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
     return F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
 
 
-def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8, known: DataFrame | None = None) -> DataFrame:
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8, more: DataFrame | None = None) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
     members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from bucket and
     key, by which reach rules out pairs at once. compare: of pairs (a, b) those that are linked.
-    known: links found before, which are returned too; pairs that they join aren't compared.
+    more: candidates (a, b) by another method, with a < b, that are compared with the first.
     Buckets of at most paired members are compared in pairs. In a larger one, reps members are
     compared with all others; then, with the components so far, 64 times as many of the
     members outside the bucket's largest component that were not taken yet, each with all
@@ -115,24 +115,18 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
     few = sized.where(F.col("members") <= paired)
     a, b = (few.select("bucket", F.col("key").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach(F.col("own_a"), F.col("own_b"))).select("a", "b")
-    many = sized.where(F.col("members") > paired).drop("members").withColumn("component", F.col("key"))
-    if known is not None:
-        joined = cut(connected_components(known))
-        of_a, of_b = (joined.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-        pairs = pairs.distinct().join(of_a, "a", "left").join(of_b, "b", "left").where("not component_a <=> component_b or component_a is null").select("a", "b")
-        many = many.drop("component").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    many = cut(many)
-    links, waiting, taken, total = known, pairs, None, many.count()
+    pairs = pairs if more is None else pairs.unionByName(more)
+    many = cut(sized.where(F.col("members") > paired).drop("members").withColumn("component", F.col("key")))
+    links, taken, total = None, None, many.count()
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
     while total > 0:
-        if links is None:
+        if taken is None:
             parts, left = sizes, many
         else:
             shares = many.groupBy("bucket", "component").agg(F.count("*").alias("share"))
             parts = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("n"), F.count("*").alias("parts"))
             parts = cut(parts.where("parts > 1").select("bucket", "largest", "n"))
-            left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest")
-            left = left if taken is None else left.join(taken, ["bucket", "key"], "left_anti")
+            left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest").join(taken, ["bucket", "key"], "left_anti")
         chosen = cut(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reps).select("bucket", "key", "own", "component", "rank"))
         if chosen.isEmpty():
             break
@@ -146,17 +140,13 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
             met = join_by_hot_key(many, some, "bucket", "n", total).select("key", "own", "component", F.inline("reps")).where((F.col("component") != F.col("part")) & reach(F.col("own"), F.col("rep_own")))
             met = cut(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
             dealt = met if dealt is None else dealt.unionByName(met)
-        found = compare(cut((dealt if waiting is None else waiting.unionByName(dealt)).distinct()))
-        waiting = None
+        found = compare(cut((pairs.unionByName(dealt) if links is None else dealt).distinct()))
         links = cut(found if links is None else links.unionByName(found))
         taken = chosen.select("bucket", "key") if taken is None else taken.unionByName(chosen.select("bucket", "key"))
         counted = many.drop("component").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
         many = cut(counted.withColumn("component", F.coalesce("component", "key")))
         reps *= 64
-    if waiting is not None:
-        found = compare(cut(waiting.distinct()))
-        links = cut(found if links is None else links.unionByName(found))
-    return links
+    return links if links is not None else cut(compare(cut(pairs.distinct())))
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:

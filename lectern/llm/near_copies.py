@@ -1,8 +1,7 @@
 """Near copies of documents: five-word shingles with an exact Jaccard similarity of 0.8 or more.
 
-The closest are found by SimHash: texts whose fingerprints, over five-word shingles, differ in at most two
-bits come from simhash's covering search, and their whole texts are compared. Its components are where
-the rest begins: texts at a similarity of 0.8 differ in about ten bits, beyond what the masks cover.
+The closest candidates come from SimHash: texts whose fingerprints, over five-word shingles, differ in at most
+two bits, by simhash's covering search. Texts at a similarity of 0.8 differ in about ten, beyond what its masks cover.
 
 The other candidates come from prefix filtering, which loses nothing: of n shingles the first n - ceil(0.8 n) + 1
 in an order that all texts share are the keys, and two texts of a similarity of 0.8 share one of them.
@@ -13,8 +12,7 @@ keys only moves further back. The order decides only how many candidates there a
 at a key only if it can be their first common one: as many shingles as they need must follow it in both.
 Of two texts with sizes n and m and c common keys no more than c and
 what one of them has beyond its keys can be common, so that most candidates go before any text is
-read; the others are compared by their whole texts, but for those that one component has already.
-See links_within_buckets for large buckets.
+read; the others are compared by their whole texts, as those of SimHash are. See links_within_buckets for large buckets.
 
 Words are those of simhash.fingerprint: A-Z lowered, parted at ASCII white space. A text of fewer
 than five words is one shingle; texts without words, null among them, are copies of each other.
@@ -209,7 +207,7 @@ def similar_texts(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np
         texts = one_of_each(whole, wanted, "key", wanted.count())
         return close(with_texts(pairs, texts, "text"))
 
-    return links_within_buckets(members, compare, may_meet, known=cut(compare(simhash_pairs(prints))))
+    return links_within_buckets(members, compare, may_meet, more=cut(simhash_pairs(prints)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -89,15 +89,9 @@ def test_simhash_finds_the_closest_and_prefixes_the_rest(spark):
     assert got == lowest(docs.collect()) and set(got.values()) == set(range(30))
 
 
-def test_pairs_that_known_links_join_are_not_compared(spark):
-    members = spark.createDataFrame([(b, x, 9) for b, n in ((1, 20), (2, 150)) for x in range(b * 1000, b * 1000 + n)], "bucket long, key long, size long").selectExpr("bucket", "key", "struct(size) AS own")
-    known = members.where("key % 1000 > 0 and key % 1000 <> 7").selectExpr("key - key % 1000 AS a", "key AS b")
-    seen = []
-
-    def compare(pairs):
-        seen.extend((r.a, r.b) for r in pairs.collect())
-        return pairs.where("b - a = 1")
-
-    got = components.links_within_buckets(members, compare, known=known)
-    assert {r.component for r in components.connected_components(got).collect()} == {1000, 2000}
-    assert seen and all(7 in (a % 1000, b % 1000) for a, b in seen)
+def test_candidates_of_another_method_are_compared(spark):
+    members = spark.createDataFrame([(1, x, 9) for x in range(20)] + [(2, x, 9) for x in range(100, 250)], "bucket long, key long, size long")
+    more = spark.createDataFrame([(19, 100), (20, 300)], "a long, b long")
+    for some in (members, members.where("bucket = 1")):
+        got = components.links_within_buckets(some.selectExpr("bucket", "key", "struct(size) AS own"), lambda pairs: pairs.where("b - a = 1 or b = 100"), more=more)
+        assert (19, 100) in {(r.a, r.b) for r in got.collect()}
