@@ -237,6 +237,13 @@ def test_all_cells_are_exact_in_any_blocks(spark, tmp_path, monkeypatch):
     assert {g[2] % 3 for g in got if g[0] == 0} == {0} and {g[0] for g in got} == {0, 1}
 
 
+def test_centres_are_trained_in_many_tasks(spark, tmp_path, monkeypatch):
+    parts, fit = [], cells.KMeans.fit
+    monkeypatch.setattr(cells.KMeans, "fit", lambda self, points: (parts.append(points.rdd.getNumPartitions()), fit(self, points))[1])
+    cells.Cells.train(library.embeddings(spark, MIDDLE), f"{tmp_path}/c", 64, 4)
+    assert parts == [cells.PARTS]
+
+
 def test_lanes_of_many_questions_are_fused(spark):
     words = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "question_id long, id long, rank int")
     near = spark.createDataFrame([(1, 11, 0, 0.9), (1, 11, 1, 0.95), (1, 13, 0, 0.8), (1, 14, 0, 0.7), (3, 15, 0, 0.3)], "question_id long, file_id long, chunk_idx int, score double")
