@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ LONGEST = 32
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 8, 8
 #: Windows that are scored at once.
 BLOCK = 1024
+#: Texts of a batch that are Python objects at a time.
+SLICE = 256
 #: How much more a toxic window weighs in the loss, at most.
 POSITIVE_WEIGHT = 2.0
 #: Distinct words whose inputs a worker remembers; it starts anew beyond.
@@ -304,24 +307,17 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net = net
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.gates = np.zeros((CACHE_SIZE, 6 * HIDDEN), np.float32)  # memory is taken as rows are written
 
     def _learn(self, words: set[bytes]) -> None:
         new = list(words.difference(self.index))
-        if len(self.index) + len(new) > CACHE_SIZE:
-            self.forget()
+        if len(self.index) + len(new) > len(self.gates):
+            self.index.clear()
             new = list(words)
-        if not new:
-            return
+        if len(new) > len(self.gates):
+            self.gates = np.zeros((len(new), 6 * HIDDEN), np.float32)
         n = len(self.index)
-        if n + len(new) > len(self.gates):
-            grown = np.zeros(((n + len(new)) * 5 // 4, 6 * HIDDEN), np.float32)
-            grown[:n] = self.gates[:n]
-            self.gates = grown
         for i in range(0, len(new), 8192):
             some = new[i : i + 8192]
             self.gates[n + i : n + i + len(some)] = self.net.gates(self.net.inputs(*features(some))[0])
@@ -429,10 +425,10 @@ def score(docs: DataFrame, net: Network, text: str = "text", into: str = "score"
     """docs with a column of scores from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf(T.DoubleType())
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series(scorer.score(list(texts)), dtype="float64")
+            yield pa.array(np.concatenate([scorer.score(texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)]))
 
     return docs.withColumn(into, of(F.col(text)))

@@ -349,3 +349,14 @@ def test_whole_words_have_features():
     long = "a" * 100
     assert quality.shape("aB1" * 9) == "a0" * 9
     assert quality.Reader().word(long + "x")[0] != quality.Reader().word(long + "y")[0]
+
+
+def test_scoring_holds_one_table_of_gates(spark):
+    net, letters = toxicity.Network(), lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    scorer = toxicity.Scorer(net)
+    gates, texts = scorer.gates, [" ".join(letters(i * 100 + j) for j in range(100)) for i in range(2 * toxicity.SLICE)]
+    want = scorer.score(texts)
+    assert scorer.gates is gates and len(scorer.index) > 1024
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-6) and got[len(texts)] == pytest.approx(scorer.score([None])[0])
