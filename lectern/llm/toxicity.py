@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -78,18 +77,45 @@ def starts(n: int) -> range:
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket of each word; buckets of all grams; where each word's grams begin."""
-    crc = zlib.crc32
-    of_word = np.fromiter((crc(w) % WORDS for w in words), np.int64, len(words))
-    grams, begins = array("i"), array("q")
-    for w in words:
-        begins.append(len(grams))
-        s = f"^{w.decode('utf-8', 'replace')}$"
-        n = len(s)
-        grams.extend([crc(s[i : i + 3].encode()) % GRAMS for i in range(max(1, n - 2))])
-        grams.extend([crc(s[i : i + 5].encode()) % GRAMS for i in range(n - 4)])
-    return of_word, np.array(grams, np.int32), np.array(begins, np.int64)
+    """Word bucket of each word; buckets of all grams, of each word those of three characters first; where each word's grams begin."""
+    of_word = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORDS
+    flat = b"^" + b"$^".join(words) + b"$"
+    try:
+        flat.decode()
+    except UnicodeDecodeError:
+        words = [w.decode("utf-8", "replace").encode() for w in words]
+        flat = b"^" + b"$^".join(words) + b"$"
+    flat = np.frombuffer(flat, np.uint8)
+    # characters, then grams, of all words together; a character begins at a byte that continues none
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    chars = np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat))
+    last = np.searchsorted(chars, ends)
+    sizes = np.diff(last, prepend=0)
+    threes = np.maximum(sizes - 2, 1)
+    counts = threes + np.maximum(sizes - 4, 0)
+    begins = np.cumsum(counts) - counts
+    place, three = np.arange(counts.sum()) - np.repeat(begins, counts), np.repeat(threes, counts)
+    long = place >= three
+    low = np.repeat(last - sizes, counts) + place - three * long
+    at, end = chars[low], chars[np.minimum(low + 3 + 2 * long, np.repeat(last, counts))]
+    crc, open_ = np.full(len(at), 0xFFFFFFFF, np.uint32), np.arange(len(at))
+    while len(open_):
+        c = crc[open_]
+        crc[open_] = _CRC[(c ^ flat[at[open_]]) & 255] ^ (c >> 8)
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    return of_word, (~crc % GRAMS).astype(np.int32), begins
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -360,3 +360,23 @@ def test_scoring_holds_one_table_of_gates(spark):
     docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-6) and got[len(texts)] == pytest.approx(scorer.score([None])[0])
+
+
+def test_grams_of_all_words_at_once():
+    import zlib
+
+    import numpy as np
+
+    from lectern.llm import toxicity
+
+    words = [b"a", b"ab", b"abc", "é".encode(), b"word", "größe".encode(), b"0", b"it's", b"x" * 32, "日本語の文".encode(), b"last"]
+    want = []
+    for w in words:
+        s = f"^{w.decode()}$"
+        want.append([zlib.crc32(s[i : i + k].encode()) % toxicity.GRAMS for k in (3, 5) for i in range(max(0, len(s) - k + 1))])
+    for some in (range(len(words)), [0], [3], [1, 2], [3, 5]):
+        of_word, grams, begins = toxicity.features([words[i] for i in some])
+        assert of_word.tolist() == [zlib.crc32(words[i]) % toxicity.WORDS for i in some]
+        assert [x.tolist() for x in np.split(grams, begins[1:])] == [want[i] for i in some]
+        assert grams.dtype == np.int32
+    assert [len(x) for x in toxicity.features([])] == [0, 0, 0]
