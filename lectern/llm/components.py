@@ -16,6 +16,8 @@ HOT_SHARE = 1 / 500
 MOST_CELLS = 1 << 26
 #: Rows of one key that stay in one task, where rows are dealt with a long value each.
 DEALT = 256
+#: Members of a large bucket that meet all others at once.
+BLOCK = 512
 
 
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -96,18 +98,18 @@ def size_reaches(a: Column, b: Column, similarity: float = 0.8) -> Column:
     return F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
 
 
-def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8, more: DataFrame | None = None) -> DataFrame:
+def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: Callable[[Column, Column], Column] = size_reaches, paired: int = 64, reps: int = 8, more: DataFrame | None = None, marks: DataFrame | None = None, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(a, b): links that join all members of a bucket that can be reached by pairs which compare accepts.
 
     members: (bucket, key, own), keys distinct within a bucket; own: a struct that follows from bucket and
     key, by which reach rules out pairs at once. compare: of pairs (a, b) those that are linked.
     more: candidates (a, b) by another method, with a < b, that are compared with the first.
+    marks: (key, mark), by whose marks alike rules out more pairs of large buckets; keys may repeat with equal marks.
     Buckets of at most paired members are compared in pairs. In a larger one, reps members are
-    compared with all others; then, with the components so far, 64 times as many of the
-    members outside the bucket's largest component that were not taken yet, each with all
-    members of other components, and so on until none is left. So of two members that end in
-    different components at least one was compared with the other: nothing is lost, and a bucket
-    that is one component takes linear work.
+    compared with all others; then, with the components so far, each member outside the bucket's
+    largest component with all members of other components. So of two members that end in
+    different components at least one was compared with the other, or ruled out: nothing is lost.
+    Members meet in arrays of BLOCK, and only pairs that no rule excludes become rows.
     """
     members = cut(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -116,37 +118,44 @@ def links_within_buckets(members: DataFrame, compare: Callable[[DataFrame], Data
     a, b = (few.select("bucket", F.col("key").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & reach(F.col("own_a"), F.col("own_b"))).select("a", "b")
     pairs = pairs if more is None else pairs.unionByName(more)
-    many = cut(sized.where(F.col("members") > paired).drop("members").withColumn("component", F.col("key")))
-    links, taken, total = None, None, many.count()
+    many = cut(sized.where(F.col("members") > paired).select("bucket", "key", "own", F.col("key").alias("component")))
+    total = many.count()
+    if total == 0:
+        return cut(compare(cut(pairs.distinct())))
+    mark = F.lit(None).alias("mark")
+    if marks is not None:
+        wanted = cut(many.select("key").distinct())
+        many, mark = cut(many.join(one_of_each(marks, wanted, "key", wanted.count()), "key")), F.col("mark")
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
-    while total > 0:
-        if taken is None:
-            parts, left = sizes, many
-        else:
-            shares = many.groupBy("bucket", "component").agg(F.count("*").alias("share"))
-            parts = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("n"), F.count("*").alias("parts"))
-            parts = cut(parts.where("parts > 1").select("bucket", "largest", "n"))
-            left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest").join(taken, ["bucket", "key"], "left_anti")
-        chosen = cut(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reps).select("bucket", "key", "own", "component", "rank"))
-        if chosen.isEmpty():
-            break
-        # in blocks of reps, so that no row gets more of them than that; hot buckets' rows don't shuffle
-        blocks = chosen.groupBy("bucket", F.floor((F.col("rank") - 1) / 512).alias("block")).agg(F.collect_list(F.struct(F.col("key").alias("rep"), F.col("own").alias("rep_own"), F.col("component").alias("part"))).alias("reps"))
-        dealt = None
-        for block in range((reps + 511) // 512):
+    ranked = lambda rows: rows.select("bucket", "key", "own", mark, "component", F.row_number().over(order).alias("rank"))
+
+    def met(chosen: DataFrame, parts: DataFrame) -> DataFrame:
+        """(a, b): members of parts (bucket, n) with those chosen of their bucket; a BLOCK of a bucket at once, hot buckets' rows don't shuffle."""
+        rep = F.struct(F.col("key").alias("rep"), F.col("own").alias("rep_own"), F.col("mark").alias("rep_mark"), F.col("component").alias("part"))
+        blocks = chosen.groupBy("bucket", F.floor((F.col("rank") - 1) / BLOCK).alias("block")).agg(F.collect_list(rep).alias("reps"))
+        dealt = many.sparkSession.createDataFrame([], "a long, b long")
+        for block in range(-(-(chosen.agg(F.max("rank")).first()[0] or 0) // BLOCK)):
             some = cut(blocks.where(F.col("block") == block).join(parts.select("bucket", "n"), "bucket").select("bucket", "n", "reps"))
-            if some.isEmpty():
-                break
-            met = join_by_hot_key(many, some, "bucket", "n", total).select("key", "own", "component", F.inline("reps")).where((F.col("component") != F.col("part")) & reach(F.col("own"), F.col("rep_own")))
-            met = cut(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
-            dealt = met if dealt is None else dealt.unionByName(met)
-        found = compare(cut((pairs.unionByName(dealt) if links is None else dealt).distinct()))
-        links = cut(found if links is None else links.unionByName(found))
-        taken = chosen.select("bucket", "key") if taken is None else taken.unionByName(chosen.select("bucket", "key"))
-        counted = many.drop("component").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
-        many = cut(counted.withColumn("component", F.coalesce("component", "key")))
-        reps *= 64
-    return links if links is not None else cut(compare(cut(pairs.distinct())))
+            rows = join_by_hot_key(many, some, "bucket", "n", total)
+
+            def wanted(r: Column) -> Column:
+                near = (F.col("component") != r["part"]) & reach(F.col("own"), r["rep_own"])
+                return near & alike(F.col("mark"), r["rep_mark"]) if alike is not None else near
+
+            found = rows.select("key", F.explode(F.transform(F.filter("reps", wanted), lambda r: r["rep"])).alias("rep"))
+            dealt = dealt.unionByName(cut(found.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()))
+        return dealt
+
+    taken = cut(ranked(many).where(F.col("rank") <= reps))
+    links = cut(compare(cut(pairs.unionByName(met(taken, sizes)).distinct())))
+    counted = many.drop("component").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
+    many = cut(counted.withColumn("component", F.coalesce("component", "key")))
+    shares = many.groupBy("bucket", "component").agg(F.count("*").alias("share"))
+    parts = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("n"), F.count("*").alias("parts"))
+    parts = cut(parts.where("parts > 1").select("bucket", "largest", "n"))
+    left = join_by_hot_key(many, parts, "bucket", "n", total).where("component <> largest").join(taken.select("bucket", "key"), ["bucket", "key"], "left_anti")
+    rest = cut(met(cut(ranked(left)), parts).distinct())
+    return links if rest.isEmpty() else links.unionByName(cut(compare(rest)))
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:

@@ -11,7 +11,9 @@ that have such a key get their keys anew, all others keep theirs, since what sta
 keys only moves further back. The order decides only how many candidates there are. Two texts meet
 at a key only if it can be their first common one: as many shingles as they need must follow it in both.
 Of two texts with sizes n and m and c common keys no more than c and
-what one of them has beyond its keys can be common, so that most candidates go before any text is
+what one of them has beyond its keys can be common. Each text has a bit map besides, in which a shingle
+turns one of MAP bits: two maps differ in no more bits than there are shingles that one text alone has, of which
+two of a similarity of 0.8 have no more than (n + m) / 9. So most candidates go before any text is
 read; the others are compared by their whole texts, as those of SimHash are. See links_within_buckets for large buckets.
 
 Words are those of simhash.fingerprint: A-Z lowered, parted at ASCII white space. A text of fewer
@@ -38,6 +40,8 @@ from lectern.session import cut
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Texts and shingles that decide the order of keys.
 SAMPLE, FREQUENT = 4096, 1 << 16
+#: Bits of a text's map, in longs.
+MAP = 512
 #: Keys of more texts than this are put last, the most frequent PUT_LAST of them in each of the rounds.
 CROWDED, PUT_LAST, ORDERED = 8, 1 << 17, 1
 
@@ -84,6 +88,12 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return hashes[np.lexsort((hashes, counts))[: len(hashes) - need + 1]].view(np.int64)
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """MAP bits as longs: whether an odd number of these distinct hashes falls on each."""
+    odd = np.bincount((hashes % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def put_last(often: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """often with these hashes after all that a sample showed; no hash moves forward."""
     both, at = np.unique(np.concatenate([often[0], hashes]), return_inverse=True)
@@ -93,25 +103,26 @@ def put_last(often: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, counts: n
 
 
 def with_keys(rows: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """rows with size, keys and fp in place of their last column, a text; size: how many shingles it has; keys: its prefix, in order; fp: its fingerprint."""
+    """rows with size, keys, bits and fp in place of their last column, a text; size: how many shingles it has; keys: its prefix, in order; bits: its map; fp: its fingerprint."""
     *others, text = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 some = whole.slice(at, 256)
-                sizes, keys, prints = [], [], []
+                sizes, keys, maps, prints = [], [], [], []
                 for t in some.column(len(others)):
                     every = all_hashes(t.as_py())
                     hashes = np.unique(every)
                     sizes.append(len(hashes))
                     keys.append(prefix(hashes, often))
+                    maps.append(bit_map(hashes))
                     prints.append(simhash.majority(every))
-                made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(others))), *made], names=[*others, "size", "keys", "fp"])
+                made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(others))), *made], names=[*others, "size", "keys", "bits", "fp"])
 
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.mapInArrow(run, f"{types}, size long, keys array<long>, fp long")
+    return rows.mapInArrow(run, f"{types}, size long, keys array<long>, bits array<long>, fp long")
 
 
 def by_key(signed: DataFrame) -> DataFrame:
@@ -124,8 +135,8 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def reordered(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """(key, size, keys) with crowded keys put last, and (bucket, n) of the keys that several texts have."""
-    signed = signed.select("key", "size", "keys")
+    """(key, size, keys, bits) with crowded keys put last, and (bucket, n) of the keys that several texts have."""
+    signed = signed.select("key", "size", "keys", "bits")
     shared = shared_buckets(by_key(signed))
     for _ in range(ORDERED):
         crowd = shared.where(F.col("n") > CROWDED).orderBy(F.desc("n"), "bucket").limit(PUT_LAST).toPandas()
@@ -150,6 +161,12 @@ def may_meet(a: Column, b: Column) -> Column:
     return ((a["size"] - a["pos"]) * 9 >= need) & ((b["size"] - b["pos"]) * 9 >= need)
 
 
+def may_equal(a: Column, b: Column) -> Column:
+    """Whether texts of these sizes and maps can have the similarity."""
+    differ = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(1, MAP // 64)), F.bit_count(a["bits"][0].bitwiseXOR(b["bits"][0])))
+    return differ * 9 <= a["size"] + b["size"]
+
+
 def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -175,13 +192,13 @@ def close(met: DataFrame, batch: int = 256) -> DataFrame:
 
 
 def can_reach(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that can reach the similarity by their common keys."""
+    """The pairs (a, b) that can reach the similarity by their maps and their common keys."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    own = one_of_each(signed.select("key", F.struct("size", "keys").alias("own")), wanted, "key", wanted.count())
+    own = one_of_each(signed.select("key", F.struct("size", "keys", "bits").alias("own")), wanted, "key", wanted.count())
     met = with_texts(pairs, cut(own), "own")
     common = F.size(F.array_intersect("text_a.keys", "text_b.keys"))
     beyond = F.greatest(*(F.col(f"text_{x}.size") - F.size(f"text_{x}.keys") for x in "ab"))
-    return met.where((common + beyond) * 9 >= (F.col("text_a.size") + F.col("text_b.size")) * 4).select("a", "b")
+    return met.where(may_equal(F.col("text_a"), F.col("text_b"))).where((common + beyond) * 9 >= (F.col("text_a.size") + F.col("text_b.size")) * 4).select("a", "b")
 
 
 def simhash_pairs(signed: DataFrame) -> DataFrame:
@@ -207,7 +224,8 @@ def similar_texts(signed: DataFrame, docs: DataFrame, text: str, often: tuple[np
         texts = one_of_each(whole, wanted, "key", wanted.count())
         return close(with_texts(pairs, texts, "text"))
 
-    return links_within_buckets(members, compare, may_meet, more=cut(simhash_pairs(prints)))
+    marks = signed.select("key", F.struct("size", "bits").alias("mark"))
+    return links_within_buckets(members, compare, may_meet, more=cut(simhash_pairs(prints)), marks=marks, alike=may_equal)
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -95,3 +95,32 @@ def test_candidates_of_another_method_are_compared(spark):
     for some in (members, members.where("bucket = 1")):
         got = components.links_within_buckets(some.selectExpr("bucket", "key", "struct(size) AS own"), lambda pairs: pairs.where("b - a = 1 or b = 100"), more=more)
         assert (19, 100) in {(r.a, r.b) for r in got.collect()}
+
+
+def test_maps_rule_out_no_pair_of_the_similarity():
+    np, rnd = near_copies.np, random.Random(3)
+    bits = lambda h: int.from_bytes(near_copies.bit_map(np.array(sorted(h), np.uint64)).tobytes(), "little")
+    ruled_out = 0
+    for _ in range(400):
+        a = {rnd.getrandbits(64) for _ in range(rnd.choice([1, 5, 100, 400]))}
+        b = {x for x in a if rnd.random() > 0.12} | {rnd.getrandbits(64) for _ in range(rnd.randrange(len(a) // 6 + 1))}
+        far = (bits(a) ^ bits(b)).bit_count() * 9 > len(a) + len(b)
+        ruled_out += far
+        assert not far or len(a & b) < 0.8 * len(a | b)
+    assert ruled_out > 50
+
+
+def test_members_of_a_large_bucket_that_rules_exclude_are_no_candidates(spark):
+    # 100 keys of one class and 200 of their own in each of 3 buckets: marks tell them apart
+    rows = [(b, x) for b in range(3) for x in range(300)]
+    members = spark.createDataFrame(rows, "bucket long, key long").selectExpr("bucket", "key", "struct(1L AS size) AS own")
+    marks = spark.range(300).selectExpr("id AS key", "struct(if(id < 100, 0, id) AS class) AS mark")
+    seen = []
+
+    def compare(pairs):
+        seen.append(pairs.count())
+        return pairs.where("b < 100")
+
+    got = components.links_within_buckets(members, compare, marks=marks, alike=lambda a, b: a["class"] == b["class"])
+    assert {r.component for r in components.connected_components(got).collect()} == {0}
+    assert sum(seen) <= 8 * 3 * 100
