@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import xxhash
 
 from lectern.llm import components, exact_dedup, queries, simhash
@@ -34,6 +35,18 @@ def test_components_match_union_find(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+def test_components_of_several_lots_match_union_find(spark, monkeypatch):
+    rnd = random.Random(5)
+    pairs = [(rnd.randrange(600), rnd.randrange(600)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1300)] + [(5000, x) for x in range(5001, 5200)]
+    monkeypatch.setattr(components, "LOT", 64)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    got = {r.node: r.component for r in components.connected_components(df).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {n: c for n, c in union(pairs, linked | {x for p in pairs for x in p}).items() if n in linked}
+    few = [pa.record_batch({"u": pa.array([9, 8, 3]), "v": pa.array([8, 2, 1])}), pa.record_batch({"u": pa.array([2]), "v": pa.array([1])})]
+    assert pa.Table.from_batches(components._forest(few)).to_pylist() == [{"u": u, "v": 1} for u in (2, 3, 8, 9)]
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lectern.llm import line_dedup
 from tests.conftest import MIDDLE
 from tests.llm.helpers import empty, odd
@@ -137,3 +139,54 @@ def test_signatures_do_not_depend_on_the_batch():
     whole, sizes = line_dedup.smallest_hashes(lines)
     parts = [line_dedup.smallest_hashes([x], block=16)[0][0] for x in lines]
     assert (whole == parts).all() and list(sizes) == [max(1, len(x) - line_dedup.SHINGLE + 1) for x in lines]
+
+
+def test_members_are_those_of_keys_that_several_lines_have(spark):
+    rnd = random.Random(4)
+    keys = [rnd.randrange(-(2**63), 2**63) for _ in range(40)]
+    rows = [(k, rnd.randrange(1, 600), rnd.randrange(2**62), [rnd.choice(keys[:25]) if rnd.random() < 0.5 else rnd.randrange(-(2**63), 2**63) for _ in range(3)]) for k in keys]
+    signed = spark.createDataFrame(rows + rows[:20] + [(None, 0, 0, [])], "key long, size long, sketch long, keys array<long>")
+    holders = {}
+    for key, size, sketch, own in rows:
+        for b in own:
+            holders.setdefault(b, {})[key] = (min(size, 255), sketch)
+    want = sorted((b, k, *v, len(own)) for b, own in holders.items() if len(own) > 1 for k, v in own.items())
+    got = line_dedup.members_of_shared_keys(signed.repartition(5))
+    assert len(want) > 40 and sorted((r.bucket, r.key, r.own["size"], r.own.sketch, r.members) for r in got.collect()) == want
+
+
+def test_maps_rule_no_similar_pair_out(spark):
+    rnd = random.Random(3)
+    lines = ["ab", "abc", "", "\U0001f600 é ab", *("".join(rnd.choice(letters) for _ in range(rnd.randrange(5, 200))) for letters in ("abcd ", "abcdefghijklm\U0001f600", "aé漢") for _ in range(30))]
+    lines += [x[:at] + rnd.choice("z漢") + x[at + 1 :] for x in lines for at in (len(x) // 2, len(x) // 5)]
+    lines = sorted({x for x in lines if x.strip()})
+    rows = {r.line: r.mark for r in line_dedup.with_maps(spark.createDataFrame(enumerate(lines), "key long, line string")).collect()}
+    alike = 0
+    for i, x in enumerate(lines):
+        assert rows[x]["size"] == len(sets(x))
+        for y in lines[i + 1 :]:
+            if len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)):
+                alike += 1
+                assert 9 * sum((a ^ b).bit_count() if a ^ b >= 0 else 64 - (~(a ^ b)).bit_count() for a, b in zip(rows[x].bits, rows[y].bits)) <= rows[x]["size"] + rows[y]["size"]
+    assert alike > 60
+
+
+def test_unlike_lines_of_a_large_key_are_not_compared(spark, monkeypatch):
+    rnd, met = random.Random(12), []
+    word = lambda: "".join(rnd.choice("aeioubcdfgklmnprst") for _ in range(6))
+    shared = " ".join(word() for _ in range(20))
+    lines = [shared + " " + " ".join(word() for _ in range(40)) for _ in range(120)]
+    signed = spark.createDataFrame([(line_dedup.line_key(x), 400, 0, [1]) for x in lines], "key long, size long, sketch long, keys array<long>")
+    before = line_dedup.compare
+    monkeypatch.setattr(line_dedup, "compare", lambda pairs, *more: met.append(pairs.count()) or before(pairs, *more))
+    docs = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    assert line_dedup.similar_lines(signed, docs, "doc_id", "text").count() == 0
+    assert sum(met) < 120
+
+
+def test_similarities_are_exact(spark):
+    rnd = random.Random(7)
+    lines = ["", "a", "abcd", "abcde", *("".join(rnd.choice("ab é漢\U0001f600"[:n]) for _ in range(rnd.randrange(3, 60))) for n in (2, 4, 5, 6) for _ in range(15))]
+    pairs = spark.createDataFrame([(x, y) for x in lines for y in lines], "x string, y string")
+    for r in pairs.select("x", "y", line_dedup.jaccard(F.col("x"), F.col("y")).alias("got")).collect():
+        assert r.got == len(sets(r.x) & sets(r.y)) / len(sets(r.x) | sets(r.y))
