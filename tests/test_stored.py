@@ -414,6 +414,31 @@ def test_questions_and_phrases_over_several_blocks(spark, index, monkeypatch):
     assert set(stored.ranked(asked, 5).collect()) == set(once[0]) and Counter(stored.places(phrases).collect()) == Counter(once[1])
 
 
+def test_rounds_of_blocks_rank_as_one_and_leave_few_rows(spark, tmp_path, monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words[(i * 7 + j * j) % 30] for j in range(3 + i % 5))) for i in range(900)]
+    files = spark.createDataFrame(rows, "id long, content_text string").selectExpr("id", "'n' AS name", "'t' AS title", "content_text", "cast(null as string) AS note", "'p' AS path")
+    asked = spark.createDataFrame([(1, ["w1", "w2", "w3"]), (2, ["w9"]), (3, ["missing"]), (None, ["w4", "w1"])], "question_id long, terms array<string>")
+    whole = postings.Index(spark, f"{tmp_path}/whole").write_words(files)
+    want = {(r.question_id, r.id, r.score, r["rank"]) for r in whole.ranked(asked, 20).collect()}
+    assert len(want) == 60
+    some = postings.Index(spark, f"{tmp_path}/some").write_words(files, body=None, only=asked.select(F.explode("terms").alias("term")))
+    assert "positions" not in some.table("words").columns and {r.term for r in some.table("words").select("term").distinct().collect()} == {"w1", "w2", "w3", "w4", "w9"}
+    left, before = [], postings.Index._by_block
+
+    def counted(*args, **more):
+        found = before(*args, **more)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(postings, "DOCUMENTS", 30)
+    monkeypatch.setattr(postings.Index, "_by_block", counted)
+    for index in (whole, some):
+        left.clear()
+        assert {(r.question_id, r.id, r.score, r["rank"]) for r in index.ranked(asked, 20).collect()} == want
+        assert len(left) == 3 and sum(left) < 3 * 30 * 20 / 3
+
+
 def test_words_are_laid_out_without_a_shuffle_of_tokens(spark, tmp_path):
     files = spark.createDataFrame([(3, "a b a", "A ba"), (1, "", None), (2, None, "b " * 3000)], "id long, name string, content_text string")
     stored = postings.Index(spark, str(tmp_path), 2).write_words(files, {"name": 5, "content_text": 3})
