@@ -7,8 +7,8 @@ chooses. BANDS bands of ROWS values each, from bins that are chosen likewise, gi
 keys: two lines with a Jaccard similarity of 0.8 share one of them with a probability of 0.992,
 of 0.85 with one of 0.999.
 
-Signatures and the exact comparison run in numpy and Python within Arrow batches: with DataFrame
-functions only they needed more than their budget (see the README). The rest are DataFrame operations.
+Signatures, the search for keys that lines share, bit maps and the exact comparison run in numpy and Python within
+Arrow batches: with DataFrame functions only they needed more than their budget (see the README). The rest are DataFrame operations.
 
 Only keys that two different lines have go on. Every two lines of a key are candidates, unless their
 sketches (a bit for each bin) differ in more than FAR
